@@ -16,7 +16,7 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-_LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def strip(text: Column) -> Column:
@@ -86,7 +86,7 @@ def answer_label(raw: Column, target: str) -> Column:
 
 def clean_output(raw: Column) -> Column:
     """Trim lines, drop blank ones, then drop a leading ``assistant...`` line."""
-    kept = F.filter(F.transform(F.split(raw, _LINE_BREAK, -1), strip), lambda ln: ln != "")
+    kept = F.filter(F.transform(F.split(raw, LINE_BREAK, -1), strip), lambda ln: ln != "")
     first = F.lower(F.try_element_at(kept, F.lit(1)))
     body = F.when(first.startswith("assistant"), F.slice(kept, F.lit(2), F.size(kept))).otherwise(kept)
     return F.array_join(body, "\n")

@@ -16,7 +16,8 @@ def response_labels(tokens: Column, prefix: Sequence[int], suffix: Sequence[int]
 
     A response runs from the token after a full ``prefix`` through the first token of the
     next ``suffix`` (to the end when no suffix token follows). A prefix whose next suffix
-    start is not a full suffix opens no response. The last token is always kept.
+    start is not a full suffix opens no response. The last token is always kept, unless the
+    sequence ends right after a prefix.
     """
     head, tail = list(prefix), list(suffix)
 
@@ -50,6 +51,8 @@ def response_labels(tokens: Column, prefix: Sequence[int], suffix: Sequence[int]
                 nxt = np.searchsorted(ends, body)
                 if nxt == len(ends):
                     keep[body:] = True
+                    if body == len(ids):
+                        keep[-1] = False
                     break
                 end = int(ends[nxt])
                 if end in closes:
