@@ -97,7 +97,7 @@ def rule_crosstab(df: DataFrame, rows: str, cols: str, target: str, missing: str
 def rate_matrix(df: DataFrame, rows: str, cols: str, target: str, col_values: Sequence[str]) -> DataFrame:
     """Pivot: count and mean label per cell for the given column values; empty cells null."""
     return df.groupBy(rows).pivot(cols, list(col_values)).agg(
-        F.count("*").alias("n"), F.avg(F.col(target).cast("double")).alias("rate"))
+        F.count(F.lit(1)).alias("n"), F.avg(F.col(target).cast("double")).alias("rate"))
 
 
 def category_counts(df: DataFrame, columns: Sequence[str], missing: str = "None") -> DataFrame:
