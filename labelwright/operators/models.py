@@ -107,12 +107,11 @@ def encoder_stages(spark, enc: Encoding, numeric: Sequence[str], categorical: Se
         inputs.append("_scaled" if scale else "_numbers")
     used = [c for c in categorical if c not in enc.too_wide]
     if used:
-        labels = [enc.frequent[c] + ([RARE] if enc.rare[c] else []) for c in used]
-        index = StringIndexerModel.from_arrays_of_labels(
-            labels, [f"cat_{c}" for c in used], [f"ix_{c}" for c in used], handleInvalid="keep")
+        index = [StringIndexerModel.from_labels(
+            enc.frequent[c] + ([RARE] if enc.rare[c] else []), f"cat_{c}", f"ix_{c}", handleInvalid="keep") for c in used]
         # "keep" puts unseen values in an extra last slot, which dropLast removes
         onehot = OneHotEncoder(inputCols=[f"ix_{c}" for c in used], outputCols=[f"oh_{c}" for c in used], dropLast=True)
-        stages += [index, onehot]
+        stages += [*index, onehot]
         inputs += [f"oh_{c}" for c in used]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     return stages

@@ -60,9 +60,10 @@ def cut_ranges(cells: DataFrame, by: Sequence[str], key: str, *, small: int | No
     step = max(1, math.ceil(total / n_ranges / stride))
     place = F.struct(*[F.col(c) for c in (*by, key)])
     sample = cells.filter(F.pmod(F.xxhash64(*by, key), F.lit(stride)) == 0)
-    ordered = F.array_sort(F.collect_list(place))
-    cuts = pin(sample.agg(F.filter(ordered, lambda c, i: F.pmod(i + F.lit(1), F.lit(step)) == 0).alias("cuts")))
-    table = cells.withColumn("_range", F.size(F.filter(cuts.scalar(), lambda c: c < place)))
+    ordered = F.array_sort(F.collect_list(place))  # about _OVERSAMPLE * n_ranges keys
+    cuts = sample.agg(F.filter(ordered, lambda c, i: F.pmod(i + F.lit(1), F.lit(step)) == 0).alias("cuts")).scalar()
+    table = cells.withColumn("_cuts", cuts).withColumn(
+        "_range", F.size(F.filter(F.col("_cuts"), lambda c: c < place))).drop("_cuts")
     return RangedCells(table, tuple(by), key, False)
 
 
