@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.functions import text as tx
 from labelwright.operators.records import render
 from labelwright.operators.scoring import keyword_answer
 from labelwright.plans.order_study import StudyTables
+from labelwright.session import spread
 from labelwright.vocab import LOGISTICS, Vocabulary
 
 from .registry import read
@@ -94,7 +94,7 @@ TEXTS_SQL = f"texts AS (SELECT *, {_RENDERED} AS text FROM records)"
 
 
 def texts_table(spark: SparkSession, sf: str) -> DataFrame:
-    return render(records_table(spark, sf), RECORDS.fields)
+    return spread(render(records_table(spark, sf), RECORDS.fields))
 
 
 def answer_of(text: str = "text", row_id: str = "row_id"):
@@ -224,6 +224,3 @@ CLAIM_DOCS = """docs AS (SELECT doc_id, '---' || chr(10) || 'id: ' || doc_id ||
   lpad(CAST(doc_id%1000 AS VARCHAR),3,'0') || ' of 1,' || lpad(CAST(doc_id%1000 AS VARCHAR),3,'0') || ' rows, ' ||
   (doc_id%100) || '% flagged' AS text FROM documents)"""
 
-
-def pairs_of(text: str = "text"):
-    return tx.entries(F.col(text))

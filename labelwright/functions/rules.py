@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..vocab import Clause, Vocabulary
+from ..vocab import Clause
 from . import text as tx
 
 
@@ -24,25 +24,21 @@ def any_clause(clauses: Sequence[Clause], *, trim: bool = True) -> Column:
     return hit.cast("int")
 
 
-def rule_on_entries(pairs: Column, vocab: Vocabulary) -> Column:
-    """The rule read off a text's entries; null when any rule field is absent."""
-    values = [tx.field_value(pairs, c.column) for c in vocab.clauses]
+def rule_on_values(values: Sequence[Column], clauses: Sequence[Clause]) -> Column:
+    """The rule on field values read from a text; null when any field is absent (null)."""
     hit, present = F.lit(False), F.lit(True)
-    for value, clause in zip(values, vocab.clauses, strict=True):
+    for value, clause in zip(values, clauses, strict=True):
         hit, present = hit | (value == clause.value), present & value.isNotNull()
     return F.when(present, hit.cast("int"))
 
 
-def remaining_clause_on_entries(pairs: Column, vocab: Vocabulary, full_count: int) -> Column:
+def remaining_on_values(values: Sequence[Column], clauses: Sequence[Clause], n_fields: Column, full_count: int) -> Column:
     """Value of the one clause left after a deletion.
 
     Null when nothing was deleted (as many fields as a full record: a rename is not a
     deletion) and when both or neither of the rule fields are present.
     """
-    first, second = vocab.clauses
-    a, b = tx.field_value(pairs, first.column), tx.field_value(pairs, second.column)
-    n_fields = F.size(F.array_distinct(F.transform(pairs, lambda e: e["key"])))
-    left = F.when(a.isNotNull() & b.isNull(), (a == first.value).cast("int")).when(
-        b.isNotNull() & a.isNull(), (b == second.value).cast("int")
-    )
-    return F.when(n_fields < full_count, left)
+    (a, b), (first, second) = values, clauses
+    left = F.when(b.isNull(), (a == first.value).cast("int")).otherwise((b == second.value).cast("int"))
+    # fields are counted only where exactly one rule field is left
+    return F.when((a.isNotNull() != b.isNotNull()) & (n_fields < full_count), left)

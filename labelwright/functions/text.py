@@ -16,6 +16,7 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+_REST = 2**31 - 1
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
@@ -77,6 +78,23 @@ def field_value(pairs: Column, name: str | Column) -> Column:
     return F.try_element_at(F.filter(pairs, lambda e: e["key"] == name), F.lit(-1))["value"]
 
 
+_BLANKS = "[" + WHITESPACE.replace("\n", "") + "]*"
+
+
+def last_line_tail(text: Column, name: str) -> Column:
+    """``:value`` of the last ``name`` line, untrimmed; the empty text when absent.
+
+    One pattern, matched from the end of the text, instead of a list of all lines. Stage it as
+    a column before reading it with :func:`tail_value` more than once.
+    """
+    return F.regexp_extract(text, rf"(?s)\A(?:.*\n)?{_BLANKS}\Q{name}\E{_BLANKS}(:[^\n]*)", 1)
+
+
+def tail_value(tail: Column) -> Column:
+    """Trimmed value of a :func:`last_line_tail`; null when the field is absent."""
+    return F.when(tail != "", strip(F.substring(tail, F.lit(2), F.lit(_REST))))
+
+
 def answer_label(raw: Column, target: str) -> Column:
     """0/1 of a well-formed answer at the very start of the text, else null (never 0)."""
     quoted = "\\Q" + target + "\\E"
@@ -93,41 +111,37 @@ def clean_output(raw: Column) -> Column:
 
 
 # ------------------------------------------------------------------------------- edits
-def _framed(text: Column) -> Column:
+def framed(text: Column) -> Column:
+    """The text between two newlines, so that every line starts and ends with one."""
     return F.concat(F.lit("\n"), text, F.lit("\n"))
 
 
-def _line_at(framed: Column, name: Column) -> Column:
-    """Position of the newline before the first ``name: `` line; 0 when absent."""
-    return F.position(F.concat(F.lit("\n"), name, F.lit(": ")), framed)
+def line_start(framed_text: Column, name: Column) -> Column:
+    """Position of the first ``name: `` line in the text (from 1); 0 when absent."""
+    return F.position(F.concat(F.lit("\n"), name, F.lit(": ")), framed_text)
+
+
+def set_at(text: Column, framed_text: Column, at: Column, name: Column, value: Column) -> Column:
+    """The text with the ``name`` line at ``at`` set to a value; null when ``at`` is 0."""
+    end = F.position(F.lit("\n"), framed_text, at + F.lit(1)) - F.lit(1)
+    return F.when(at > 0, F.concat(
+        F.substring(text, F.lit(1), at - F.lit(1)), name, F.lit(": "), value, F.substring(text, end, F.lit(_REST))))
 
 
-def has_line(text: Column, name: Column) -> Column:
-    return _line_at(_framed(text), name) > 0
+def rename_at(text: Column, at: Column, name: Column, new: Column) -> Column:
+    """The text with the line at ``at`` renamed, its value untouched; null when ``at`` is 0."""
+    return F.when(at > 0, F.concat(
+        F.substring(text, F.lit(1), at - F.lit(1)), new, F.substring(text, at + F.length(name), F.lit(_REST))))
 
 
 def set_line(text: Column, name: Column, value: Column) -> Column:
     """Replace the value of the first ``name: `` line (the value is literal text)."""
-    framed = _framed(text)
-    at = _line_at(framed, name)
-    end = F.position(F.lit("\n"), framed, at + F.lit(1))
-    done = F.concat(
-        F.substring(framed, F.lit(2), at - F.lit(1)), name, F.lit(": "), value,
-        F.substring(framed, end, F.length(framed) - end),
-    )
-    return F.when(at > 0, done)
+    return set_at(text, framed(text), line_start(framed(text), name), name, value)
 
 
 def rename_line(text: Column, name: Column, new: Column) -> Column:
     """Rename the first ``name: `` line; its value stays as it is."""
-    framed = _framed(text)
-    at = _line_at(framed, name)
-    rest = at + F.length(name) + F.lit(1)
-    done = F.concat(
-        F.substring(framed, F.lit(2), at - F.lit(1)), new,
-        F.substring(framed, rest, F.length(framed) - rest),
-    )
-    return F.when(at > 0, done)
+    return rename_at(text, line_start(framed(text), name), name, new)
 
 
 def drop_lines(text: Column, names: Sequence[str] | Column) -> Column:

@@ -48,16 +48,32 @@ def drop(*names: str) -> tuple[Step, ...]:
     return tuple(Step("drop", n) for n in names)
 
 
-def apply_step(text: Column, op: Column, name: Column, value: Column) -> Column:
-    """The text after one step; null when the step does not fit (absent field, bad order)."""
-    return (
+def _clean(value: str) -> str:
+    """A plan's value as it is written into a record (the plan is cleaned once, not per row)."""
+    return value.strip() or "None"
+
+
+def _apply_step(df: DataFrame, i: int, on_error: str) -> DataFrame:
+    """Columns ``_text`` -> ``_text`` by step ``i`` of the row's plan entry.
+
+    Line positions are staged as columns of their own, so each is computed once per row.
+    """
+    op, name, value = (F.col(f"_e.{part}{i}") for part in ("op", "name", "value"))
+    text, lines, at = F.col("_text"), F.col("_lines"), F.col("_at")
+    lined = F.when(op.isin("set", "rename"), tx.framed(text))
+    staged = df.withColumn("_lines", lined).withColumn("_at", tx.line_start(lines, name))
+    done = (
         F.when(op.isNull(), text)
-        .when(op == "set", tx.set_line(text, name, tx.clean_value(value)))
-        .when(op == "rename", tx.rename_line(text, name, value))
+        .when(op == "set", tx.set_at(text, lines, at, name, value))
+        .when(op == "rename", tx.rename_at(text, at, name, value))
         .when(op == "drop", tx.drop_lines(text, name))
         .when(op == "append", tx.append_line(text, value))
         .when(op == "reorder", tx.reorder_lines(text, F.split(value, ORDER_SEPARATOR, -1)))
     )
+    if on_error == "raise":
+        done = F.coalesce(done, F.raise_error(
+            F.concat(F.lit("edit does not fit the record, plan entry "), F.col("_e.key"))))
+    return staged.withColumn("_text", done).drop("_lines", "_at")
 
 
 def checked(result: Column, what: str, on_error: str) -> Column:
@@ -102,7 +118,10 @@ def _plan_literal(plan: Sequence[Edit]) -> tuple[Column, int]:
         for i in range(depth):
             step = e.steps[i] if i < len(e.steps) else None
             for part in ("op", "name", "value"):
-                cells.append(F.lit(getattr(step, part) if step else None).cast("string").alias(f"{part}{i}"))
+                cell = getattr(step, part) if step else None
+                if part == "value" and step and step.op == "set":
+                    cell = _clean(cell)
+                cells.append(F.lit(cell).cast("string").alias(f"{part}{i}"))
         return F.struct(*cells)
 
     pieces: list[Column] = []
@@ -127,13 +146,9 @@ def apply_plan(records: DataFrame, plan: Sequence[Edit], cohorts: dict[str, Colu
     member = F.array_compact(F.array(*[F.when(cohorts[c], F.lit(c)) for c in used]))
     fitting = F.flatten(F.transform(member, lambda c: F.try_element_at(literal, c)))
     paired = records.select(row_id, *keep, F.col(text).alias("_text"), F.explode(fitting).alias("_e"))
-    result = F.col("_text")
     for i in range(depth):
-        result = apply_step(result, F.col(f"_e.op{i}"), F.col(f"_e.name{i}"), F.col(f"_e.value{i}"))
-        if on_error == "raise":
-            result = F.coalesce(result, F.raise_error(
-                F.concat(F.lit("edit does not fit the record, plan entry "), F.col("_e.key"))))
-    return paired.select(F.col("_e.key").alias("probe_key"), row_id, *keep, result.alias("text"))
+        paired = _apply_step(paired, i, on_error)
+    return paired.select(F.col("_e.key").alias("probe_key"), row_id, *keep, F.col("_text").alias("text"))
 
 
 def plan_table(spark: SparkSession, plan: Sequence[Edit]) -> DataFrame:
@@ -145,6 +160,6 @@ def plan_table(spark: SparkSession, plan: Sequence[Edit]) -> DataFrame:
 
 
 __all__ = [
-    "Edit", "Step", "apply_plan", "apply_step", "drop", "edit_column", "plan_table", "reorder",
+    "Edit", "Step", "apply_plan", "drop", "edit_column", "plan_table", "reorder",
     "seeded_order", "set_to",
 ]

@@ -94,8 +94,8 @@ def decode(df: DataFrame, text: str, fields: Sequence[str] | None = None, numeri
     """Parse record texts: a map column, or one column per wanted field."""
     if fields is None:
         return df.withColumn(out, tx.field_map(F.col(text)))
-    staged = df.select(*keep, tx.entries(F.col(text)).alias("_pairs"))
-    wide = staged.select(*keep, *[tx.field_value(F.col("_pairs"), f).alias(f) for f in fields])
+    tails = df.select(*keep, *[tx.last_line_tail(F.col(text), f).alias(f) for f in fields])
+    wide = tails.select(*keep, *[tx.tail_value(F.col(f)).alias(f) for f in fields])
     return conform(wide, fields, numeric, keep)
 
 

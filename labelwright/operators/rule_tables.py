@@ -17,13 +17,32 @@ def apply_rule(df: DataFrame, clauses: Sequence[Clause], out: str = "rule") -> D
     return df.withColumn(out, rules.any_clause(clauses))
 
 
+def read_rule(df: DataFrame, vocab: Vocabulary, text: str = "text", rule: str | None = "rule_on_text",
+              remaining: str | None = "remaining") -> DataFrame:
+    """What the rule says about each text, and what its one remaining clause says.
+
+    The rule fields are read once, as staged columns, and serve both answers.
+    """
+    raw = {f"_tail{i}": tx.last_line_tail(F.col(text), c.column) for i, c in enumerate(vocab.clauses)}
+    staged = df.withColumns(raw)
+    staged = staged.withColumns({f"_value{i}": tx.tail_value(F.col(f"_tail{i}")) for i in range(len(raw))})
+    values = [F.col(f"_value{i}") for i in range(len(raw))]
+    answers = {}
+    if rule:
+        answers[rule] = rules.rule_on_values(values, vocab.clauses)
+    if remaining:
+        answers[remaining] = rules.remaining_on_values(
+            values, vocab.clauses, tx.field_count(F.col(text)), len(vocab.fields))
+    return staged.withColumns(answers).drop(*raw, *[f"_value{i}" for i in range(len(raw))])
+
+
 def rule_on_text(df: DataFrame, vocab: Vocabulary, text: str = "text", out: str = "rule_on_text") -> DataFrame:
-    return df.withColumn(out, rules.rule_on_entries(tx.entries(F.col(text)), vocab))
+    """The rule read off each text; null when any rule field is absent."""
+    return read_rule(df, vocab, text, out, None)
 
 
 def remaining_clause(df: DataFrame, vocab: Vocabulary, text: str = "text", out: str = "remaining") -> DataFrame:
-    pairs = tx.entries(F.col(text))
-    return df.withColumn(out, rules.remaining_clause_on_entries(pairs, vocab, len(vocab.fields)))
+    return read_rule(df, vocab, text, None, out)
 
 
 def flip_by_rule(df: DataFrame, clauses: Sequence[Clause]) -> DataFrame:

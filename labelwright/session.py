@@ -52,3 +52,13 @@ def pin(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession, "pin")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when its source has fewer files than there are cores.
+
+    For jobs that multiply rows: a handful of small files would keep most cores idle. A
+    source with many files is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
