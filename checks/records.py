@@ -156,10 +156,8 @@ FROM (SELECT row_id, list_filter(list_transform(string_split(raw || chr(10) || '
   lambda l: trim(l)), lambda l: l <> '') AS lines FROM raws)""",
                                  v.RECORDS_SQL, f"raws AS (SELECT row_id, {_RAW} AS raw FROM records)"))
 def clean_output(spark, sf):
-    from labelwright.functions.text import clean_output as cleaned
-
-    raw = F.concat(F.col("raw"), F.lit("\n \n  done "))
-    return _raw_answers(spark, sf).select("row_id", cleaned(raw).alias("cleaned"))
+    noisy = _raw_answers(spark, sf).withColumn("raw", F.concat(F.col("raw"), F.lit("\n \n  done ")))
+    return rec.clean_outputs(noisy, "raw").select("row_id", "cleaned")
 
 
 @check("gold_from_chat", with_ctes("""

@@ -98,15 +98,18 @@ def tail_value(tail: Column) -> Column:
 def answer_label(raw: Column, target: str) -> Column:
     """0/1 of a well-formed answer at the very start of the text, else null (never 0)."""
     quoted = "\\Q" + target + "\\E"
-    hit = F.regexp_extract(raw, rf"(?U)\A[\s\x1c-\x1f]*{quoted}:[\s\x1c-\x1f]*([01])\b", 1)
-    return F.nullif(hit, F.lit("")).cast("int")
+    return F.regexp_extract(raw, rf"(?U)\A[\s\x1c-\x1f]*{quoted}:[\s\x1c-\x1f]*([01])\b", 1).try_cast("int")
 
 
-def clean_output(raw: Column) -> Column:
-    """Trim lines, drop blank ones, then drop a leading ``assistant...`` line."""
-    kept = F.filter(F.transform(F.split(raw, LINE_BREAK, -1), strip), lambda ln: ln != "")
-    first = F.lower(F.try_element_at(kept, F.lit(1)))
-    body = F.when(first.startswith("assistant"), F.slice(kept, F.lit(2), F.size(kept))).otherwise(kept)
+def output_lines(raw: Column) -> Column:
+    """The trimmed, non-blank lines of a model output."""
+    return F.filter(F.transform(F.split(raw, LINE_BREAK, -1), strip), lambda ln: ln != "")
+
+
+def without_speaker(lines: Column) -> Column:
+    """Lines joined, without a leading ``assistant...`` line (stage ``lines`` as a column)."""
+    first = F.lower(F.try_element_at(lines, F.lit(1)))
+    body = F.when(first.startswith("assistant"), F.slice(lines, F.lit(2), F.size(lines))).otherwise(lines)
     return F.array_join(body, "\n")
 
 

@@ -97,7 +97,7 @@ def prepare(df: DataFrame, enc: Encoding, numeric: Sequence[str], categorical: S
     return df.withColumns(cells)
 
 
-def encoder_stages(spark, enc: Encoding, numeric: Sequence[str], categorical: Sequence[str], *, scale: bool) -> list:
+def encoder_stages(enc: Encoding, numeric: Sequence[str], categorical: Sequence[str], *, scale: bool) -> list:
     """Assemble scaled numbers and one-hot categories; an unseen category is all zeros."""
     stages, inputs = [], []
     if numeric:
@@ -132,33 +132,35 @@ def estimator(kind: str, label: str, rows: int, seed: int = 0, **params):
     raise ValueError(f"unknown model kind {kind!r}")
 
 
-def fit(train: DataFrame, spec: ModelSpec, label: str, *, missing: str = "None", min_count: int = 1,
-        impute: bool = True, seed: int = 0) -> tuple[PipelineModel, Encoding]:
-    enc = learn_encoding(train, spec.numeric, spec.categorical, missing=missing, min_count=min_count, impute=impute)
-    stages = encoder_stages(train.sparkSession, enc, spec.numeric, spec.categorical, scale=True)
+def fit(prepared: DataFrame, enc: Encoding, spec: ModelSpec, label: str, seed: int = 0) -> PipelineModel:
+    """Fit one model on rows made by :func:`prepare`."""
+    stages = encoder_stages(enc, spec.numeric, spec.categorical, scale=True)
     stages.append(estimator(spec.kind, "_label", enc.rows, seed, **spec.params))
-    ready = prepare(train, enc, spec.numeric, spec.categorical, missing)
     used = [f"num_{c}" for c in spec.numeric] + [f"cat_{c}" for c in spec.categorical]
-    return Pipeline(stages=stages).fit(ready.select(F.col(label).cast("double").alias("_label"), *used)), enc
+    return Pipeline(stages=stages).fit(prepared.select(F.col(label).cast("double").alias("_label"), *used))
 
 
-def score(model: PipelineModel, enc: Encoding, df: DataFrame, spec: ModelSpec, keep: Sequence[str],
-          missing: str = "None") -> DataFrame:
-    """``keep..., model, pred, p1, margin`` for every row of ``df``."""
-    ready = prepare(df, enc, spec.numeric, spec.categorical, missing)
-    scored = model_scores(model.transform(ready))
+def score(model: PipelineModel, spec: ModelSpec, prepared: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep..., model, pred, p1, margin`` for every prepared row."""
+    scored = model_scores(model.transform(prepared))
     return scored.select(*keep, F.lit(spec.name).alias("model"), F.col("prediction").cast("int").alias("pred"),
                          "p1", "margin")
 
 
-def fit_and_score(train: DataFrame, test: DataFrame, specs: Sequence[ModelSpec], label: str, keep: Sequence[str],
-                  **options) -> DataFrame:
-    """The long prediction table of several models on the same test rows."""
-    missing = options.get("missing", "None")
-    parts = []
-    for spec in specs:
-        model, enc = fit(train, spec, label, **options)
-        parts.append(score(model, enc, test, spec, keep, missing))
+def fit_and_score(train: DataFrame, test: DataFrame, specs: Sequence[ModelSpec], label: str, keep: Sequence[str], *,
+                  missing: str = "None", min_count: int = 1, impute: bool = True, seed: int = 0) -> DataFrame:
+    """The long prediction table of several models on the same test rows.
+
+    Medians and categories are learnt once, from the training rows, for all models; the
+    prepared training rows are written down once, since every fit reads them many times.
+    """
+    numeric = list(dict.fromkeys(c for s in specs for c in s.numeric))
+    categorical = list(dict.fromkeys(c for s in specs for c in s.categorical))
+    rows = pin(train.select(label, *numeric, *categorical))
+    enc = learn_encoding(rows, numeric, categorical, missing=missing, min_count=min_count, impute=impute)
+    ready = pin(prepare(rows, enc, numeric, categorical, missing).drop(*numeric, *categorical))
+    held = prepare(test, enc, numeric, categorical, missing)
+    parts = [score(fit(ready, enc, spec, label, seed), spec, held, keep) for spec in specs]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -254,7 +256,7 @@ def tree_cv(df: DataFrame, target: str, keys: Sequence[str], *, depth: int = 2,
     inputs = df.drop(*keys)
     texts, numbers = column_roles(inputs, target)
     enc = learn_encoding(df, numbers, texts, missing=missing, max_categories=max_categories)
-    stages = encoder_stages(df.sparkSession, enc, numbers, texts, scale=False)
+    stages = encoder_stages(enc, numbers, texts, scale=False)
     ready = prepare(df, enc, numbers, texts, missing).withColumn("_label", F.col(target).cast("double"))
     encoded = Pipeline(stages=stages).fit(ready).transform(ready).select(*keys, "_label", "features")
     folded = pin(stratified_folds(encoded, "_label", keys, k, 1, seed).select("_label", "features", "fold_0"))

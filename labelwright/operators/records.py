@@ -103,6 +103,12 @@ def parse_answers(df: DataFrame, raw: str, target: str, out: str = "label") -> D
     return df.withColumn(out, tx.answer_label(F.col(raw), target))
 
 
+def clean_outputs(df: DataFrame, raw: str, out: str = "cleaned") -> DataFrame:
+    """Trim the lines of raw model outputs, drop blank ones and a leading speaker line."""
+    staged = df.withColumn("_lines", tx.output_lines(F.col(raw)))
+    return staged.withColumn(out, tx.without_speaker(F.col("_lines"))).drop("_lines")
+
+
 def turn_value(conversations: str, position: int) -> Column:
     """Text of the turn at ``position`` (0-based); null when the record is shorter."""
     return F.try_element_at(F.col(conversations), F.lit(position + 1))["value"]
