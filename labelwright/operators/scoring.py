@@ -44,9 +44,13 @@ def score_table(df: DataFrame, scorer: Scorer, vocab: Vocabulary, *, drop_rule_f
     return with_agreement(scored.withColumn("rule", rules.any_clause(vocab.clauses)), "label", "rule")
 
 
-def model_scores(predictions: DataFrame, probability: str = "probability", raw: str = "rawPrediction") -> DataFrame:
-    """Add ``p1`` and ``margin`` (score of class 1 minus class 0) from a fitted model's vectors."""
+def model_scores(predictions: DataFrame, probability: str = "probability") -> DataFrame:
+    """Add ``p1`` and ``margin`` (log-odds of class 1, so that p1 is their softmax).
+
+    A saturated probability of 0 or 1 keeps a large finite margin.
+    """
     from pyspark.ml.functions import vector_to_array
 
-    r = vector_to_array(raw)
-    return predictions.withColumns({"p1": vector_to_array(probability)[1], "margin": r[1] - r[0]})
+    both = predictions.withColumn("_p", vector_to_array(probability))
+    odds = [F.log(F.greatest(F.col("_p")[i], F.lit(2.0 ** -1022))) for i in (0, 1)]
+    return both.withColumns({"p1": F.col("_p")[1], "margin": odds[1] - odds[0]}).drop("_p")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def fingerprint_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """``file, n_bytes, sha256, sha256_lf``: raw hash, and hash with CRLF read as LF.
 
-    One file is one row, so files must stay below 2 GB (write tables in more files).
+    One file is one row, so files must stay below 2 GB (write tables in more files); Spark's
+    file sources do not list empty files.
     """
     reader = spark.read.format("binaryFile")
     if glob:
