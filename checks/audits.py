@@ -52,7 +52,7 @@ def stump_sql(table: str, column: str, name: str = "stump_rows") -> str:
   FROM stump_rows WHERE n_rows>={SUPPORT}""", v.STUMP, stump_sql("stump", "l_quantity")))
 def audit_stump(spark, sf):
     # small limits: the same split through the many-range path
-    found = cond.stump_conditions(v.stump_table(spark, sf), "target", small=10, range_cells=10)
+    found = cond.stump_conditions(v.stump_table(spark, sf), "target", small=10, range_cells=20)
     return found.select("column", "op", "threshold", "n_rows", "positives", "purity", "pure_label")
 
 
@@ -87,7 +87,7 @@ SELECT 'target' AS target, (SELECT count(*) FROM audit) AS n, (SELECT sum(target
                                  v.AUDIT, _categorical_sql("audit", FEW), stump_sql("audit", "l_quantity"),
                                  _conditions_sql("audit", FEW)))
 def report(spark, sf):
-    return audit_report(v.audit_table(spark, sf), "target", v.AUDIT_COLUMNS)
+    return audit_report(v.audit_table(spark, sf), "target", v.AUDIT_COLUMNS, materialize=True)
 
 
 _NEG_FEW = ["l_returnflag", "l_linestatus", "l_linenumber", "l_discount", "l_tax"]

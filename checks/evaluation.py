@@ -123,14 +123,14 @@ def auroc(spark, sf):
 @check("average_precision", with_ctes("SELECT n, positives, round(auprc,6) AS auprc FROM ranked", v.SCORES, ranking_sql("scores")))
 def average_precision(spark, sf):
     # small limits: the same numbers through the many-range path
-    return ranking.average_precision(v.scores_table(spark, sf), "y", "score", small=500, range_cells=100)
+    return ranking.average_precision(v.scores_table(spark, sf), "y", "score", small=500, range_cells=2000)
 
 
 @check("roc_points", with_ctes("""SELECT round(score,6) AS score, pos, neg, cum_pos::BIGINT AS cum_pos,
   cum_neg::BIGINT AS cum_neg FROM pts""", v.SCORES, ranking_sql("scores")))
 def roc_points(spark, sf):
     cells = ranking.score_cells(v.scores_table(spark, sf), "y", "score")
-    return ranking.roc_points(cells, small=500, range_cells=100).drop("all_pos", "all_neg")
+    return ranking.roc_points(cells, small=500, range_cells=2000).drop("all_pos", "all_neg")
 
 
 @check("brier", with_ctes("SELECT event_type, count(*) AS n, round(avg((score-y)*(score-y)),6) AS brier FROM scores GROUP BY 1",
@@ -218,7 +218,7 @@ SELECT count(*) AS replicates, round(quantile_cont(auroc,0.025),6) AS auroc_lo,
   FROM scores JOIN numbered USING (block) JOIN times USING (block_no) GROUP BY 1,2)"""))
 def block_bootstrap_ci(spark, sf):
     return resampling.bootstrap_blocks(v.scores_table(spark, sf), "y", "score", "block", n_boot=60, seed=11,
-                                       small=1000, range_cells=500)
+                                       small=1000, range_cells=5000)
 
 
 # ------------------------------------------------------------------------------- splits
@@ -360,10 +360,8 @@ SELECT has_system, count(*) AS records, sum(n)::BIGINT AS tokens, max(n) AS long
   count(*) FILTER (n>300) AS cut_records FROM (SELECT conv_id, bool_or(role='system') AS has_system,
   sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS n FROM conversations GROUP BY 1) GROUP BY 1"""))
 def length_profile(spark, sf):
-    chats = v.chat_table(spark, sf).select(
-        F.exists("conversations", lambda t: t["from"] == "system").alias("has_system"),
-        F.array_join(F.transform("conversations", lambda t: t["value"]), "\n").alias("text"))
-    return masks.length_profile(chats, F.col("text"), 300, ["has_system"])
+    turns = read(spark, sf, "conversations").withColumn("has_system", F.col("role") == "system")
+    return masks.length_profile(turns, F.col("text"), 300, ["has_system"], ["conv_id"])
 
 
 @check("runlog_summary", """

@@ -48,7 +48,7 @@ def payment_rollup(spark, sf):
 @check("zip_centroid", with_ctes("SELECT CAST(zip AS BIGINT) AS zip, round(lat+1e-9,6) AS lat, round(lng+1e-9,6) AS lng FROM centroid",
                                  v.PLACES))
 def zip_centroid(spark, sf):
-    return st.zip_centroid(v.places_table(spark, sf), small=50, range_cells=20).select(
+    return st.zip_centroid(v.places_table(spark, sf), small=50, range_cells=2000).select(
         "zip", (F.col("lat") + 1e-9).alias("lat"), (F.col("lng") + 1e-9).alias("lng"))
 
 

@@ -62,7 +62,7 @@ STUMP = "stump AS (SELECT l_quantity, CAST(l_quantity>40 AS INT) AS target FROM
 
 
 def records_table(spark: SparkSession, sf: str) -> DataFrame:
-    o, c = read(spark, sf, "orders"), read(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    o, c = spread(read(spark, sf, "orders")), read(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     quarter = F.col("o_orderkey") % 4
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
@@ -94,7 +94,7 @@ TEXTS_SQL = f"texts AS (SELECT *, {_RENDERED} AS text FROM records)"
 
 
 def texts_table(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(render(records_table(spark, sf), RECORDS.fields))
+    return render(records_table(spark, sf), RECORDS.fields)
 
 
 def answer_of(text: str = "text", row_id: str = "row_id"):
@@ -215,7 +215,7 @@ def claim_docs(spark: SparkSession, sf: str) -> DataFrame:
         d.cast("string"), F.lit("](docs/p.md) at https://example.com/a/9 and deadbeef0123456789\nscore "),
         (d % 97).cast("string"), F.lit("."), F.lpad((d % 1000).cast("string"), 3, "0"), F.lit(" of 1,"),
         F.lpad((d % 1000).cast("string"), 3, "0"), F.lit(" rows, "), (d % 100).cast("string"), F.lit("% flagged"))
-    return read(spark, sf, "documents").select("doc_id", added.alias("text"))
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", added.alias("text"))
 
 
 CLAIM_DOCS = """docs AS (SELECT doc_id, '---' || chr(10) || 'id: ' || doc_id || chr(10) || '---' || chr(10) || text ||

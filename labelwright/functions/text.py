@@ -57,28 +57,26 @@ def entries(text: Column) -> Column:
     )
 
 
-def last_entries(pairs: Column) -> Column:
-    """Only the last entry of every key, in text order."""
-    keys = F.reverse(F.transform(pairs, lambda e: e["key"]))
-    return F.filter(pairs, lambda e, i: i == F.size(pairs) - F.array_position(keys, e["key"]))
+def keys_from_end(pairs: Column) -> Column:
+    """The keys of ``entries``, last line first."""
+    return F.reverse(F.transform(pairs, lambda e: e["key"]))
 
 
-def field_map(text: Column) -> Column:
-    """``map<string,string>`` of the lines; a repeated key keeps its last value."""
-    return F.map_from_entries(last_entries(entries(text)))
+def last_wins_map(pairs: Column, from_end: Column) -> Column:
+    """``map<string,string>`` in which a repeated key keeps its last value.
+
+    ``pairs`` and ``from_end`` must be staged columns: both are read once per line.
+    """
+    kept = F.filter(pairs, lambda e, i: i == F.size(pairs) - F.array_position(from_end, e["key"]))
+    return F.map_from_entries(kept)
 
 
 def field_count(text: Column) -> Column:
     return F.size(F.array_distinct(F.transform(entries(text), lambda e: e["key"])))
 
 
-def field_value(pairs: Column, name: str | Column) -> Column:
-    """Last value of field ``name`` among ``entries``; null when the field is absent."""
-    name = F.lit(name) if isinstance(name, str) else name
-    return F.try_element_at(F.filter(pairs, lambda e: e["key"] == name), F.lit(-1))["value"]
-
-
-_BLANKS = "[" + WHITESPACE.replace("\n", "") + "]*"
+#: White space within a line, in a pattern with Unicode classes switched on.
+_BLANKS = r"[\s\x1c-\x1f&&[^\n]]*"
 
 
 def last_line_tail(text: Column, name: str) -> Column:
@@ -87,7 +85,7 @@ def last_line_tail(text: Column, name: str) -> Column:
     One pattern, matched from the end of the text, instead of a list of all lines. Stage it as
     a column before reading it with :func:`tail_value` more than once.
     """
-    return F.regexp_extract(text, rf"(?s)\A(?:.*\n)?{_BLANKS}\Q{name}\E{_BLANKS}(:[^\n]*)", 1)
+    return F.regexp_extract(text, rf"(?sU)\A(?:.*\n)?{_BLANKS}\Q{name}\E{_BLANKS}(:[^\n]*)", 1)
 
 
 def tail_value(tail: Column) -> Column:
@@ -154,17 +152,21 @@ def drop_lines(text: Column, names: Sequence[str] | Column) -> Column:
     return F.array_join(F.filter(text_lines(text), lambda ln: ~line_key(ln).isin(*names)), "\n")
 
 
-def reorder_lines(text: Column, order: Column) -> Column:
-    """Lines in ``order``; null unless ``order`` names exactly the keys present."""
-    keyed = F.transform(
-        F.filter(text_lines(text), lambda ln: ln.contains(":")),
-        lambda ln: F.struct(line_key(ln).alias("key"), ln.alias("line")),
-    )
+def keyed_lines(text: Column) -> Column:
+    """``array<struct<key,line>>`` of the lines that hold a colon, keys not trimmed."""
+    with_colon = F.filter(text_lines(text), lambda ln: ln.contains(":"))
+    return F.transform(with_colon, lambda ln: F.struct(line_key(ln).alias("key"), ln.alias("line")))
+
+
+def reorder_lines(keyed: Column, order: Column) -> Column:
+    """Lines in ``order``; null unless ``order`` names exactly the keys present.
+
+    ``keyed`` must be a staged column of :func:`keyed_lines`: it is read once per field.
+    """
     keys = F.transform(keyed, lambda e: e["key"])
     same = (F.size(F.array_except(keys, order)) == 0) & (F.size(F.array_except(order, keys)) == 0)
     picked = F.transform(
-        order, lambda k: F.try_element_at(F.filter(keyed, lambda e: e["key"] == k), F.lit(-1))["line"]
-    )
+        order, lambda k: F.try_element_at(F.filter(keyed, lambda e: e["key"] == k), F.lit(-1))["line"])
     return F.when(same, F.array_join(picked, "\n"))
 
 

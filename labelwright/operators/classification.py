@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_groups
 from ..functions.intervals import exact_bounds, ratio, wilson_bounds
+from .ordered import grouped_median
 
 
 def confusion(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
@@ -100,8 +102,6 @@ def repeat_stability(df: DataFrame, row_id: str, run: str, y: str, pred: str) ->
 
 def margin_summary(df: DataFrame, margin: str, by: Sequence[str] = (), flag: str | None = None) -> DataFrame:
     """Smallest, largest and median-absolute margin per group, optional share of a 0/1 flag."""
-    from .ordered import grouped_median
-
     m = F.col(margin)
     aggs = [F.count(m).alias("n"), F.min(m).alias("margin_min"), F.max(m).alias("margin_max"),
             F.min(F.abs(m)).alias("margin_abs_min")]
@@ -110,5 +110,5 @@ def margin_summary(df: DataFrame, margin: str, by: Sequence[str] = (), flag: str
     plain = df.groupBy(*by).agg(*aggs)
     medians = grouped_median(df.select(*by, F.abs(m).alias("margin_abs_median")), by, ["margin_abs_median"])
     if by:
-        return plain.join(medians, list(by), "left")
+        return join_groups(plain, medians, by, "left")
     return plain.withColumn("margin_abs_median", medians.scalar())

@@ -61,41 +61,43 @@ def _apply_step(df: DataFrame, i: int, on_error: str) -> DataFrame:
     op, name, value = (F.col(f"_e.{part}{i}") for part in ("op", "name", "value"))
     text, lines, at = F.col("_text"), F.col("_lines"), F.col("_at")
     lined = F.when(op.isin("set", "rename"), tx.framed(text))
-    staged = df.withColumn("_lines", lined).withColumn("_at", tx.line_start(lines, name))
+    staged = df.withColumn("_lines", lined).withColumn("_at", tx.line_start(lines, name)).withColumn(
+        "_keyed", F.when(op == "reorder", tx.keyed_lines(text)))
     done = (
         F.when(op.isNull(), text)
         .when(op == "set", tx.set_at(text, lines, at, name, value))
         .when(op == "rename", tx.rename_at(text, at, name, value))
         .when(op == "drop", tx.drop_lines(text, name))
         .when(op == "append", tx.append_line(text, value))
-        .when(op == "reorder", tx.reorder_lines(text, F.split(value, ORDER_SEPARATOR, -1)))
+        .when(op == "reorder", tx.reorder_lines(F.col("_keyed"), F.split(value, ORDER_SEPARATOR, -1)))
     )
-    if on_error == "raise":
-        done = F.coalesce(done, F.raise_error(
-            F.concat(F.lit("edit does not fit the record, plan entry "), F.col("_e.key"))))
-    return staged.withColumn("_text", done).drop("_lines", "_at")
+    done = _checked(done, F.concat(F.lit("plan entry "), F.col("_e.key")), on_error)
+    return staged.withColumn("_text", done).drop("_lines", "_at", "_keyed")
 
 
-def checked(result: Column, what: str, on_error: str) -> Column:
+def _checked(result: Column, what: Column, on_error: str) -> Column:
     """Fail the job on a step that did not fit, or leave null (``on_error='null'``)."""
     if on_error == "null":
         return result
-    return F.coalesce(result, F.raise_error(F.lit(f"edit does not fit the record: {what}")))
+    return F.coalesce(result, F.raise_error(F.concat(F.lit("edit does not fit the record: "), what)))
 
 
 def edit_column(df: DataFrame, text: str, steps: Iterable[Step], out: str = "text", on_error: str = "raise") -> DataFrame:
     """Apply the same steps, left to right, to every record of a table."""
-    result = F.col(text)
+    work = df.withColumn("_text", F.col(text))
     for step in steps:
-        fitted = {
-            "set": lambda t, s: tx.set_line(t, F.lit(s.name), tx.clean_value(F.lit(s.value))),
-            "rename": lambda t, s: tx.rename_line(t, F.lit(s.name), F.lit(s.value)),
-            "drop": lambda t, s: tx.drop_lines(t, [s.name]),
-            "append": lambda t, s: tx.append_line(t, F.lit(s.value)),
-            "reorder": lambda t, s: tx.reorder_lines(t, F.split(F.lit(s.value), ORDER_SEPARATOR, -1)),
-        }[step.op](result, step)
-        result = fitted if step.op in ("drop", "append") else checked(fitted, f"{step.op} {step.name}", on_error)
-    return df.withColumn(out, result)
+        t, name, value = F.col("_text"), F.lit(step.name), F.lit(step.value)
+        if step.op in ("set", "rename"):
+            work = work.withColumn("_lines", tx.framed(t)).withColumn("_at", tx.line_start(F.col("_lines"), name))
+            done = (tx.set_at(t, F.col("_lines"), F.col("_at"), name, F.lit(_clean(step.value))) if step.op == "set"
+                    else tx.rename_at(t, F.col("_at"), name, value))
+        elif step.op == "reorder":
+            work = work.withColumn("_keyed", tx.keyed_lines(t))
+            done = tx.reorder_lines(F.col("_keyed"), F.split(value, ORDER_SEPARATOR, -1))
+        else:
+            done = tx.drop_lines(t, [step.name]) if step.op == "drop" else tx.append_line(t, value)
+        work = work.withColumn("_text", _checked(done, F.lit(f"{step.op} {step.name}"), on_error))
+    return work.withColumn(out, F.col("_text")).drop("_text", "_lines", "_at", "_keyed")
 
 
 def seeded_order(seed: int, fields: Sequence[str]) -> list[str]:

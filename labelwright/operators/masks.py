@@ -77,10 +77,17 @@ def mask_profile(df: DataFrame, tokens: str, prefix: Sequence[int], suffix: Sequ
         F.sum("_k").cast("bigint").alias("kept_tokens"), (F.sum("_k") / F.sum("_n")).alias("kept_share"))
 
 
-def length_profile(df: DataFrame, text: Column, limit: int, by: Sequence[str] = ()) -> DataFrame:
-    """White-space tokens per record: total, longest, and total after cutting at ``limit``."""
+def length_profile(df: DataFrame, text: Column, limit: int, by: Sequence[str] = (), record: Sequence[str] = ()) -> DataFrame:
+    """White-space tokens per record: total, longest, and total after cutting at ``limit``.
+
+    When a record is spread over several rows (say, the turns of a conversation), ``record``
+    names its key: the rows are counted apart and summed, and a record belongs to the largest
+    ``by`` values among its rows.
+    """
     n = F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
-    counted = df.select(*by, n.cast("bigint").alias("_n"))
+    counted = df.select(*record, *by, n.cast("bigint").alias("_n"))
+    if record:
+        counted = counted.groupBy(*record).agg(F.sum("_n").alias("_n"), *[F.max(b).alias(b) for b in by])
     return counted.groupBy(*by).agg(
         F.count("*").alias("records"), F.sum("_n").alias("tokens"), F.max("_n").alias("longest"),
         F.sum(F.least(F.col("_n"), F.lit(limit))).alias("tokens_after_cut"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checkout as co
 from ..functions.intervals import ratio
+from ..functions.joins import join_groups
 from ..session import pin
 from ..vocab import Vocabulary
 from .classification import classification_metrics
@@ -241,7 +242,7 @@ def cv_summary(predictions: DataFrame, label: str, score_column: str | None = No
     per_fold = classification_metrics(predictions, label, "pred", by).select(*by, "acc")
     metrics = ["acc"]
     if score_column:
-        per_fold = per_fold.join(auroc(predictions, label, score_column, by).select(*by, "auroc"), by, "left")
+        per_fold = join_groups(per_fold, auroc(predictions, label, score_column, by).select(*by, "auroc"), by, "left")
         metrics.append("auroc")
     aggs = [f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
     return per_fold.groupBy("model").agg(F.count("*").alias("folds"), *aggs)

@@ -1,9 +1,9 @@
 """Running totals over an ordered key without a single-partition window.
 
 Rows are first reduced to distinct keys, so a key held by a third of all rows is one row
-like any other. Small results then take one window per group. Larger ones are cut into
-value ranges of bounded size by splitters taken from a hash sample of the keys; each range
-is summed on its own and receives the totals of the ranges before it.
+like any other. Small results then take one window per group. Larger ones are range
+partitioned into value ranges of bounded size and written down with the number of their
+range; each range is summed on its own and receives the totals of the ranges before it.
 """
 
 from __future__ import annotations
@@ -15,15 +15,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_groups
 from ..session import pin
 
 #: Up to this many distinct (group, key) rows one window per group is used.
 SMALL_CELLS = 200_000
 #: Target number of distinct keys per value range.
 RANGE_CELLS = 100_000
-#: Largest number of value ranges (their splitters travel as one constant array).
-MAX_RANGES = 4_000
-_OVERSAMPLE = 8
+#: Largest number of value ranges.
+MAX_RANGES = 20_000
 
 
 @dataclass(frozen=True)
@@ -49,22 +49,16 @@ def cut_ranges(cells: DataFrame, by: Sequence[str], key: str, *, small: int | No
                range_cells: int | None = None) -> RangedCells:
     """Assign every cell a value range of bounded size.
 
-    The splitters depend on the keys' hashes alone, so a recomputed task sees the same ranges.
+    The ranges of Spark's range partitioning depend on a sample, so the table is written down
+    together with them: every later step, and every retried task, sees the same ranges.
     """
     small, range_cells = small or SMALL_CELLS, range_cells or RANGE_CELLS
     total = cells.count()
     if total <= small:
         return RangedCells(cells.withColumn("_range", F.lit(0)), tuple(by), key, True)
     n_ranges = min(MAX_RANGES, math.ceil(total / range_cells))
-    stride = max(1, total // (n_ranges * _OVERSAMPLE))
-    step = max(1, math.ceil(total / n_ranges / stride))
-    place = F.struct(*[F.col(c) for c in (*by, key)])
-    sample = cells.filter(F.pmod(F.xxhash64(*by, key), F.lit(stride)) == 0)
-    ordered = F.array_sort(F.collect_list(place))  # about _OVERSAMPLE * n_ranges keys
-    cuts = sample.agg(F.filter(ordered, lambda c, i: F.pmod(i + F.lit(1), F.lit(step)) == 0).alias("cuts")).scalar()
-    table = cells.withColumn("_cuts", cuts).withColumn(
-        "_range", F.size(F.filter(F.col("_cuts"), lambda c: c < place))).drop("_cuts")
-    return RangedCells(table, tuple(by), key, False)
+    spread = cells.repartitionByRange(n_ranges, *by, key).withColumn("_range", F.spark_partition_id())
+    return RangedCells(pin(spread), tuple(by), key, False)
 
 
 def range_offsets(ranged: RangedCells, measures: Sequence[str], *, descending: bool = False) -> DataFrame:
@@ -90,7 +84,7 @@ def running_totals(cells: DataFrame, by: Sequence[str], key: str, measures: Sequ
     local = ranged.table.withColumns({f"cum_{m}": F.sum(m).over(inside) for m in measures})
     if ranged.single:
         return local.withColumns({f"all_{m}": F.sum(m).over(group) for m in measures}).drop("_range")
-    joined = local.join(range_offsets(ranged, measures, descending=descending), [*by, "_range"])
+    joined = join_groups(local, range_offsets(ranged, measures, descending=descending), [*by, "_range"])
     return joined.select(
         *cells.columns,
         *[(F.col(f"cum_{m}") + F.col(f"_before_{m}")).alias(f"cum_{m}") for m in measures],

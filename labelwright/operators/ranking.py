@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import ratio
+from ..functions.joins import join_groups
 from .ordered import reduce_cells, running_totals
 
 # --- Fixed values: threshold lists and bin edges (exact doubles) --------------------------
@@ -84,7 +85,7 @@ def metric_bundle(df: DataFrame, y: str, score: str, by: Sequence[str] = (), **l
              ratio(F.col("_gap"), F.col("_n")).alias("brier"))
     ranking = ranking_from_cells(cells, by, **limits)
     if by:
-        return ranking.join(calibration, list(by))
+        return join_groups(ranking, calibration, by)
     # both sides are single rows
     one = calibration.select(F.struct("prevalence", "mean_predicted", "brier").alias("c")).scalar()
     return ranking.withColumn("_c", one).select("*", "_c.*").drop("_c")
@@ -114,7 +115,7 @@ def threshold_table(df: DataFrame, y: str, score: str, thresholds: Sequence[floa
     grid = totals.select(*by, "n", "positives", F.explode(F.array(*[
         F.struct(F.lit(i).alias("_t"), F.lit(t).alias("threshold")) for i, t in enumerate(steps, 1)])).alias("_s"))
     grid = grid.select(*by, "n", "positives", "_s._t", "_s.threshold")
-    table = grid.join(sums, [*by, "_t"], "left").na.fill(0, ["flagged", "tp"])
+    table = join_groups(grid, sums, [*by, "_t"], "left").na.fill(0, ["flagged", "tp"])
     flagged, tp = F.col("flagged"), F.col("tp")
     return table.select(
         *by, "threshold", "flagged", "tp", ratio(flagged, F.col("n")).alias("flagged_share"),

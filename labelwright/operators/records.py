@@ -93,7 +93,8 @@ def decode(df: DataFrame, text: str, fields: Sequence[str] | None = None, numeri
            out: str = "fields", keep: Sequence[str] = ()) -> DataFrame:
     """Parse record texts: a map column, or one column per wanted field."""
     if fields is None:
-        return df.withColumn(out, tx.field_map(F.col(text)))
+        staged = df.withColumn("_pairs", tx.entries(F.col(text))).withColumn("_keys", tx.keys_from_end(F.col("_pairs")))
+        return staged.withColumn(out, tx.last_wins_map(F.col("_pairs"), F.col("_keys"))).drop("_pairs", "_keys")
     tails = df.select(*keep, *[tx.last_line_tail(F.col(text), f).alias(f) for f in fields])
     wide = tails.select(*keep, *[tx.tail_value(F.col(f)).alias(f) for f in fields])
     return conform(wide, fields, numeric, keep)

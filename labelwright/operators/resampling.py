@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform, row_hash
 from ..functions.intervals import ratio
+from ..functions.joins import join_groups
 from ..session import pin
 from .classification import confusion
 from .ordered import cut_ranges, reduce_cells, running_totals
@@ -83,13 +84,13 @@ def count_replicates(counts: DataFrame, by: Sequence[str], n_boot: int, seed: in
 def bootstrap_counts(df: DataFrame, y: str, pred: str, by: Sequence[str] = (), metrics: Sequence[str] = ("acc", "f1"),
                      n_boot: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Percentile intervals of count metrics; ``degenerate`` marks groups without errors."""
-    counts = confusion(df, y, pred, by)
+    counts = pin(confusion(df, y, pred, by))
     reps = count_replicates(counts, by, n_boot, seed).select(
         *by, "replicate", *[COUNT_METRICS[m]().alias(m) for m in metrics])
     bounds = _percentile_bounds(reps, by, metrics, alpha)
     flags = counts.select(*by, (F.col("fp") + F.col("fn") == 0).alias("degenerate"))
     if by:
-        return flags.join(bounds, list(by), "left")
+        return join_groups(flags, bounds, by, "left")
     return bounds.withColumn("degenerate", flags.scalar())
 
 

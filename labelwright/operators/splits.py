@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, row_hash
+from ..functions.joins import never_null
 
 
 def _ranked(df: DataFrame, by: Sequence[str], keys: Sequence[str], seed: int | str, out: str) -> DataFrame:
@@ -18,13 +19,15 @@ def _ranked(df: DataFrame, by: Sequence[str], keys: Sequence[str], seed: int | s
     ``keys`` is a row key) and shifted by the sizes of the buckets before.
     """
     digest = row_hash(seed, keys)
-    hashed = df.withColumns({"_h": digest, "_b": hash_bucket(digest)})
-    sizes = hashed.groupBy(*by, "_b").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*by, "_b", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*by, "_b").orderBy("_h", *keys)
-    placed = hashed.withColumn("_pos", F.row_number().over(inside)).join(offsets, [*by, "_b"])
-    return placed.withColumn(out, F.col("_pos") + F.col("_off") - 1).drop("_h", "_b", "_pos", "_off")
+    group = F.concat_ws("|", *[never_null(b) for b in by])
+    hashed = df.withColumns({"_h": digest, "_b": hash_bucket(digest), "_g": group})
+    sizes = hashed.groupBy("_g", "_b").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_g", "_b", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
+    # the window and the join share one partitioning: the rows are shuffled once
+    inside = Window.partitionBy("_g", "_b").orderBy("_h", *keys)
+    placed = hashed.withColumn("_pos", F.row_number().over(inside)).join(offsets, ["_g", "_b"])
+    return placed.withColumn(out, F.col("_pos") + F.col("_off") - 1).drop("_g", "_h", "_b", "_pos", "_off")
 
 
 def seeded_split(df: DataFrame, keys: Sequence[str], ratio: float = 0.8, seed: int = 0, out: str = "split") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LINE_BREAK
+from ..session import pin
 
 # --- Fixed values: patterns ---------------------------------------------------------------
 FRONT_MATTER = r"(?s)\A---.*?\n---"
@@ -137,12 +138,12 @@ def unsupported_claims(tokens: DataFrame, known: DataFrame, doc: str) -> DataFra
     Tokens are reduced to distinct ones before the look-up, so a number repeated in a third
     of all lines is looked up once.
     """
-    distinct = tokens.select("token", "percent").distinct()
+    counted = pin(tokens.groupBy(doc, "token", "percent").agg(
+        F.count("*").alias("places"), F.min("line_no").alias("first_line")))
+    distinct = counted.select("token", "percent").distinct()
     spelled = distinct.select("token", "percent", F.explode(token_forms(F.col("token"), F.col("percent"))).alias("form"))
     backed = spelled.join(known.select("form"), "form", "left_semi").select("token", "percent").distinct()
-    missing = distinct.join(backed, ["token", "percent"], "left_anti")
-    counted = tokens.groupBy(doc, "token", "percent").agg(F.count("*").alias("places"), F.min("line_no").alias("first_line"))
-    return counted.join(missing, ["token", "percent"], "left_semi").select(doc, "token", "percent", "places", "first_line")
+    return counted.join(backed, ["token", "percent"], "left_anti").select(doc, "token", "percent", "places", "first_line")
 
 
 def harvest_keys(config: DataFrame, json: str, keys: Sequence[str]) -> DataFrame:

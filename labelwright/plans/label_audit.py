@@ -13,12 +13,17 @@ from ..session import pin
 
 
 def audit(df: DataFrame, target: str, columns: Sequence[str] | None = None, min_support: int = MIN_SUPPORT,
-          missing: str = "nan", tree: bool = False, keys: Sequence[str] = (), **limits: int) -> dict[str, DataFrame]:
+          missing: str = "nan", tree: bool = False, keys: Sequence[str] = (), materialize: bool = False,
+          **limits: int) -> dict[str, DataFrame]:
     """Sections: ``summary``, ``conditions``, ``pure_conditions``, ``rule`` and, on request, ``tree``.
 
-    The condition table is written down once; the rule search starts from it.
+    The condition table is written down once; the rule search starts from it. The audit reads
+    its input a handful of times: ``materialize`` writes the audited columns down first, which
+    pays when the input is a join or another costly query rather than a table.
     """
     names = [c for c in (columns or df.columns) if c != target]
+    if materialize:
+        df = pin(df.select(*names, target, *[k for k in keys if k not in names]))
     found = pin(single_conditions(df, target, names, min_support, missing, **limits))
     ranked = rank_conditions(found, names).withColumn("condition", describe())
     sections = {

@@ -175,3 +175,20 @@ def test_repeat_stability_counts_changes(spark):
     df = spark.createDataFrame(runs, "id int, seed int, y int, p int")
     out = {r.seed: (r.changed_rows, r.unparsable) for r in cl.repeat_stability(df, "id", "seed", "y", "p").collect()}
     assert out == {0: (0, 0), 1: (1, 0), 2: (1, 1)}
+
+
+def test_a_null_group_is_a_group(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": [None, "a"] * 100, "y": rng.integers(0, 2, 200), "s": rng.random(200).round(2),
+                        "p": rng.integers(0, 2, 200)})
+    df = spark.createDataFrame(pdf, "g string, y int, s double, p int")
+    for limits in ({}, MANY):
+        out = {r.g: r for r in ranking.metric_bundle(df, "y", "s", ["g"], **limits).collect()}
+        for g, part in (("a", pdf[pdf.g == "a"]), (None, pdf[pdf.g.isna()])):
+            assert out[g].auroc == pytest.approx(brute_auroc(part.y.to_numpy(), part.s.to_numpy()))
+            assert out[g].brier == pytest.approx(((part.s - part.y) ** 2).mean())
+    flagged = {(r.g, r.threshold): r.flagged for r in ranking.threshold_sweep(df, "y", "s", ["g"]).collect()}
+    assert flagged[None, 0.5] == (pdf[pdf.g.isna()].s >= 0.5).sum()
+    assert {r.g for r in resampling.bootstrap_counts(df, "y", "p", ["g"], n_boot=20).filter("acc_lo is not null").collect()} == {None, "a"}
+    assert {r.g for r in resampling.bootstrap_ranking(df, "y", "s", ["g"], n_boot=20, **MANY).collect()} == {None, "a"}
+    assert {r.g for r in cl.margin_summary(df, "s", ["g"]).filter("margin_abs_median is not null").collect()} == {None, "a"}

@@ -93,3 +93,9 @@ def test_response_labels_on_random_arrays(spark):
     df = spark.createDataFrame(rows, "t array<int>")
     for r in df.select("t", masks.response_labels(F.col("t"), [1, 2], [3, 4]).alias("l")).collect():
         assert r.l == by_hand(r.t, [1, 2], [3, 4])
+
+
+def test_folds_keep_rows_without_a_label(spark):
+    df = spark.range(100).selectExpr("id", "if(id % 4 = 0, null, cast(id % 2 as int)) as y")
+    out = splits.stratified_folds(df, "y", ["id"], 5)
+    assert out.count() == 100 and {r["count"] for r in out.filter("y is null").groupBy("fold_0").count().collect()} == {5}
