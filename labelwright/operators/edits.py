@@ -53,12 +53,12 @@ def _clean(value: str) -> str:
     return value.strip() or "None"
 
 
-def _apply_step(df: DataFrame, i: int, on_error: str) -> DataFrame:
+def _apply_step(df: DataFrame, entry: Column, i: int, on_error: str) -> DataFrame:
     """Columns ``_text`` -> ``_text`` by step ``i`` of the row's plan entry.
 
     Line positions are staged as columns of their own, so each is computed once per row.
     """
-    op, name, value = (F.col(f"_e.{part}{i}") for part in ("op", "name", "value"))
+    op, name, value = (entry[f"{part}{i}"] for part in ("op", "name", "value"))
     text, lines, at = F.col("_text"), F.col("_lines"), F.col("_at")
     lined = F.when(op.isin("set", "rename"), tx.framed(text))
     staged = df.withColumn("_lines", lined).withColumn("_at", tx.line_start(lines, name)).withColumn(
@@ -71,7 +71,7 @@ def _apply_step(df: DataFrame, i: int, on_error: str) -> DataFrame:
         .when(op == "append", tx.append_line(text, value))
         .when(op == "reorder", tx.reorder_lines(F.col("_keyed"), F.split(value, ORDER_SEPARATOR, -1)))
     )
-    done = _checked(done, F.concat(F.lit("plan entry "), F.col("_e.key")), on_error)
+    done = _checked(done, F.concat(F.lit("plan entry "), entry["key"]), on_error)
     return staged.withColumn("_text", done).drop("_lines", "_at", "_keyed")
 
 
@@ -111,8 +111,9 @@ def reorder(order: Sequence[str]) -> Step:
     return Step("reorder", "", ORDER_SEPARATOR.join(order))
 
 
-def _plan_literal(plan: Sequence[Edit]) -> tuple[Column, int]:
-    """``map<cohort, array<struct<key, op1, name1, value1, ...>>>`` as a constant."""
+def _plan_literal(plan: Sequence[Edit]) -> tuple[Column, Column, int]:
+    """The plan as constants: ``array<struct<key, op0, name0, value0, ...>>``, the positions
+    of each cohort's entries as ``map<cohort, array<int>>``, and the most steps of an entry."""
     depth = max((len(e.steps) for e in plan), default=0)
 
     def entry(e: Edit) -> Column:
@@ -126,10 +127,10 @@ def _plan_literal(plan: Sequence[Edit]) -> tuple[Column, int]:
                 cells.append(F.lit(cell).cast("string").alias(f"{part}{i}"))
         return F.struct(*cells)
 
-    pieces: list[Column] = []
+    positions: list[Column] = []
     for cohort in dict.fromkeys(e.cohort for e in plan):
-        pieces += [F.lit(cohort), F.array(*[entry(e) for e in plan if e.cohort == cohort])]
-    return F.create_map(*pieces), depth
+        positions += [F.lit(cohort), F.array(*[F.lit(i) for i, e in enumerate(plan) if e.cohort == cohort])]
+    return F.array(*[entry(e) for e in plan]), F.create_map(*positions), depth
 
 
 def apply_plan(records: DataFrame, plan: Sequence[Edit], cohorts: dict[str, Column], *, text: str = "text",
@@ -144,13 +145,14 @@ def apply_plan(records: DataFrame, plan: Sequence[Edit], cohorts: dict[str, Colu
     if unknown:
         raise ValueError(f"plan uses undefined cohorts: {sorted(unknown)}")
     used = [c for c in cohorts if any(e.cohort == c for e in plan)]
-    literal, depth = _plan_literal(plan)
+    entries, positions, depth = _plan_literal(plan)
     member = F.array_compact(F.array(*[F.when(cohorts[c], F.lit(c)) for c in used]))
-    fitting = F.flatten(F.transform(member, lambda c: F.try_element_at(literal, c)))
-    paired = records.select(row_id, *keep, F.col(text).alias("_text"), F.explode(fitting).alias("_e"))
+    fitting = F.flatten(F.transform(member, lambda c: F.try_element_at(positions, c)))
+    # only positions are exploded; the entry itself is looked up in the constant
+    paired = records.select(row_id, *keep, F.col(text).alias("_text"), F.explode(fitting).alias("_i"))
     for i in range(depth):
-        paired = _apply_step(paired, i, on_error)
-    return paired.select(F.col("_e.key").alias("probe_key"), row_id, *keep, F.col("_text").alias("text"))
+        paired = _apply_step(paired, entries[F.col("_i")], i, on_error)
+    return paired.select(entries[F.col("_i")]["key"].alias("probe_key"), row_id, *keep, F.col("_text").alias("text"))
 
 
 def plan_table(spark: SparkSession, plan: Sequence[Edit]) -> DataFrame:
