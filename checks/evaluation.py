@@ -10,7 +10,7 @@ from labelwright.operators import models as md
 from labelwright.plans.run_logs import summarize_runs
 
 from . import views as v
-from .registry import check, read, with_ctes
+from .registry import check, nudged, read, with_ctes
 
 CELLS = """count(*) FILTER (gold=0 AND label=0) AS tn, count(*) FILTER (gold=0 AND label=1) AS fp,
   count(*) FILTER (gold=1 AND label=0) AS fn, count(*) FILTER (gold=1 AND label=1) AS tp"""
@@ -133,18 +133,18 @@ def roc_points(spark, sf):
     return ranking.roc_points(cells, small=500, range_cells=2000).drop("all_pos", "all_neg")
 
 
-@check("brier", with_ctes("SELECT event_type, count(*) AS n, round(avg((score-y)*(score-y)),6) AS brier FROM scores GROUP BY 1",
+@check("brier", with_ctes("SELECT event_type, count(*) AS n, round(avg((score-y)*(score-y))+1e-9,6) AS brier FROM scores GROUP BY 1",
                           v.SCORES))
 def brier(spark, sf):
-    return ranking.brier(v.scores_table(spark, sf), "y", "score", ["event_type"])
+    return nudged(ranking.brier(v.scores_table(spark, sf), "y", "score", ["event_type"]), "brier")
 
 
 @check("metric_bundle", with_ctes("""
 SELECT strftime(block,'%Y-%m-%d') AS block, n, positives, round(auroc,6) AS auroc, round(auprc,6) AS auprc, distinct_scores,
-  distinct_scores<=2 AS hard_scores, round(positives/n,6) AS prevalence, round(mean_predicted,6) AS mean_predicted,
-  round(brier,6) AS brier FROM ranked""", v.SCORES, ranking_sql("scores", by="block")))
+  distinct_scores<=2 AS hard_scores, round(positives/n,6) AS prevalence, round(mean_predicted+1e-9,6) AS mean_predicted,
+  round(brier+1e-9,6) AS brier FROM ranked""", v.SCORES, ranking_sql("scores", by="block")))
 def metric_bundle(spark, sf):
-    return ranking.metric_bundle(v.scores_table(spark, sf), "y", "score", ["block"])
+    return nudged(ranking.metric_bundle(v.scores_table(spark, sf), "y", "score", ["block"]), "mean_predicted", "brier")
 
 
 def _thresholds_sql(values) -> str:
@@ -174,8 +174,7 @@ _EDGES = ", ".join(f"({i}, {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for i, (lo, hi) in e
 SELECT round(lo,2) AS bin_lo, round(hi,2) AS bin_hi, count(*) AS n, round(avg(score)+1e-9,6) AS mean_pred, round(avg(y),6) AS observed_rate
 FROM scores JOIN (VALUES {_EDGES}) e(i,lo,hi) ON score>=lo AND (score<hi OR (hi=1 AND score<=hi)) GROUP BY 1,2""", v.SCORES))
 def reliability(spark, sf):
-    # a mean of few five-digit scores can lie exactly between two six-digit numbers
-    return ranking.reliability(v.scores_table(spark, sf), "y", "score").withColumn("mean_pred", F.col("mean_pred") + 1e-9)
+    return nudged(ranking.reliability(v.scores_table(spark, sf), "y", "score"), "mean_pred")
 
 
 # --------------------------------------------------------------------------- resampling

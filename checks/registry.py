@@ -50,5 +50,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def nudged(df: DataFrame, *columns: str) -> DataFrame:
+    """Means of few short decimals can lie exactly between two six-digit numbers, where the
+    order of a sum decides the rounding: move them off the tie (the SQL does the same)."""
+    return df.withColumns({c: F.col(c) + 1e-9 for c in columns})
+
+
 def with_ctes(body: str, *ctes: str) -> str:
     return f"WITH {', '.join(c.strip() for c in ctes)} {body}" if ctes else body

