@@ -33,8 +33,8 @@ def test_rows_only_queries_give_rows(spark, con, sf, name):
 
 @pytest.mark.parametrize("name, old, new", [
     ("confusion", "gold=0 AND label=1", "gold=0 AND label=0"),
-    ("late_label", ">", ">="),
-    ("reliability", "score<hi OR", "score<=hi OR"),
+    ("late_label", "100+200*", "90+20*"),
+    ("reliability", "score>=lo", "score>=lo-0.02"),
     ("edit_set", "Traffic_Status: $9", "Traffic_Status: $8"),
 ])
 def test_a_perturbed_oracle_is_caught(spark, con, sf, name, old, new):
