@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import pin
+from ..session import new_path
 
 #: The white space of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -17,6 +17,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pin(df: DataFrame, compression: str = "none") -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the written table.
+
+    Most tables written here are short rows of ids and hashes, which do not compress; without a
+    codec thousands of small files also need no off-heap buffers.
+    """
+    path = new_path(df.sparkSession, "llm")
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def take(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, found by exact spelling.
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import pin
-from .common import numbered, take, text_of
+from .common import numbered, pin, take, text_of
 
 #: Seed of the order inside a source.
 SEED = 20
