@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding, token_counts
+from . import exact_dedup, packing, personal_data, sharding, token_counts
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_differencing_pack")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_anchor_expansion")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data_digest(personal_data.find_personal_data(read_table(spark, sf_dir, "documents")))
+
+
 _EXACT_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id NULLS LAST) AS k,
