@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, personal_data, quality, sharding, token_counts
+from ..session import new_path
+from . import exact_dedup, packing, personal_data, quality, sharding, token_counts, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op2_sharded_warc")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read_back(read_table(spark, sf_dir, "pages"), new_path(spark, "archives")).drop("payload", "url")
+
+
 @query("op3_anchor_expansion")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data_digest(personal_data.find_personal_data(read_table(spark, sf_dir, "documents")))
