@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import new_path
-from . import exact_dedup, near_dedup, packing, personal_data, quality, sharding, token_counts, warc
+from . import byte_bpe, exact_dedup, near_dedup, packing, personal_data, quality, sharding, token_counts, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data_digest(personal_data.find_personal_data(read_table(spark, sf_dir, "documents")))
 
 
+@query("op5_folded_byte_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode_documents(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.encoding_digest(byte_bpe.decode_documents(encoded, ranks))
+
+
 _EXACT_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id NULLS LAST) AS k,
