@@ -13,14 +13,14 @@ from .common import pin, take, worker_state
 GRAIN = 512
 #: Pieces balanced together.
 BLOCK = 2_048
-#: Chunks of text whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Chunks of text, and words, whose ids a worker remembers.
+REMEMBERED = 800_000
 
 
 def difference(sizes: list[int], ways: int) -> list[list[int]]:
     """Karmarkar-Karp differencing: the indices of ``sizes`` in ``ways`` parts of near-equal sums.
 
-    A partial partition is its part loads in ascending order, less the smallest. The two of the
+    A partial partition is its parts' loads in ascending order, less the smallest. The two of the
     largest imbalance are merged, the fullest parts of one with the emptiest of the other, until
     one is left. Ties are merged in the order in which they came up.
     """
@@ -43,7 +43,23 @@ def difference(sizes: list[int], ways: int) -> list[list[int]]:
         return loads, heads
 
     while len(heap) > 1:
-        (a, a_heads), (b, b_heads) = loads_of(heapq.heappop(heap)), loads_of(heapq.heappop(heap))
+        first, second = heapq.heappop(heap), heapq.heappop(heap)
+        (a, a_heads) = loads_of(first)
+        if second[2] is None:  # a piece alone joins the emptiest part, which then moves up to its place
+            size, piece = -second[0], second[1]
+            if a_heads[0] >= 0:
+                joined[piece] = a_heads[0]
+                piece = a_heads[0]
+            place = int(a.searchsorted(size, "right"))
+            loads, heads = a.copy(), a_heads.copy()
+            loads[:place - 1], loads[place - 1] = a[1:place], size
+            heads[:place - 1], heads[place - 1] = a_heads[1:place], piece
+            if loads[0]:
+                loads -= loads[0]
+            heapq.heappush(heap, (-int(loads[-1]), made, loads, heads))
+            made += 1
+            continue
+        b, b_heads = loads_of(second)
         loads, b_heads = a + b[::-1], b_heads[::-1]
         both = (a_heads >= 0) & (b_heads >= 0)
         joined[b_heads[both]] = a_heads[both]
@@ -75,28 +91,60 @@ def _encoder(tokenizer_json: str, end_id: int):
     """A function from a text to its ids as little-endian unsigned 32-bit integers, ``end_id`` last.
 
     The tokenizer drops white space and never joins what it parts, so the ids of a text are those
-    of its chunks between blanks and line feeds. Each worker remembers the ids of recent chunks.
+    of its chunks between blanks and line feeds, and those of a chunk are those of the words that the
+    tokenizer's own first steps make of it. Each worker remembers recent chunks and words.
     """
+    import json
+    import re
     from array import array
     from itertools import islice
 
     from tokenizers import Tokenizer
 
     model = worker_state("word_bpe", lambda: Tokenizer.from_str(tokenizer_json))
-    known: dict[str, bytes] = worker_state("word_bpe_chunks", dict)
+    marks = [t["content"] for t in json.loads(tokenizer_json)["added_tokens"]]
+    merge, normal, parted = model.model.tokenize, model.normalizer.normalize_str, model.pre_tokenizer.pre_tokenize_str
+    # visible Latin, where normal form and lower case are Python's; then the tokenizer's pattern for it
+    latin = re.compile("[\x21-\x7e\xa1-ɏ]*").fullmatch
+    pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+                        "|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
+    # the letters that stand for bytes: visible ones for themselves, the others from U+0100 on
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    letters = {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+    class Words(dict):
+        """Ids of words in bytes' letters."""
+
+        def __missing__(self, word: str) -> bytes:
+            found = self[word] = array("I", [t.id for t in merge(word)]).tobytes()
+            return found
+
+    class Chunks(dict):
+        """Ids of chunks."""
+
+        def __missing__(self, chunk: str) -> bytes:
+            if not latin(chunk):
+                found = b"".join([words[w] for w, _ in parted(normal(chunk))])
+            elif chunk.isascii():
+                found = b"".join(map(words.__getitem__, pieces(chunk.lower())))
+            else:
+                found = b"".join([words["".join(map(letters.__getitem__, w.encode()))] for w in pieces(chunk.lower())])
+            self[chunk] = found
+            return found
+
+    words, known = worker_state("word_bpe_words", Words), worker_state("word_bpe_chunks", Chunks)
     end = end_id.to_bytes(4, "little")
 
     def ids(text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        new = [c for c in set(chunks) if c not in known]
-        if new:
-            if len(known) > REMEMBERED:
-                for old in list(islice(known, REMEMBERED // 2)):
-                    del known[old]
-                new = [c for c in set(chunks) if c not in known]
-            for chunk, found in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[chunk] = array("I", found.ids).tobytes()
-        return b"".join(map(known.__getitem__, chunks)) + end
+        if any(mark in text for mark in marks):
+            return array("I", model.encode(text, add_special_tokens=False).ids).tobytes() + end
+        found = b"".join(map(known.__getitem__, text.replace("\n", " ").split(" "))) + end
+        for memory in (known, words):
+            if len(memory) > REMEMBERED:
+                for old in list(islice(memory, REMEMBERED // 4)):
+                    del memory[old]
+        return found
 
     return ids
 

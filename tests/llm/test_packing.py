@@ -46,6 +46,21 @@ def test_odd_rows(spark):
     check([r[:2] for r in odd_rows()], pack_documents(odd_documents(spark), PATH).collect())
 
 
+def test_chunks_are_encoded_as_the_library_does():
+    import random
+
+    from labelwright.llm.packing import _encoder
+
+    with open(PATH, encoding="utf-8") as file:
+        encode = _encoder(file.read(), 1)
+    rnd, model = random.Random(6), Tokenizer.from_file(PATH)
+    signs = ["a", "B", "'s", "'LL", "don't", "3", "12", "é", "É", "e\u0301", "Σ", "ΑΣ", "İ", "ß", "日", "🙂", " ", "  ", "\n", "\t", "\x1c", "\x00", "\xa0",
+             "\u2028", ".", ",", "!!", "''", "_", "<|endoftext|>", "<|", "½", "Ⅷ", "\u200b", "-", "x" * 70]
+    for _ in range(4_000):
+        text = "".join(rnd.choice(signs) for _ in range(rnd.randint(0, 12)))
+        assert encode(text) == array("I", [*model.encode(text, add_special_tokens=False).ids, 1]).tobytes(), repr(text)
+
+
 def test_documents_with_little_padding(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = pack_documents(docs, PATH).collect()
