@@ -36,7 +36,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def crowded(cells: DataFrame) -> DataFrame:
-    """(bucket, key) rows of the buckets with two keys or more, with ``popularity`` of the key.
+    """Of (bucket, key) cells, all distinct, those in buckets of two keys or more, with ``popularity`` of the key.
 
     Popularity is the number of keys that a key meets in its buckets. The original of many
     altered copies meets most of them, though two copies may be far apart, so the most popular
@@ -72,34 +72,35 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked_classes(cells: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(classes, links) from (bucket, key) cells, all distinct.
+def linked_classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, *,
+                   sketches: DataFrame | None = None, alike: Callable[[str, str], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(classes, links) from the rows of ``crowded``.
 
-    ``verify`` turns distinct (a, b) pairs into (a, b, similarity); similarities are Jaccard, whose
-    distance is a metric. ``links`` has the verified pairs; ``classes`` has (key, comp) for every key with a link.
+    ``verify`` turns distinct (a, b) pairs into (a, b, similarity). ``links`` has the verified pairs;
+    ``classes`` has (key, comp) for every key with a link. ``sketches`` (key, ...) and ``alike``, a condition
+    on two rows of it under the given names, tell pairs that cannot be similar without their texts.
 
     1. In each bucket all keys are compared with the bucket's hub only.
-    2. Keys of one bucket that are not connected after that are compared with each other, unless
-       their distances to the hub differ by more than the threshold allows. So no link that could
-       join two classes is lost, and a group of copies around an original costs one comparison per copy.
+    2. Keys of one bucket that are not connected after that are compared with each other, if their
+       sketches are alike. So no link that could join two classes is lost, and a group of copies around an
+       original costs one comparison per copy.
     """
-    rows = crowded(cells)
     chosen = hubs(rows)
     with_hub = rows.select("bucket", "key").join(chosen, "bucket")
     first = pin(verify(with_hub.filter("key != hub").select(
         F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()))
     near = first.filter(F.col("similarity") >= threshold)
     classes = components(near)
-    placed = with_hub.join(classes, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    placed = pin(with_hub.join(classes, "key", "left").withColumn("comp", F.coalesce("comp", "key")))
     # buckets that are still in two parts, besides those of two keys, which are settled
     open_ = pin(placed.groupBy("bucket").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.count("*").alias("_n")).filter(
         "_x != _y AND _n > 2").select("bucket"))
-    left = placed.join(open_, "bucket").filter("key != hub").withColumns({"a": F.least("key", "hub"), "b": F.greatest("key", "hub")})
-    away = pin(left.join(first, ["a", "b"]).select("bucket", "key", "comp", (1 - F.col("similarity")).alias("away")))
-    x, y = away.alias("x"), away.alias("y")
-    close = F.abs(F.col("x.away") - F.col("y.away")) <= 1 - threshold + 1e-9
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & close).select(
-        F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    left = placed.join(open_, "bucket").filter("key != hub").select("bucket", "key", "comp")
+    left = pin(left if sketches is None else left.join(sketches, "key"))
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
+    if alike is not None:
+        apart = apart & alike("x", "y")
+    rest = left.alias("x").join(left.alias("y"), apart).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     rest = pin(rest.join(first, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return classes, near.select("a", "b", "similarity")
@@ -109,18 +110,12 @@ def linked_classes(cells: DataFrame, verify: Callable[[DataFrame], DataFrame], t
 
 
 def verify_texts(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(a, b, similarity): exact Jaccard of the shingle sets of ``texts`` (key, text; one row per key).
+    """(a, b, similarity): exact Jaccard of the shingle sets of ``texts`` (key, text; one row per key, written down).
 
-    The text of the second key, which is a hub more often than not, is joined first and last come
-    the rarer ones; both joins are plain equi-joins that Spark can split where a key is hot.
+    Plain equi-joins, which Spark can split where a key is hot.
     """
-    asked = pin(pairs)
-    wanted = asked.select(F.col("a").alias("key")).union(asked.select(F.col("b").alias("key"))).distinct()
-    sets = pin(texts.join(wanted, "key", "left_semi").select("key", "text"), "lz4")
-    joined = asked.join(sets.select(F.col("key").alias("a"), F.col("text").alias("_ta")), "a").join(
-        sets.select(F.col("key").alias("b"), F.col("text").alias("_tb")), "b")
+    joined = pin(pairs).join(texts.select(F.col("key").alias("a"), F.col("text").alias("_ta")), "a").join(
+        texts.select(F.col("key").alias("b"), F.col("text").alias("_tb")), "b")
     staged = joined.select("a", "b", words(F.col("_ta")).alias("_wa"), words(F.col("_tb")).alias("_wb"))
     staged = staged.select("a", "b", shingles(F.col("_wa"), size).alias("_sa"), shingles(F.col("_wb"), size).alias("_sb"))
     return staged.select("a", "b", jaccard(F.col("_sa"), F.col("_sb")).alias("similarity"))
-
-

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pin, take, text_of, unpack_row, with_row
-from .linking import SHINGLE, THRESHOLD, linked_classes, verify_texts, words
+from .linking import SHINGLE, THRESHOLD, crowded, linked_classes, verify_texts, words
 
-#: Bands and registers per band: a pair of similarity 0.8 meets with probability 0.99994, one of 0.5 with 0.4.
-BANDS, ROWS = 32, 6
+#: Bands and registers per band: a pair of similarity 0.8 meets with probability 0.9998, one of 0.5 with 0.17.
+BANDS, ROWS = 48, 8
+#: Of all registers, each kept as one bit, so many may differ in a pair that is worth reading its texts: at
+#: similarity 0.8 a tenth is expected to differ (38 of 384), and 67 is 4.9 standard deviations more.
+DIFFERENT = 67
 
 
 def prob_minhash(hashes, weights, docs, n_docs: int, registers: int):
@@ -55,7 +58,8 @@ def prob_minhash(hashes, weights, docs, n_docs: int, registers: int):
 
 
 def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, key, bands) from (doc_id, text): ``key`` is a 128-bit hash of the words, ``bands`` one number per band.
+    """(doc_id, key, bands, sketch) from (doc_id, text): ``key`` is a 128-bit hash of the words, ``bands`` one
+    number per band, ``sketch`` a bit of each register in 64-bit numbers.
 
     Elements are the shingles of ``size`` words; a shingle that occurs n times weighs 1 + ln n. Texts of fewer words are one
     shingle; texts without words have no bands.
@@ -101,13 +105,17 @@ def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: i
             filled = np.diff(ends) > 0
             sizes = np.r_[0, np.cumsum(np.where(filled, bands, 0))]
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(number[filled].reshape(-1).view(np.int64)))
-            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["doc_id", "key", "bands"])
+            bits = np.packbits((kept.reshape(part.num_rows, -1) >> np.uint64(17) & np.uint64(1)).astype(np.uint8), axis=1)
+            width = bits.shape[1] // 8
+            sketch = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(bits).view(np.int64).reshape(-1)), width)
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, sketch.cast(pa.list_(pa.int64()))],
+                                              names=["doc_id", "key", "bands", "sketch"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 yield banded(batch.slice(at, 256))
 
-    return staged.mapInArrow(sign, f"doc_id {kind}, key binary, bands array<bigint>")
+    return staged.mapInArrow(sign, f"doc_id {kind}, key binary, bands array<bigint>, sketch array<bigint>")
 
 
 def near_classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -117,24 +125,27 @@ def near_classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> tuple[Data
     whose copies are never compared. ``links``: the verified pairs (a, b, similarity) of different keys.
     """
     signed = pin(signatures(docs))
-    cells = signed.select("key", F.explode("bands").alias("bucket")).distinct().select("bucket", "key")
+    distinct = pin(signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    rows = crowded(distinct.select(F.explode("bands").alias("bucket"), "key"))
     texts = docs.select(words(text_of("text")).alias("_w")).select(F.array_join("_w", " ").alias("text"))
     texts = texts.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
-
-    def verify(pairs):
-        return verify_texts(pairs, texts_once(texts), SHINGLE)
-
-    classes, links = linked_classes(cells, verify, threshold)
+    # copies are dropped before they are sent; only texts that meet another are kept
+    texts = pin(texts.groupBy("key").agg(F.first("text").alias("text")).join(rows.select("key").distinct(), "key", "left_semi"), "lz4")
+    parts = range(BANDS * ROWS // 64)
+    sketches = distinct.select("key", *[F.col("sketch")[i].alias(f"s{i}") for i in parts])
+
+    def alike(x: str, y: str) -> Column:
+        differ = F.lit(0)
+        for i in parts:
+            differ = differ + F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}")))
+        return differ <= DIFFERENT
+
+    classes, links = linked_classes(rows, lambda pairs: verify_texts(pairs, texts, SHINGLE), threshold, sketches=sketches, alike=alike)
     members = pin(signed.groupBy("doc_id", "key").agg(F.count("*").alias("times")))
     members = members.join(classes, "key", "left").select("doc_id", "key", "times", F.coalesce("comp", "key").alias("class"))
     return pin(members), links
 
 
-def texts_once(texts: DataFrame) -> DataFrame:
-    """One row per key: copies are dropped before they are sent."""
-    return texts.groupBy("key").agg(F.first("text").alias("text"))
-
-
 def _kept(members: DataFrame) -> DataFrame:
     """``members`` plus class_id, class_size, and ``first``: the row's id and key are those of the row that stays.
 

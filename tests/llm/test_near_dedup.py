@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from labelwright.llm.linking import components, linked_classes
+from labelwright.llm.linking import components, crowded, linked_classes
 from labelwright.llm.near_dedup import drop_near_copies, near_duplicates, prob_minhash
 
 from .fixtures import SCHEMA, no_documents, odd_documents, odd_rows
@@ -112,7 +112,7 @@ def test_links_away_from_the_hub_are_found(spark):
         return spark.createDataFrame([(a, b, sims.get((a, b), 0.5)) for a, b in rows] or [(0, 0, 0.0)], "a long, b long, similarity double").filter("a != b")
 
     cells = spark.createDataFrame([(7, k) for k in range(5)] + [(8, 0), (8, 9)], "bucket long, key long")
-    classes, links = linked_classes(cells, verify)
+    classes, links = linked_classes(crowded(cells), verify)
     assert {r.key: r.comp for r in classes.collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
     assert len(asked) == len(set(asked))
 
