@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import new_path
-from . import byte_bpe, exact_dedup, near_dedup, packing, personal_data, quality, sharding, token_counts, warc
+from . import byte_bpe, exact_dedup, near_dedup, packing, passages, personal_data, quality, sharding, token_counts, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data_digest(personal_data.find_personal_data(read_table(spark, sf_dir, "documents")))
 
 
+@query("op4_paragraph_bands")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(read_table(spark, sf_dir, "documents"))
+
+
 @query("op5_folded_byte_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
