@@ -58,8 +58,8 @@ def exact_bounds(k: Column, n: Column, alpha: float = 0.05) -> Column:
                     c = 1 + top / np.where(np.abs(c) < tiny, tiny, c)
                     h = h * d * c
                 if np.all(np.abs(d * c - 1) < 1e-15):
-                    break
-            return h
+                    return h
+            raise ArithmeticError("the continued fraction of the incomplete beta function did not converge")
 
         def beta_cdf(a, b, x):
             with np.errstate(divide="ignore", invalid="ignore", over="ignore", under="ignore"):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +15,8 @@ from .ordered import running_totals
 MIN_SUPPORT = 20
 #: Numeric columns with at most this many distinct values are read as categories.
 MAX_NUMERIC_CATEGORIES = 12
-#: Bounds of the driver-side greedy loop; beyond them every round is one distributed pass.
-MAX_INLINE_CONDITIONS = 1_000
-MAX_SIGNATURES = 50_000
-
-_CONDITION = "column, op, value, threshold, n_rows, positives"
+#: Rounds of the greedy search after which what is left is written down, to keep plans short.
+ROUNDS_PER_PIN = 16
 
 
 def column_roles(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> tuple[list[str], list[str]]:
@@ -30,6 +26,23 @@ def column_roles(df: DataFrame, target: str, columns: Sequence[str] | None = Non
     return [c for c in names if c not in numeric], numeric
 
 
+def _is_whole(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.IntegralType)
+
+
+def number_text(number: Column, whole: bool) -> Column:
+    """The one spelling of a number as a value: also for decimals and floats that of its double."""
+    return (number.cast("bigint") if whole else number).cast("string")
+
+
+def value_text(df: DataFrame, column: str, missing: str) -> Column:
+    """The text by which a column's value is counted and compared; null and NaN are ``missing``."""
+    if not isinstance(df.schema[column].dataType, T.NumericType):
+        return F.coalesce(F.col(column).cast("string"), F.lit(missing))
+    number = F.col(column).cast("double")
+    return F.coalesce(F.when(~F.isnan(number), number_text(number, _is_whole(df, column))), F.lit(missing))
+
+
 def text_cells(df: DataFrame, target: str, columns: Sequence[str], missing: str) -> DataFrame:
     """Rows and positives of every (column, value), all columns in one pass."""
     wide = df.select(F.col(target).cast("bigint").alias("_y"), *[
@@ -73,9 +86,9 @@ def categorical_conditions(df: DataFrame, target: str, columns: Sequence[str] |
     if numbers:
         cells = cells if cells is not None else number_cells(df, target, numbers)
         few = _few_valued(cells, numbers)
-        whole = [c for c in numbers if not isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType, T.DecimalType))]
-        text = F.when(F.col("column").isin(*whole), F.col("number").cast("bigint").cast("string")).otherwise(
-            F.col("number").cast("string")) if whole else F.col("number").cast("string")
+        whole = [c for c in numbers if _is_whole(df, c)]
+        text = F.when(F.col("column").isin(*whole), number_text(F.col("number"), True)).otherwise(
+            number_text(F.col("number"), False)) if whole else number_text(F.col("number"), False)
         if few:
             parts.append(cells.filter(F.col("column").isin(*few)).select(
                 "column", F.coalesce(text, F.lit(missing)).alias("value"), "n_rows", "positives"))
@@ -165,114 +178,60 @@ def describe(column: str = "column") -> Column:
 
 
 # ------------------------------------------------------------------------ greedy rule
-@dataclass(frozen=True)
-class Condition:
-    """A typed predicate, kept at full precision."""
-
-    column: str
-    op: str
-    value: str | None
-    threshold: float | None
-    label: str
-
-    def holds(self, missing: str = "nan") -> Column:
-        if self.op == "==":
-            return F.coalesce(_as_text(self.column), F.lit(missing)) == self.value
-        number = F.col(self.column).cast("double")
-        hit = number <= self.threshold if self.op == "<=" else (number > self.threshold) & ~F.isnan(number)
-        return F.coalesce(hit, F.lit(False))
-
-
-def _as_text(column: str) -> Column:
-    return F.col(column).cast("string")
-
-
-def _typed(row) -> Condition:
-    return Condition(row["column"], row["op"], row["value"], row["threshold"], row["label"])
-
-
-def _signature_counts(positives: DataFrame, pure: list[Condition], missing: str) -> list[tuple[tuple[int, ...], int]] | None:
-    """Rows per set of satisfied conditions; None when there are too many different sets."""
-    looked_up: list[Column] = []
-    for column in dict.fromkeys(c.column for c in pure if c.op == "=="):
-        pairs = [(c.value, i) for i, c in enumerate(pure) if c.column == column and c.op == "=="]
-        table = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-        looked_up.append(F.try_element_at(table, F.coalesce(_as_text(column), F.lit(missing))))
-    looked_up += [F.when(c.holds(missing), F.lit(i)) for i, c in enumerate(pure) if c.op != "=="]
-    signature = F.array_compact(F.array(*looked_up))
-    counts = positives.select(signature.alias("s")).groupBy("s").agg(F.count("*").alias("n"))
-    rows = counts.limit(MAX_SIGNATURES + 1).collect()
-    if len(rows) > MAX_SIGNATURES:
-        return None
-    return [(tuple(r.s), r.n) for r in rows]
-
-
-def _greedy_by_signature(signatures: list[tuple[tuple[int, ...], int]], n_conditions: int) -> list[int]:
-    chosen: list[int] = []
-    open_sets = [(set(s), n) for s, n in signatures if s]
-    while open_sets:
-        gain = [0] * n_conditions
-        for members, n in open_sets:
-            for i in members:
-                gain[i] += n
-        best = max(range(n_conditions), key=lambda i: (gain[i], -i))
-        if gain[best] == 0:
-            break
-        chosen.append(best)
-        open_sets = [(s, n) for s, n in open_sets if best not in s]
-    return chosen
-
-
-def _greedy_by_rounds(positives: DataFrame, pure: DataFrame, columns: Sequence[str], missing: str) -> list[Condition]:
-    """One distributed pass per round: gains of all conditions on the rows not yet covered."""
-    used = [c for c in columns if c in positives.columns]
-    chosen: list[Condition] = []
-    left = positives
-    stumps = [_typed(r) for r in pure.filter(F.col("op") != "==").collect()]  # at most two per column
-    order = condition_order(columns)
-    while True:
-        wide = left.select(*[F.coalesce(_as_text(c), F.lit(missing)).alias(c) for c in used])
-        gains = wide.unpivot([], used, "column", "value").groupBy("column", "value").agg(F.count("*").alias("gain"))
-        scored = pure.filter(F.col("op") == "==").join(gains, ["column", "value"])
-        tops = scored.orderBy(F.col("gain").desc(), *order).limit(1).collect()
-        best = (tops[0]["gain"], _typed(tops[0])) if tops else (0, None)
-        if stumps:
-            counted = left.agg(*[F.count_if(c.holds(missing)).alias(str(i)) for i, c in enumerate(stumps)]).first()
-            for i, c in enumerate(stumps):
-                if counted[i] > best[0]:
-                    best = (counted[i], c)
-        if best[1] is None or best[0] == 0:
-            return chosen
-        chosen.append(best[1])
-        left = left.filter(~best[1].holds(missing))
+def _satisfied(positives: DataFrame, pure: DataFrame, missing: str) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
+    """Positives per set of satisfied conditions, and (column, op) by slot.
+
+    A slot is a column of the result: one per input column with equalities, holding the value if it is
+    pure and null otherwise, and one per one-sided split. Values of a column exclude each other, so a
+    set is one value per slot. Pure values are joined, however many there are.
+    """
+    kinds = pure.select("column", "op").distinct().orderBy("column", "op").collect()  # at most three per column
+    slots = {f"s{i}": (r["column"], r["op"]) for i, r in enumerate(kinds)}
+    out = positives
+    for slot, (column, op) in slots.items():
+        own = pure.filter((F.col("column") == column) & (F.col("op") == op))
+        if op == "==":
+            known = own.select(F.col("value").alias(f"_{slot}"), F.col("value").alias(slot))
+            out = out.withColumn(f"_{slot}", value_text(positives, column, missing)).join(known, f"_{slot}", "left")
+        else:
+            cut = own.first()["threshold"]
+            number = F.col(column).cast("double")
+            hit = number <= cut if op == "<=" else (number > cut) & ~F.isnan(number)
+            out = out.withColumn(slot, F.when(hit, F.lit(op)))
+    return pin(out.groupBy(*slots).agg(F.count("*").alias("n"))), slots
 
 
 def greedy_or_rule(df: DataFrame, target: str, conditions: DataFrame, columns: Sequence[str] | None = None,
-                   missing: str = "nan", max_inline: int = MAX_INLINE_CONDITIONS) -> DataFrame:
+                   missing: str = "nan") -> DataFrame:
     """OR together pure-positive conditions, always the one covering most uncovered rows.
 
-    One pass turns the positives into counts per set of satisfied conditions, and the rule
-    is chosen from those counts. One output row: rule, size, accuracy, mismatches, coverage.
+    Ties fall to the condition that ranks first. ``conditions`` were found on ``df``, so those that are pure cover no negative
+    row. One pass turns the positives into counts per set of satisfied conditions; each round reads those
+    counts only. One output row: rule, size, accuracy, mismatches, coverage.
     """
     names = [c for c in (columns or df.columns) if c != target]
-    pure = conditions.filter(F.col("pure_label") == 1)
-    head = rank_conditions(pure, names).withColumn("label", describe()).limit(max_inline + 1).collect()
-    positives = df.filter(F.col(target).cast("int") == 1)
-    chosen: list[Condition] = []
-    if head:
-        inline = [_typed(r) for r in head]
-        signatures = _signature_counts(positives, inline, missing) if len(inline) <= max_inline else None
-        if signatures is not None:
-            chosen = [inline[i] for i in _greedy_by_signature(signatures, len(inline))]
-        else:
-            chosen = _greedy_by_rounds(positives, pin(pure.withColumn("label", describe())), names, missing)
-    covered = F.lit(False)
-    for c in chosen:
-        covered = covered | c.holds(missing)
+    pure = pin(conditions.filter(F.col("pure_label") == 1).withColumn("label", describe()))
     y = F.col(target).cast("int")
-    wrong, hit = covered.cast("int") != y, covered & (y == 1)
-    return df.agg(
-        F.lit(" OR ".join(c.label for c in chosen) if chosen else None).cast("string").alias("rule"),
-        F.lit(len(chosen)).alias("n_conditions"),
-        ratio(F.count_if(~wrong), F.count("*")).alias("accuracy"), F.count_if(wrong).alias("mismatches"),
-        F.count_if(hit).alias("positives_covered"), F.count_if(y == 1).alias("positives_total"))
+    total = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(y == 1, 1)), F.lit(0)).alias("p")).first()
+    chosen, covered = [], 0
+    if not pure.isEmpty():
+        left, slots = _satisfied(df.filter(y == 1), pure, missing)
+        pairs = F.create_map(*[F.lit(x) for s, (c, op) in slots.items() for x in (f"{c} {op}", s)])
+        ranked = pure.withColumns({"slot": pairs[F.concat_ws(" ", "column", "op")],
+                                   "held": F.when(F.col("op") == "==", F.col("value")).otherwise(F.col("op"))})
+        while True:
+            gains = left.unpivot(["n"], list(slots), "slot", "held").filter("held IS NOT NULL").groupBy("slot", "held").agg(
+                F.sum("n").alias("gain"))
+            top = ranked.join(gains, ["slot", "held"]).orderBy(F.desc("gain"), *condition_order(names)).limit(1).collect()
+            if not top:
+                break
+            best = top[0]
+            chosen.append(best["label"])
+            covered += best["gain"]
+            left = left.filter(~F.col(best["slot"]).eqNullSafe(F.lit(best["held"])))
+            if len(chosen) % ROUNDS_PER_PIN == 0:
+                left = pin(left)
+    wrong = total["p"] - covered
+    row = (" OR ".join(chosen) if chosen else None, len(chosen), (total["n"] - wrong) / total["n"] if total["n"] else 0.0, wrong, covered, total["p"])
+    return df.sparkSession.createDataFrame([row], "rule string, n_conditions int, accuracy double, mismatches bigint, "
+                                                  "positives_covered bigint, positives_total bigint")

@@ -1,6 +1,6 @@
 """Simple baseline models on Spark ML: encode, fit, score, cross-validate.
 
-Category lists and medians are learnt from the training rows only, in one pass each; the
+Category slots and medians are learnt from the training rows only, in one pass each; the
 long prediction table of all models is then measured in one grouped pass.
 """
 
@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +22,12 @@ from ..session import pin
 from ..vocab import Vocabulary
 from .classification import classification_metrics
 from .conditions import column_roles
-from .ordered import grouped_median
+from .ordered import grouped_median, running_totals
 from .ranking import auroc
 from .rule_tables import apply_rule
 from .scoring import model_scores
 from .splits import stratified_folds
 
-RARE, UNSEEN = "__rare__", "__unseen__"
-#: Text columns with more distinct values than this are left out of the one-hot encoding.
-MAX_CATEGORIES = 5_000
-
-
 @dataclass(frozen=True)
 class ModelSpec:
     """One model: which estimator, on which columns."""
@@ -46,36 +41,38 @@ class ModelSpec:
 
 @dataclass(frozen=True)
 class Encoding:
-    """What was learnt from the training rows about the input columns."""
+    """What was learnt from the training rows about the input columns.
+
+    ``levels`` is a table (column, value, slot): frequent values have slots of their own in the order of
+    their texts, rare ones share the slot behind these. ``slots`` counts the slots of a column.
+    """
 
     medians: dict[str, float]
-    frequent: dict[str, list[str]]
-    rare: dict[str, list[str]]
-    too_wide: list[str]
+    levels: DataFrame | None
+    slots: dict[str, int]
     rows: int
 
 
 def learn_encoding(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], *, missing: str = "None",
-                   min_count: int = 1, impute: bool = True, max_categories: int = MAX_CATEGORIES) -> Encoding:
-    """Medians and category lists (values below ``min_count`` rows are rare)."""
-    frequent: dict[str, list[str]] = {c: [] for c in categorical}
-    rare: dict[str, list[str]] = {c: [] for c in categorical}
-    too_wide: list[str] = []
+                   min_count: int = 1, impute: bool = True) -> Encoding:
+    """Medians and category slots (values below ``min_count`` rows are rare), for columns of any width."""
+    levels, slots = None, dict.fromkeys(categorical, 0)
     if categorical:
         wide = train.select(*[category(c, missing).alias(c) for c in categorical])
-        counts = wide.unpivot([], list(categorical), "column", "value").groupBy("column", "value").agg(
-            F.count("*").alias("n"))
-        counts = pin(counts)
-        sizes = {r["column"]: r["d"] for r in counts.groupBy("column").agg(F.count("*").alias("d")).collect()}
-        too_wide = [c for c in categorical if sizes.get(c, 0) > max_categories]
-        kept = counts.filter(~F.col("column").isin(*too_wide)) if too_wide else counts
-        for r in kept.orderBy("column", "value").collect():  # at most max_categories per column
-            (frequent if r["n"] >= min_count else rare)[r["column"]].append(r["value"])
+        counts = pin(wide.unpivot([], list(categorical), "column", "value").groupBy("column", "value").agg(
+            F.count("*").alias("n")))
+        often = counts.filter(F.col("n") >= min_count).withColumn("_one", F.lit(1).cast("bigint"))
+        placed = running_totals(often, ["column"], "value", ["_one"]).select(
+            "column", "value", (F.col("cum__one") - 1).alias("slot"))
+        sizes = counts.groupBy("column").agg(F.count_if(F.col("n") >= min_count).alias("often"), F.count_if(F.col("n") < min_count).alias("rare"))
+        shared = counts.filter(F.col("n") < min_count).join(sizes, "column").select("column", "value", F.col("often").alias("slot"))
+        levels = pin(placed.unionByName(shared))
+        slots |= {r["column"]: r["often"] + (r["rare"] > 0) for r in sizes.collect()}  # one row per column
     medians: dict[str, float] = {}
     if numeric and impute:
         middle = grouped_median(train.select(*numeric), [], list(numeric)).first()
         medians = {c: (middle[c] if middle and middle[c] is not None else 0.0) for c in numeric}
-    return Encoding(medians, frequent, rare, too_wide, train.count())
+    return Encoding(medians, levels, slots, train.count())
 
 
 def category(name: str, missing: str) -> Column:
@@ -84,18 +81,22 @@ def category(name: str, missing: str) -> Column:
 
 def prepare(df: DataFrame, enc: Encoding, numeric: Sequence[str], categorical: Sequence[str],
             missing: str = "None") -> DataFrame:
-    """Fill numbers with the training medians; name rare and unseen categories."""
+    """Fill numbers with the training medians (``num_<c>``); look up the slot of each category (``ix_<c>``).
+
+    A category that was not seen in training takes the slot behind all others.
+    """
     cells = {}
     for c in numeric:
         value = F.col(c).cast("double")
         cells[f"num_{c}"] = F.coalesce(F.when(~F.isnan(value), value), F.lit(enc.medians.get(c, 0.0)))
+    out = df.withColumns(cells) if cells else df
     for c in categorical:
-        value = category(c, missing)
-        known = F.when(value.isin(*enc.frequent[c]), value) if enc.frequent[c] else F.when(F.lit(False), value)
-        if enc.rare[c]:
-            known = known.when(value.isin(*enc.rare[c]), F.lit(RARE))
-        cells[f"cat_{c}"] = known.otherwise(F.lit(UNSEEN))
-    return df.withColumns(cells)
+        known = enc.levels.filter(F.col("column") == c).select(F.col("value").alias(f"_is_{c}"), F.col("slot").alias(f"_at_{c}"))
+        slot = F.coalesce(F.col(f"_at_{c}"), F.lit(enc.slots[c])).cast("double")
+        nominal = {"ml_attr": {"type": "nominal", "num_vals": enc.slots[c] + 1, "name": f"ix_{c}"}}
+        out = out.join(known, category(c, missing) == F.col(f"_is_{c}"), "left").withColumn(
+            f"ix_{c}", slot.alias(f"ix_{c}", metadata=nominal)).drop(f"_is_{c}", f"_at_{c}")
+    return out
 
 
 def encoder_stages(enc: Encoding, numeric: Sequence[str], categorical: Sequence[str], *, scale: bool) -> list:
@@ -106,13 +107,10 @@ def encoder_stages(enc: Encoding, numeric: Sequence[str], categorical: Sequence[
         if scale:
             stages.append(StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True))
         inputs.append("_scaled" if scale else "_numbers")
-    used = [c for c in categorical if c not in enc.too_wide]
+    used = [c for c in categorical if enc.slots[c]]
     if used:
-        index = [StringIndexerModel.from_labels(
-            enc.frequent[c] + ([RARE] if enc.rare[c] else []), f"cat_{c}", f"ix_{c}", handleInvalid="keep") for c in used]
-        # "keep" puts unseen values in an extra last slot, which dropLast removes
-        onehot = OneHotEncoder(inputCols=[f"ix_{c}" for c in used], outputCols=[f"oh_{c}" for c in used], dropLast=True)
-        stages += [*index, onehot]
+        # the number of slots stands in the column's metadata; unseen values are in the last one, which dropLast removes
+        stages.append(OneHotEncoder(inputCols=[f"ix_{c}" for c in used], outputCols=[f"oh_{c}" for c in used], dropLast=True))
         inputs += [f"oh_{c}" for c in used]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     return stages
@@ -137,7 +135,7 @@ def fit(prepared: DataFrame, enc: Encoding, spec: ModelSpec, label: str, seed: i
     """Fit one model on rows made by :func:`prepare`."""
     stages = encoder_stages(enc, spec.numeric, spec.categorical, scale=True)
     stages.append(estimator(spec.kind, "_label", enc.rows, seed, **spec.params))
-    used = [f"num_{c}" for c in spec.numeric] + [f"cat_{c}" for c in spec.categorical]
+    used = [f"num_{c}" for c in spec.numeric] + [f"ix_{c}" for c in spec.categorical]
     return Pipeline(stages=stages).fit(prepared.select(F.col(label).cast("double").alias("_label"), *used))
 
 
@@ -249,14 +247,11 @@ def cv_summary(predictions: DataFrame, label: str, score_column: str | None = No
 
 
 def tree_cv(df: DataFrame, target: str, keys: Sequence[str], *, depth: int = 2, k: int = 5, seed: int = 0,
-            missing: str = "nan", max_categories: int = MAX_CATEGORIES) -> DataFrame:
-    """Cross-validated accuracy of a shallow tree on all input columns (``keys`` are not inputs).
-
-    Columns with too many categories are left out and named in ``left_out``.
-    """
+            missing: str = "nan") -> DataFrame:
+    """Cross-validated accuracy of a shallow tree on all input columns (``keys`` are not inputs)."""
     inputs = df.drop(*keys)
     texts, numbers = column_roles(inputs, target)
-    enc = learn_encoding(df, numbers, texts, missing=missing, max_categories=max_categories)
+    enc = learn_encoding(df, numbers, texts, missing=missing)
     stages = encoder_stages(enc, numbers, texts, scale=False)
     ready = prepare(df, enc, numbers, texts, missing).withColumn("_label", F.col(target).cast("double"))
     encoded = Pipeline(stages=stages).fit(ready).transform(ready).select(*keys, "_label", "features")
@@ -271,7 +266,7 @@ def tree_cv(df: DataFrame, target: str, keys: Sequence[str], *, depth: int = 2,
         out = out.unionByName(part)
     per_fold = out.groupBy("fold").agg(ratio(F.count_if(F.col("_label") == F.col("prediction")), F.count("*")).alias("acc"))
     return per_fold.agg(F.lit(depth).alias("depth"), F.count("*").alias("folds"), F.avg("acc").alias("acc_mean"),
-                        F.min("acc").alias("acc_min"), F.lit(",".join(enc.too_wide)).alias("left_out"))
+                        F.min("acc").alias("acc_min"))
 
 
 __all__ = [

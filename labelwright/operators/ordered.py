@@ -22,8 +22,6 @@ from ..session import pin
 SMALL_CELLS = 200_000
 #: Target number of distinct keys per value range.
 RANGE_CELLS = 100_000
-#: Largest number of value ranges.
-MAX_RANGES = 20_000
 
 
 @dataclass(frozen=True)
@@ -56,7 +54,7 @@ def cut_ranges(cells: DataFrame, by: Sequence[str], key: str, *, small: int | No
     total = cells.count()
     if total <= small:
         return RangedCells(cells.withColumn("_range", F.lit(0)), tuple(by), key, True)
-    n_ranges = min(MAX_RANGES, math.ceil(total / range_cells))
+    n_ranges = math.ceil(total / range_cells)
     spread = cells.repartitionByRange(n_ranges, *by, key).withColumn("_range", F.spark_partition_id())
     return RangedCells(pin(spread), tuple(by), key, False)
 
@@ -94,11 +92,11 @@ def running_totals(cells: DataFrame, by: Sequence[str], key: str, measures: Sequ
 def grouped_median(df: DataFrame, by: Sequence[str], values: Sequence[str], **limits: int) -> DataFrame:
     """Exact median of several columns per group (mean of the two middle values when even).
 
-    Unlike the built-in, no group's values are ever held together: the columns are unpivoted,
+    Nulls and NaN are left out. Unlike the built-in, no group's values are ever held together: the columns are unpivoted,
     reduced to distinct values, and the middle positions are read off running counts.
     """
     long = df.select(*by, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(
-        list(by), list(values), "_column", "_value")
+        list(by), list(values), "_column", "_value").filter(~F.isnan("_value"))
     cells = reduce_cells(long, [*by, "_column"], "_value", {"_n": F.lit(1).cast("bigint")})
     placed = running_totals(cells, [*by, "_column"], "_value", ["_n"], **limits)
     lower, upper = F.expr("(all__n + 1) div 2"), F.expr("all__n div 2 + 1")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,21 +28,48 @@ def build_session(master: str = "local[*]", app: str = "labelwright", **conf: st
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where the session names none (a laptop, the tests) a temporary folder is made,
-    and remembered in the session so that all jobs share it.
+    Only a local session (a laptop, the tests) that names neither gets a temporary folder, which is
+    remembered in the session so that all jobs share it. On a cluster executors would each write to
+    their own disk there, so a session that names no folder is refused.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("labelwright.scratch.dir", None)
+    configured = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+                  or spark.conf.get("labelwright.scratch.dir", None))
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="labelwright-")
     spark.conf.set("labelwright.scratch.dir", made)
     return made
 
 
 def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{scratch_dir(spark)}/labelwright/{kind}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/labelwright/{kind}-{uuid.uuid4().hex}"
+    for paths in _OPEN:
+        paths.append(path)
+    return path
+
+
+#: Paths made inside the open ``scratch`` blocks.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables made inside the block when it ends.
+
+    Results that are read after the block must have been written elsewhere, or collected.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _OPEN.pop():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -52,13 +82,3 @@ def pin(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession, "pin")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores when its source has fewer files than there are cores.
-
-    For jobs that multiply rows: a handful of small files would keep most cores idle. A
-    source with many files is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df

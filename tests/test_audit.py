@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelwright.operators import conditions as cond
-from labelwright.operators.models import tree_cv
+from labelwright.operators.models import ModelSpec, fit_and_score, tree_cv
 from labelwright.plans.label_audit import audit
 
 
@@ -111,22 +111,52 @@ def brute_greedy(pdf, found):
     return " OR ".join(chosen)
 
 
-def test_greedy_paths_agree_with_brute_force(spark, monkeypatch):
+def greedy(spark, pdf_or_df, names=None):
+    df = spark.createDataFrame(pdf_or_df) if isinstance(pdf_or_df, pd.DataFrame) else pdf_or_df
+    names = names or [c for c in df.columns if c != "y"]
+    found = cond.single_conditions(df, "y", names)
+    return found, cond.greedy_or_rule(df, "y", found, names).first()
+
+
+def test_greedy_rule_agrees_with_brute_force(spark, monkeypatch):
     pdf = overlapping()
-    df = spark.createDataFrame(pdf)
     names = [c for c in pdf.columns if c != "y"]
-    found = cond.single_conditions(df, "y", names)
+    found, row = greedy(spark, pdf, names)
     pure = cond.rank_conditions(found.filter("pure_label = 1"), names).withColumn("label", cond.describe()).collect()
-    want = brute_greedy(pdf, pure)
-    by_signature = cond.greedy_or_rule(df, "y", found, names).first()
-    by_rounds = cond.greedy_or_rule(df, "y", found, names, max_inline=1).first()
-    monkeypatch.setattr(cond, "MAX_SIGNATURES", 1)
-    too_many_sets = cond.greedy_or_rule(df, "y", found, names).first()
-    assert by_signature.rule == want and want.count(" OR ") >= 3
-    assert tuple(by_rounds) == tuple(by_signature) == tuple(too_many_sets)
-
-
-def test_wide_text_columns_are_left_out_and_named(spark, planted):
-    df = spark.createDataFrame(planted).withColumn("code", F.concat(F.lit("c"), F.col("id").cast("string")))
-    row = tree_cv(df, "y", ["id"], max_categories=50).first()
-    assert row.left_out == "code" and row.acc_mean == 1.0
+    assert row.rule == brute_greedy(pdf, pure) and row.rule.count(" OR ") >= 3
+    assert (row.mismatches, row.accuracy, row.positives_covered) == (0, 1.0, pdf.y.sum())
+    monkeypatch.setattr(cond, "ROUNDS_PER_PIN", 1)
+    assert tuple(greedy(spark, pdf, names)[1]) == tuple(row)
+
+
+@pytest.mark.parametrize("kind", ["decimal(6,2)", "float", "double", "int"])
+def test_a_number_is_found_and_covered_whatever_its_type(spark, kind):
+    df = spark.range(600).select((F.col("id") % 6).alias("k")).select(
+        (F.col("k") if kind == "int" else F.col("k") / 10).cast(kind).alias("d"), (F.col("k") == 1).cast("int").alias("y"))
+    row = greedy(spark, df)[1]
+    assert row.rule == ('d == "1"' if kind == "int" else f'd == "{0.1 if kind != "float" else 0.10000000149011612}"')
+    assert (row.positives_covered, row.mismatches) == (100, 0)
+
+
+def test_nan_and_null_are_the_missing_value(spark):
+    k = F.col("id") % 6
+    df = spark.range(600).select(F.when(k == 1, F.lit(float("nan"))).when(k != 2, k.cast("double")).alias("d"), k.isin(1, 2).cast("int").alias("y"))
+    row = greedy(spark, df)[1]
+    assert row.rule == 'd == "nan"' and row.positives_covered == row.positives_total == 200
+
+
+def test_a_tie_falls_to_the_condition_that_ranks_first(spark):
+    df = spark.range(1_000).select(F.col("id").cast("double").alias("x"), F.when(F.col("id") < 100, "A").otherwise("B").alias("s"),
+                                   (F.col("id") < 100).cast("int").alias("y"))
+    assert greedy(spark, df, ["x", "s"])[1].rule == "x <= 99.5"
+    assert greedy(spark, df, ["s", "x"])[1].rule == 's == "A"'
+
+
+def test_a_wide_text_column_can_decide_the_label(spark):
+    df = spark.range(12_000).select((F.col("id") % 6_000).alias("v"), F.col("id")).select(
+        "id", F.concat(F.lit("c"), F.col("v").cast("string")).alias("code"), (F.col("v") % 2).cast("int").alias("y"))
+    row = tree_cv(df.filter("id % 6000 < 60"), "y", ["id"], depth=2).first()
+    assert row.folds == 5
+    spec = ModelSpec("lr", "logistic", (), ("code",), {"regParam": 1e-6})
+    scored = fit_and_score(df, df, [spec], "y", ["id", "y"])
+    assert scored.filter("pred = y").count() == 12_000

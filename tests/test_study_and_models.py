@@ -102,7 +102,8 @@ def test_unseen_is_all_zero_rare_is_one_category_and_medians_come_from_train(spa
     train = spark.createDataFrame(
         [("a", 1.0)] * 3 + [("b", 2.0)] * 3 + [("x", 9.0), ("y", None)], "c string, v double").withColumn("y", F.lit(1))
     enc = md.learn_encoding(train, ["v"], ["c"], min_count=3)
-    assert enc.frequent["c"] == ["a", "b"] and sorted(enc.rare["c"]) == ["x", "y"] and enc.medians["v"] == 2.0
+    assert {(r.column, r.value, r.slot) for r in enc.levels.collect()} == {("c", "a", 0), ("c", "b", 1), ("c", "x", 2), ("c", "y", 2)}
+    assert enc.slots == {"c": 3} and enc.medians["v"] == 2.0
     from pyspark.ml import Pipeline
 
     test = spark.createDataFrame([("a", None), ("x", 0.0), ("new", 0.0), (None, 0.0)], "c string, v double")
