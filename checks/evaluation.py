@@ -256,12 +256,31 @@ def union_splits(spark, sf):
     return splits.union_splits({"train": train, "test": test}).select("doc_id", "split")
 
 
-@check("split_is_permutation", "SELECT 0::BIGINT AS missing_rows, 0::BIGINT AS extra_rows, count(*) >= 0 AS is_permutation FROM documents")
+def _bag_sql(parts: str) -> str:
+    """Copies missing from and extra in ``parts``, counted by whole rows."""
+    return f"""WITH {_DOC_SPLIT}, parts AS ({parts}),
+ gap AS (SELECT doc_id, text, sum(one) AS s FROM (SELECT doc_id, text, 1 AS one FROM documents UNION ALL SELECT doc_id, text, -1 FROM parts)
+  GROUP BY 1,2)
+SELECT coalesce(sum(s) FILTER (s>0),0)::BIGINT AS missing_rows, coalesce(-sum(s) FILTER (s<0),0)::BIGINT AS extra_rows,
+  count(*) FILTER (s<>0) = 0 AS is_permutation FROM gap"""
+
+
+@check("split_is_permutation", _bag_sql("SELECT doc_id, text FROM split WHERE train UNION ALL SELECT doc_id, text FROM split WHERE NOT train"))
 def split_is_permutation(spark, sf):
     train, test = _doc_split(spark, sf)
     return splits.permutation_check(read(spark, sf, "documents").select("doc_id", "text"), train.unionByName(test))
 
 
+@check("split_damage", _bag_sql("""SELECT doc_id, CASE WHEN doc_id%70=3 THEN text || ' ' ELSE text END AS text FROM split WHERE train
+ UNION ALL SELECT doc_id, text FROM split WHERE NOT train AND doc_id%50<>0 UNION ALL SELECT doc_id, text FROM split WHERE NOT train AND doc_id%40=1"""))
+def split_damage(spark, sf):
+    """A split with lost, doubled and altered rows."""
+    train, test = _doc_split(spark, sf)
+    altered = train.withColumn("text", F.when(F.col("doc_id") % 70 == 3, F.concat("text", F.lit(" "))).otherwise(F.col("text")))
+    parts = altered.unionByName(test.filter("doc_id % 50 <> 0")).unionByName(test.filter("doc_id % 40 = 1"))
+    return splits.permutation_check(read(spark, sf, "documents").select("doc_id", "text"), parts)
+
+
 @check("first_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def first_k(spark, sf):
     orders = read(spark, sf, "orders").select("o_orderkey", "o_totalprice")

@@ -38,7 +38,7 @@ def csv_typed_load(spark, sf):
     return tables.read_labelled_csv(spark, path, schema, "target")
 
 
-@check("chat_roundtrip")
+@check("chat_roundtrip", """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, text FROM conversations""")
 def chat_roundtrip(spark, sf):
     before = v.chat_table(spark, sf)
     path = new_path(spark, "chat")

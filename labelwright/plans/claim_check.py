@@ -51,12 +51,12 @@ def plain_token(token: Column) -> Column:
 
 
 def printed(value: Column) -> Column:
-    """C-style prints of a double: shortest, 1-2 exponent digits, 1-4 decimals, millionths.
+    """C-style prints of a double: shortest, 1-2 exponent digits, 0-4 decimals, millionths.
 
     Done in Python on distinct values only: decimal rounding there follows the exact binary
     value, which the JVM's formatter does not.
     """
-    styles = {"e1": ".1e", "e2": ".2e", "f1": ".1f", "f2": ".2f", "f3": ".3f", "f4": ".4f"}
+    styles = {"e1": ".1e", "e2": ".2e", "f0": ".0f", "f1": ".1f", "f2": ".2f", "f3": ".3f", "f4": ".4f"}
 
     @F.pandas_udf("r string, " + ", ".join(f"{k} string" for k in styles) + ", u2 string, u3 string")
     def prints(values: pd.Series) -> pd.DataFrame:
@@ -84,7 +84,7 @@ def value_forms(value: Column, micro: bool = True) -> Column:
     if micro:
         tiny = F.concat(tiny, F.when(F.abs(value * F.lit(1e6)) >= 1, F.array(p["u2"], p["u3"])).otherwise(none))
     large = F.when(size >= 1, F.array(p["f1"], p["f2"])).otherwise(none)
-    whole = F.when((value == F.floor(value)) & (size < 1e18), F.array(value.cast("bigint").cast("string"))).otherwise(none)
+    whole = F.when((value % 1 == 0) & (size < float("inf")), F.array(p["f0"])).otherwise(none)
     usual = F.concat(F.array(p["r"], p["f3"], p["f4"]), large, whole)
     return F.array_distinct(F.when((size > 0) & (size < 1e-3), tiny).otherwise(usual))
 
@@ -95,10 +95,12 @@ def token_forms(token: Column, percent: Column | None = None, micro: bool = True
     value = text.try_cast("double")
     none = F.array().cast("array<string>")
     exponent = F.contains(F.lower(text), F.lit("e"))
-    whole = (value == F.floor(value)) & ~exponent & ~F.contains(text, F.lit(".")) & (F.abs(value) < 1e18)
+    # a whole number of any length: its text without leading zeros
+    whole = F.regexp_like(text, F.lit(r"^-?[0-9]+$"))
+    bare = F.regexp_replace(F.regexp_replace(text, r"^(-?)0+(?=[0-9])", "$1"), "^-0$", "0")
     forms = F.concat(
         F.array(text),
-        F.when(whole, F.array(value.cast("bigint").cast("string"))).otherwise(none),
+        F.when(whole, F.array(bare)).otherwise(none),
         F.when(exponent & value.isNotNull(), value_forms(value, micro)).otherwise(none))
     if percent is not None:
         share = printed(value / 100)

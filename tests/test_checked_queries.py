@@ -2,11 +2,12 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from checks import all_checks
 from tools.compare import compare, oracle_connection
 
-QUERIES, ORACLES = queries(), oracle_sql()
-ROWS_ONLY = {"clopper_pearson", "file_fingerprint", "chat_roundtrip", "bootstrap_rank_ci", "number_forms",
+QUERIES, ORACLES = all_checks()
+ROWS_ONLY = {"clopper_pearson", "file_fingerprint", "bootstrap_rank_ci",
              "baseline_models", "cv_models", "model_margins", "tree_cv", "study_models"}
 
 
@@ -26,7 +27,7 @@ def test_query_matches_sql(spark, con, sf, name):
     assert outcome.startswith("ok"), outcome
 
 
-@pytest.mark.parametrize("name", ["clopper_pearson", "file_fingerprint", "chat_roundtrip", "bootstrap_rank_ci", "number_forms"])
+@pytest.mark.parametrize("name", ["clopper_pearson", "file_fingerprint", "bootstrap_rank_ci"])
 def test_rows_only_queries_give_rows(spark, con, sf, name):
     assert compare(spark, con, name, QUERIES[name], None, sf).startswith("rows-only")
 
