@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import take
+from .common import take, worker_state
 from .frequencies import commonest, pretoken_counts
 
 #: Buckets of the literal rank map: a lookup scans about three entries.
 BUCKETS = 16_384
-#: Commonest words that are encoded once for the whole corpus; others are encoded per document. Changes the cost only.
-HEAD = 400_000
+#: Commonest words, which the fold encodes once for the whole corpus. Changes the cost only.
+HEAD = 100_000
+#: Rarer words whose ids a worker remembers.
+REMEMBERED = 500_000
 #: Bytes from which on a word takes the linked-list merge, whose cost does not grow with the square.
-LONG = 128
+LONG = 64
 #: Fixed value: white space of the pattern's engine.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -51,40 +54,58 @@ def fold_merges(ranks: dict[bytes, int]):
     literal = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
     empty = F.array().cast("array<int>")
 
-    def rank(piece: Column) -> Column:
-        return F.element_at(F.element_at(literal, (F.crc32(piece.cast("binary")) % BUCKETS + 1).cast("int")), piece)
+    def fold(table: Column, letters: Column) -> Column:
+        def rank(piece: Column) -> Column:
+            return F.element_at(F.element_at(table, (F.crc32(piece.cast("binary")) % BUCKETS + 1).cast("int")), piece)
 
-    def pair_rank(pair: Column) -> Column:
-        return F.coalesce(rank(pair), F.lit(none))
+        def pair_rank(pair: Column) -> Column:
+            return F.coalesce(rank(pair), F.lit(none))
 
-    def state(pieces: Column, pairs: Column) -> Column:
-        return _let(pairs, lambda p: F.struct(pieces.alias("p"), p.alias("r"), F.coalesce(F.array_min(p), F.lit(none)).alias("m")))
+        def state(pieces: Column, pairs: Column) -> Column:
+            return _let(pairs, lambda p: F.struct(pieces.alias("p"), p.alias("r"), F.coalesce(F.array_min(p), F.lit(none)).alias("m")))
 
-    def merge(s: Column, k: Column) -> Column:
-        pieces, pairs = s["p"], s["r"]
+        def merge(s: Column, k: Column) -> Column:
+            pieces, pairs = s["p"], s["r"]
 
-        def put(joined: Column) -> Column:
-            left = F.when(k > 1, F.array(pair_rank(F.concat(F.get(pieces, k - 2), joined)))).otherwise(empty)
-            right = F.when(k + 1 < F.size(pieces), F.array(pair_rank(F.concat(joined, F.get(pieces, k + 1))))).otherwise(empty)
-            return state(F.concat(F.slice(pieces, F.lit(1), k - 1), F.array(joined), F.slice(pieces, k + 2, F.size(pieces))),
-                         F.concat(F.slice(pairs, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(pairs, k + 2, F.size(pieces))))
+            def put(joined: Column) -> Column:
+                left = F.when(k > 1, F.array(pair_rank(F.concat(F.get(pieces, k - 2), joined)))).otherwise(empty)
+                right = F.when(k + 1 < F.size(pieces), F.array(pair_rank(F.concat(joined, F.get(pieces, k + 1))))).otherwise(empty)
+                return state(F.concat(F.slice(pieces, F.lit(1), k - 1), F.array(joined), F.slice(pieces, k + 2, F.size(pieces))),
+                             F.concat(F.slice(pairs, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(pairs, k + 2, F.size(pieces))))
 
-        return _let(F.concat(F.get(pieces, k - 1), F.get(pieces, k)), put)
+            return _let(F.concat(F.get(pieces, k - 1), F.get(pieces, k)), put)
 
-    def step(s: Column, _: Column) -> Column:
-        return F.when(s["m"] == none, s).otherwise(_let(F.array_position(s["r"], s["m"]).cast("int"), lambda k: merge(s, k)))
+        def step(s: Column, _: Column) -> Column:
+            return F.when(s["m"] == none, s).otherwise(_let(F.array_position(s["r"], s["m"]).cast("int"), lambda k: merge(s, k)))
 
-    def merged(letters: Column) -> Column:
-        start = state(F.split(letters, ""), F.transform(
-            F.sequence(F.lit(1), F.length(letters) - 1), lambda i: pair_rank(F.substring(letters, i, F.lit(2)))))
-        pieces = F.aggregate(F.sequence(F.lit(2), F.length(letters)), start, step, lambda s: s["p"])
-        return F.transform(pieces, rank)
+        def merged() -> Column:
+            start = state(F.split(letters, ""), F.transform(
+                F.sequence(F.lit(1), F.length(letters) - 1), lambda i: pair_rank(F.substring(letters, i, F.lit(2)))))
+            pieces = F.aggregate(F.sequence(F.lit(2), F.length(letters)), start, step, lambda s: s["p"])
+            return F.transform(pieces, rank)
 
-    def encode(word: Column) -> Column:
-        letters = F.decode(word, "ISO-8859-1")
-        return _let(letters, lambda t: _let(rank(t), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged(t))))
+        return _let(rank(letters), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged()))
 
-    return encode
+    # the literal is bound once, so that it stands once in the plan
+    return lambda word: _let(literal, lambda table: _let(F.decode(word, "ISO-8859-1"), lambda letters: fold(table, letters)))
+
+
+def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges for one short word: the first pair of least rank, until no pair has one."""
+    if word in ranks:
+        return [ranks[word]]
+    none = 2**31 - 1
+    pieces = [word[i:i + 1] for i in range(len(word))]
+    pairs = [ranks.get(a + b, none) for a, b in zip(pieces, pieces[1:], strict=False)]
+    while pairs and (least := min(pairs)) < none:
+        k = pairs.index(least)
+        pieces[k:k + 2] = [joined := pieces[k] + pieces[k + 1]]
+        del pairs[k]
+        if k:
+            pairs[k - 1] = ranks.get(pieces[k - 1] + joined, none)
+        if k < len(pairs):
+            pairs[k] = ranks.get(joined + pieces[k + 1], none)
+    return [ranks[p] for p in pieces]
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -176,61 +197,55 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, head: in
     """doc_id and ids (binary, little-endian unsigned 32-bit) of every row of ``docs``.
 
     Each match of ``pattern`` is encoded by itself, without special tokens. The commonest words are encoded
-    once for all documents, a table of bounded size that every task holds; each document's other distinct words
-    are encoded in its own row, by the same fold over ranked merges, with no shuffle. Words of more than ``LONG``
-    bytes take the linked-list merge. Null text is empty: no ids. Repeated rows and ids are rows like
+    once for all documents by the fold over ranked merges, a table of bounded size that every task holds. Rarer words
+    take the same merges in the task that meets them, which remembers a bounded number of them; from ``LONG`` bytes on by a
+    linked list. So no text is sent anywhere. Null text is empty: no ids. Repeated rows and ids are rows like
     others; an empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = take(docs, id_col, text_col).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     ranks = read_ranks(ranks_path)
-    encode = fold_merges(ranks)
-    shared = spark.sparkContext.broadcast((common_words(rows, encode, pattern, head), ranks))
-    long = LONG
-
-    def rare(batches: Iterator) -> Iterator:
-        """Add the distinct words of each text that are neither common nor long."""
-        import pyarrow as pa
+    own = md5(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast((common_words(rows, fold_merges(ranks), pattern, head), ranks))
 
-        (known, _), (chunks, inside) = shared.value, _chunker(pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = []
-                for text in part.column(1).to_pylist():
-                    new = {w for c in set(chunks(text or "")) if c not in known for w in inside(c) if w not in known}
-                    found.append([b for w in new if len(b := w.encode()) <= long])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.binary()))], names=["doc_id", "text", "rare"])
-
-    def assemble(batches: Iterator) -> Iterator:
+    def encode(batches: Iterator) -> Iterator:
         from array import array
+        from itertools import islice
 
         import pyarrow as pa
 
-        (known, ranked), (chunks, inside) = shared.value, _chunker(pattern)
+        (common, ranked), (chunks, inside) = shared.value, _chunker(pattern)
+
+        class Words(dict):
+            """Ids of words; the rarer ones are merged here."""
+
+            def __missing__(self, word: str) -> bytes:
+                found = common.get(word)
+                if found is None:
+                    raw = word.encode()
+                    found = array("I", (merge_short if len(raw) < LONG else merge_long)(raw, ranked)).tobytes()
+                self[word] = found
+                return found
+
+        class Chunks(dict):
+            """Ids of chunks."""
+
+            def __missing__(self, chunk: str) -> bytes:
+                found = self[chunk] = b"".join(map(words.__getitem__, inside(chunk)))
+                return found
+
+        words, known = worker_state(f"byte_bpe_words_{own}", Words), worker_state(f"byte_bpe_chunks_{own}", Chunks)
         for batch in batches:
-            out = []
-            for text, new, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                own = {w.decode(): array("I", i).tobytes() for w, i in zip(new, ids, strict=True)}
-                parts = []
-                for chunk in chunks(text or ""):
-                    found = known.get(chunk) or own.get(chunk)
-                    if found is None:
-                        each = []
-                        for w in inside(chunk):
-                            code = known.get(w) or own.get(w)
-                            if code is None:  # longer than the fold takes
-                                code = own[w] = array("I", merge_long(w.encode(), ranked)).tobytes()
-                            each.append(code)
-                        found = own[chunk] = b"".join(each)
-                    parts.append(found)
-                out.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
-
-    words = rows.mapInArrow(rare, f"doc_id {kind}, text string, rare array<binary>")
-    encoded = words.withColumn("rare_ids", F.transform("rare", encode))
-    return encoded.mapInArrow(assemble, f"doc_id {kind}, ids binary")
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                out = [b"".join(map(known.__getitem__, chunks(t or ""))) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+                for memory in (known, words):
+                    if len(memory) > REMEMBERED:
+                        for old in list(islice(memory, len(memory) - REMEMBERED // 2)):
+                            del memory[old]
+
+    return rows.mapInArrow(encode, f"doc_id {kind}, ids binary")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
