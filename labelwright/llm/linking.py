@@ -78,7 +78,7 @@ def linked_classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], th
 
     ``verify`` turns distinct (a, b) pairs into (a, b, similarity). ``links`` has the verified pairs;
     ``classes`` has (key, comp) for every key with a link. ``sketches`` (key, ...) and ``alike``, a condition
-    on two rows of it under the given names, tell pairs that cannot be similar without their texts.
+    on two rows of a bucket with these columns under the given names, tell pairs that cannot be similar without their texts.
 
     1. In each bucket all keys are compared with the bucket's hub only.
     2. Keys of one bucket that are not connected after that are compared with each other, if their

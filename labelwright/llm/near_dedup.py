@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +13,9 @@ from .linking import SHINGLE, THRESHOLD, crowded, linked_classes, verify_texts,
 
 #: Bands and registers per band: a pair of similarity 0.8 meets with probability 0.9998, one of 0.5 with 0.17.
 BANDS, ROWS = 48, 8
-#: Of all registers, each kept as one bit, so many may differ in a pair that is worth reading its texts: at
-#: similarity 0.8 a tenth is expected to differ (38 of 384), and 67 is 4.9 standard deviations more.
-DIFFERENT = 67
+#: Bits kept of each register, and how many of the registers may differ in a pair whose texts are worth reading: at
+#: similarity 0.8 a fifth, less chance hits, is expected to differ (72 of 384); 107 is 4.6 standard deviations more.
+BITS, DIFFERENT = 4, 107
 
 
 def prob_minhash(hashes, weights, docs, n_docs: int, registers: int):
@@ -59,7 +60,7 @@ def prob_minhash(hashes, weights, docs, n_docs: int, registers: int):
 
 def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """(doc_id, key, bands, sketch) from (doc_id, text): ``key`` is a 128-bit hash of the words, ``bands`` one
-    number per band, ``sketch`` a bit of each register in 64-bit numbers.
+    number per band, ``sketch`` some bits of each register, in 64-bit numbers, one bit of all registers after the other.
 
     Elements are the shingles of ``size`` words; a shingle that occurs n times weighs 1 + ln n. Texts of fewer words are one
     shingle; texts without words have no bands.
@@ -105,7 +106,8 @@ def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: i
             filled = np.diff(ends) > 0
             sizes = np.r_[0, np.cumsum(np.where(filled, bands, 0))]
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(number[filled].reshape(-1).view(np.int64)))
-            bits = np.packbits((kept.reshape(part.num_rows, -1) >> np.uint64(17) & np.uint64(1)).astype(np.uint8), axis=1)
+            flat = kept.reshape(part.num_rows, -1)
+            bits = np.concatenate([np.packbits((flat >> np.uint64(17 + b) & np.uint64(1)).astype(np.uint8), axis=1) for b in range(BITS)], axis=1)
             width = bits.shape[1] // 8
             sketch = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(bits).view(np.int64).reshape(-1)), width)
             return pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, sketch.cast(pa.list_(pa.int64()))],
@@ -131,14 +133,17 @@ def near_classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> tuple[Data
     texts = texts.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     # copies are dropped before they are sent; only texts that meet another are kept
     texts = pin(texts.groupBy("key").agg(F.first("text").alias("text")).join(rows.select("key").distinct(), "key", "left_semi"), "lz4")
-    parts = range(BANDS * ROWS // 64)
-    sketches = distinct.select("key", *[F.col("sketch")[i].alias(f"s{i}") for i in parts])
+    part = BANDS * ROWS // 64
+    sketches = distinct.select("key", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(BITS * part)])
 
     def alike(x: str, y: str) -> Column:
         differ = F.lit(0)
-        for i in parts:
-            differ = differ + F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}")))
-        return differ <= DIFFERENT
+        for i in range(part):
+            bits = [F.col(f"{x}.s{i + b * part}").bitwiseXOR(F.col(f"{y}.s{i + b * part}")) for b in range(BITS)]
+            differ = differ + F.bit_count(reduce(Column.bitwiseOR, bits))
+        # a pair that meets in several buckets counts in the first of them
+        shared = F.filter(F.zip_with(f"{x}.bands", f"{y}.bands", lambda a, b: F.when(a == b, a)), lambda a: a.isNotNull())
+        return (differ <= DIFFERENT) & (F.get(shared, 0) == F.col(f"{x}.bucket"))
 
     classes, links = linked_classes(rows, lambda pairs: verify_texts(pairs, texts, SHINGLE), threshold, sketches=sketches, alike=alike)
     members = pin(signed.groupBy("doc_id", "key").agg(F.count("*").alias("times")))
