@@ -97,11 +97,13 @@ def _encoder(tokenizer_json: str, end_id: int):
     import json
     import re
     from array import array
+    from hashlib import md5
     from itertools import islice
 
     from tokenizers import Tokenizer
 
-    model = worker_state("word_bpe", lambda: Tokenizer.from_str(tokenizer_json))
+    own = md5(tokenizer_json.encode()).hexdigest()
+    model = worker_state(f"word_bpe_{own}", lambda: Tokenizer.from_str(tokenizer_json))
     marks = [t["content"] for t in json.loads(tokenizer_json)["added_tokens"]]
     merge, normal, parted = model.model.tokenize, model.normalizer.normalize_str, model.pre_tokenizer.pre_tokenize_str
     # visible Latin, where normal form and lower case are Python's; then the tokenizer's pattern for it
@@ -133,7 +135,7 @@ def _encoder(tokenizer_json: str, end_id: int):
             self[chunk] = found
             return found
 
-    words, known = worker_state("word_bpe_words", Words), worker_state("word_bpe_chunks", Chunks)
+    words, known = worker_state(f"word_bpe_words_{own}", Words), worker_state(f"word_bpe_chunks_{own}", Chunks)
     end = end_id.to_bytes(4, "little")
 
     def ids(text: str) -> bytes:
