@@ -71,7 +71,35 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-@query("op8_risk_controlled_rules")
+_GRID = ", ".join(f"('{rule}', {cut})" for rule, cuts in quality.CUTOFFS.items() for cut in cuts)
+_QUALITY_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+s AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
+w AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS w FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM s)),
+d AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, w) AS c FROM w) WHERE c > 1),
+c AS (SELECT rid, count(DISTINCT p) AS covered FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM d) GROUP BY rid),
+f AS (SELECT s.rid, doc_id, lang, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  len(ls) AS n_lines, coalesce(covered, 0) AS n_repeat_words FROM s LEFT JOIN c USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_symbols / nullif(word_chars, 0), 0) AS v_symbols,
+  coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS v_lines, coalesce(n_repeat_words / nullif(n_words, 0), 0) AS v_repeats,
+  coalesce(word_chars / nullif(n_words, 0), 0) AS v_length FROM f),
+v AS (SELECT rid, lang, rule, CASE rule WHEN 'symbols' THEN v_symbols WHEN 'lines' THEN v_lines WHEN 'repeats' THEN v_repeats ELSE v_length END AS x,
+  cut FROM b, (VALUES {_GRID}) AS g(rule, cut)),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) >= 1),
+held AS (SELECT rid FROM b JOIN good USING (doc_id) WHERE NOT base_failed),
+k AS (SELECT lang, rule, cut, count(*) AS n, count(*) FILTER (x > cut) AS k FROM v JOIN held USING (rid) GROUP BY ALL),
+safe AS (SELECT lang, rule, min(cut) AS cut FROM (SELECT *, CASE WHEN k >= n * {quality.RISK / 4} THEN 1 ELSE list_sum(list_transform(range(0, k + 1),
+  lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({quality.RISK / 4}) + (n - j) * ln(1 - {quality.RISK / 4})))) END AS tail FROM k)
+  WHERE tail <= {quality.DOUBT} / (SELECT 40 * count(DISTINCT coalesce(lang, '?')) FROM k) GROUP BY ALL),
+bad AS (SELECT DISTINCT rid FROM v JOIN safe ON v.rule = safe.rule AND v.lang IS NOT DISTINCT FROM safe.lang AND v.cut = safe.cut WHERE x > v.cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept
+FROM b LEFT JOIN bad ON b.rid = bad.rid
+"""
+
+
+@query("op8_risk_controlled_rules", _QUALITY_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("stratum")
 
