@@ -189,18 +189,18 @@ FROM (SELECT (tp+tn)/(tn+fp+fn+tp) AS acc, 2*tp/nullif(2*tp+fp+fn,0) AS f1, dege
   LATERAL (SELECT unnest(range(CAST(greatest(0, m-10*sqrt(m)-20) AS BIGINT), CAST(m+10*sqrt(m)+21 AS BIGINT))) AS k)),
  cdf AS (SELECT m, k, sum(p) OVER (PARTITION BY m ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM pmf),
  draws AS (SELECT cell, m, r, degenerate, (CAST('0x' || substr(md5('7|' || r || '|' || cell),1,8) AS BIGINT)+0.5::DOUBLE)/4294967296.0::DOUBLE AS u
-  FROM cell, range(200) t(r)),
+  FROM cell, range(1000) t(r)),
  weights AS (SELECT cell, r, any_value(degenerate) AS degenerate, CASE WHEN any_value(d.m)=0 THEN 0 ELSE min(k) END AS w
   FROM draws d LEFT JOIN cdf ON cdf.m=d.m AND c>=u GROUP BY 1,2),
  reps AS (SELECT r, any_value(degenerate) AS degenerate, sum(w) FILTER (cell='tn') AS tn, sum(w) FILTER (cell='fp') AS fp,
   sum(w) FILTER (cell='fn') AS fn, sum(w) FILTER (cell='tp') AS tp FROM weights GROUP BY 1)"""))
 def bootstrap_ci(spark, sf):
-    return resampling.bootstrap_counts(v.scored_records(spark, sf), "gold", "label", n_boot=200, seed=7)
+    return resampling.bootstrap_counts(v.scored_records(spark, sf), "gold", "label", n_boot=1000, seed=7)
 
 
 @check("bootstrap_rank_ci")
 def bootstrap_rank_ci(spark, sf):
-    return resampling.bootstrap_ranking(v.scores_table(spark, sf), "y", "score", n_boot=100, seed=3)
+    return resampling.bootstrap_ranking(v.scores_table(spark, sf), "y", "score", n_boot=1000, seed=3)
 
 
 @check("block_bootstrap_ci", with_ctes("""
@@ -211,13 +211,12 @@ SELECT count(*) AS replicates, round(quantile_cont(auroc,0.025),6) AS auroc_lo,
   HAVING sum(pos)>0 AND sum(neg)>0)""", v.SCORES, """
  numbered AS (SELECT block, row_number() OVER (ORDER BY block)-1 AS block_no, count(*) OVER () AS b FROM (SELECT DISTINCT block FROM scores)),
  draws AS (SELECT r, CAST('0x' || substr(md5('11|' || r || '|' || d),1,8) AS BIGINT) % b AS block_no
-  FROM range(60) t(r), (SELECT DISTINCT b FROM numbered), LATERAL (SELECT unnest(range(b)) AS d)),
+  FROM range(300) t(r), (SELECT DISTINCT b FROM numbered), LATERAL (SELECT unnest(range(b)) AS d)),
  times AS (SELECT r, block_no, count(*) AS w FROM draws GROUP BY 1,2),
  weighed AS (SELECT r, score, any_value(b) AS b, sum(w*CAST(y=1 AS INT))::BIGINT AS pos, sum(w*CAST(y=0 AS INT))::BIGINT AS neg
   FROM scores JOIN numbered USING (block) JOIN times USING (block_no) GROUP BY 1,2)"""))
 def block_bootstrap_ci(spark, sf):
-    return resampling.bootstrap_blocks(v.scores_table(spark, sf), "y", "score", "block", n_boot=60, seed=11,
-                                       small=1000, range_cells=5000)
+    return resampling.bootstrap_blocks(v.scores_table(spark, sf), "y", "score", "block", n_boot=300, seed=11)
 
 
 # ------------------------------------------------------------------------------- splits

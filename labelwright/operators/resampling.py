@@ -20,7 +20,7 @@ from ..functions.joins import join_groups
 from ..session import pin
 from .classification import confusion
 from .ordered import cut_ranges, reduce_cells, running_totals
-from .ranking import ranking_from_cells, score_cells
+from .ranking import score_cells
 
 #: Metric registry over confusion counts (extend with any Column of tn, fp, fn, tp).
 COUNT_METRICS: dict[str, Callable[[], Column]] = {
@@ -29,8 +29,6 @@ COUNT_METRICS: dict[str, Callable[[], Column]] = {
     "recall": lambda: ratio(F.col("tp"), F.col("tp") + F.col("fn")),
     "f1": lambda: ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")),
 }
-#: Largest draw table (replicates x blocks) that travels to the tasks as a constant.
-MAX_SHARED_DRAWS = 4_000_000
 #: Smaller value ranges than elsewhere: each cell is weighed once per replicate.
 BOOT_LIMITS = {"small": 5_000, "range_cells": 5_000}
 
@@ -98,24 +96,49 @@ def bootstrap_counts(df: DataFrame, y: str, pred: str, by: Sequence[str] = (), m
 _PART = "replicate int, p double, n double, pairs double"
 
 
-def _weights(pdf: pd.DataFrame, n_boot: int, seed: int, place: str):
-    """Yield (replicate slice, positive weights, negative weights) for one value range.
+def _weigher(n_boot: int, seed: int):
+    """A function that yields (replicate slice, positive weights, negative weights) of score cells.
 
-    The generator is keyed by the seed and the range, so a retried task and the second
-    pass draw the same weights.
+    A weight depends on the seed, the group, the score, the class and the replicate alone: not on the
+    range a cell lies in, its neighbours or the layout of the input. The function is nested, so
+    that it travels to the workers by value.
     """
-    import hashlib
+    def weights(pdf: pd.DataFrame, group: str):
+        import hashlib
+        import math
 
-    import numpy as np
+        import numpy as np
 
-    key = int(hashlib.md5(f"{seed}|{place}".encode()).hexdigest(), 16)
-    rng = np.random.Generator(np.random.Philox(key=[key & (2**64 - 1), key >> 64]))
-    pos, neg = pdf["pos"].to_numpy(dtype=float), pdf["neg"].to_numpy(dtype=float)
-    chunk = max(1, 2_000_000 // max(1, len(pdf)))
-    for start in range(0, n_boot, chunk):
-        rows = slice(start, min(n_boot, start + chunk))
-        shape = (rows.stop - rows.start, len(pdf))
-        yield rows, rng.poisson(pos, shape), rng.poisson(neg, shape)
+        def mix(x):
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            return x ^ (x >> np.uint64(31))
+
+        def quantiles(u, means):
+            """The Poisson quantiles of a (replicates, cells) array of numbers in (0, 1)."""
+            out = np.zeros(u.shape, dtype="int64")
+            for m in np.unique(means[means > 0]):
+                spread = 10 * math.sqrt(m) + 20
+                k = np.arange(max(0, math.floor(m - spread)), math.ceil(m + spread) + 1)
+                start = -m + k[0] * math.log(m) - math.lgamma(k[0] + 1)
+                log_pmf = start + np.concatenate(([0.0], np.cumsum(math.log(m) - np.log(k[1:]))))
+                same = means == m
+                out[:, same] = k[0] + np.searchsorted(np.cumsum(np.exp(log_pmf)), u[:, same])
+            return out
+
+        odd = np.uint64(0x9E3779B97F4A7C15)
+        own = np.uint64(int(hashlib.md5(f"{seed}|{group}".encode()).hexdigest()[:16], 16))
+        scores = (pdf["score"].to_numpy(dtype=float) + 0.0).view(np.uint64)
+        means = [pdf[c].to_numpy(dtype=float) for c in ("pos", "neg")]
+        bases = [mix(mix(scores ^ own) + np.uint64(c) * odd) for c in (1, 2)]
+        chunk = max(1, 1_000_000 // max(1, len(pdf)))
+        for start in range(0, n_boot, chunk):
+            rows = slice(start, min(n_boot, start + chunk))
+            step = np.arange(rows.start + 1, rows.stop + 1, dtype=np.uint64)[:, None] * odd
+            drawn = [((mix(base[None, :] + step) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53 for base in bases]
+            yield rows, quantiles(drawn[0], means[0]), quantiles(drawn[1], means[1])
+
+    return weights
 
 
 def bootstrap_ranking(df: DataFrame, y: str, score: str, by: Sequence[str] = (), n_boot: int = 1000, seed: int = 0,
@@ -130,14 +153,14 @@ def bootstrap_ranking(df: DataFrame, y: str, score: str, by: Sequence[str] = (),
     keys = [*by, "_range"]
     types = {f.name: f.dataType.simpleString() for f in ranged.table.schema}
     head = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    n_by = len(keys)
+    n_by, weights = len(keys), _weigher(n_boot, seed)
 
     def totals(key, pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         ordered = pdf.sort_values("score", ascending=False)
         p, n = np.empty(n_boot), np.empty(n_boot)
-        for rows, wp, wn in _weights(ordered, n_boot, seed, "|".join(map(str, key))):
+        for rows, wp, wn in weights(ordered, "|".join(map(str, key[:-1]))):
             p[rows], n[rows] = wp.sum(axis=1), wn.sum(axis=1)
         out = pd.DataFrame({"p": [p.tolist()], "n": [n.tolist()]})
         for i, k in enumerate(keys):
@@ -158,7 +181,7 @@ def bootstrap_ranking(df: DataFrame, y: str, score: str, by: Sequence[str] = (),
         ordered = cells.sort_values("score", ascending=False)
         p0, n0 = np.asarray(before["_p"].iloc[0]), np.asarray(before["_n"].iloc[0])
         pieces = []
-        for rows, wp, wn in _weights(ordered, n_boot, seed, "|".join(map(str, key))):
+        for rows, wp, wn in weights(ordered, "|".join(map(str, key[:-1]))):
             cp = p0[rows, None] + np.cumsum(wp, axis=1)
             cn = n0[rows, None] + np.cumsum(wn, axis=1)
             with np.errstate(invalid="ignore", divide="ignore"):
@@ -182,18 +205,13 @@ def bootstrap_ranking(df: DataFrame, y: str, score: str, by: Sequence[str] = (),
     return _percentile_bounds(reps, by, ["auroc", "auprc"], alpha)
 
 
-def block_draws(n_blocks: int, seed: int) -> Column:
-    """Index (0-based) of the block drawn by (``replicate``, ``draw``) columns."""
-    u = F.conv(F.substring(row_hash(seed, ["replicate", "draw"]), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(u, F.lit(n_blocks).cast("bigint"))
-
-
 def bootstrap_blocks(df: DataFrame, y: str, score: str, block: str, n_boot: int = 300, seed: int = 0,
-                     alpha: float = 0.05, *, max_shared: int = MAX_SHARED_DRAWS, **limits: int) -> DataFrame:
+                     alpha: float = 0.05, **limits: int) -> DataFrame:
     """AUROC interval when whole blocks (say, months) are resampled.
 
-    Each replicate draws as many blocks as there are, with replacement. A draw table within
-    ``max_shared`` entries travels to the tasks as a constant; a larger one is joined.
+    Each replicate draws as many blocks as there are, with replacement. A draw is a hash of seed, replicate and
+    number, so every task counts the draws of its own blocks by itself: no draw table is collected,
+    sent or joined.
     """
     yy = F.col(y).cast("int")
     slim = df.select(F.col(score).cast("double").alias("score"), F.col(block).alias("block"), yy.alias("_y"))
@@ -201,46 +219,31 @@ def bootstrap_blocks(df: DataFrame, y: str, score: str, block: str, n_boot: int
         "pos": (F.col("_y") == 1).cast("bigint"), "neg": (F.col("_y") == 0).cast("bigint")})
     numbered = _number_blocks(cells.select("block").distinct())
     n_blocks = numbered.count()
-    draws = df.sparkSession.range(n_boot * n_blocks).select(
-        F.expr(f"id div {n_blocks}").alias("replicate"), F.expr(f"id % {n_blocks}").alias("draw"))
-    times = draws.select("replicate", block_draws(n_blocks, seed).alias("block_no")).groupBy(
-        "replicate", "block_no").agg(F.count("*").alias("times"))
     placed = cells.join(numbered, "block").select("score", "block_no", "pos", "neg")
-    if n_boot * n_blocks <= max_shared:
-        reps = _block_replicates(placed, times, n_boot, n_blocks, **limits)
-    else:
-        weighed = placed.join(times, "block_no").groupBy("replicate", "score").agg(
-            F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg"))
-        reps = ranking_from_cells(pin(weighed), ["replicate"], **limits).filter(F.col("auroc").isNotNull())
+    reps = _block_replicates(placed, n_boot, n_blocks, seed, **limits)
     return _percentile_bounds(reps, [], ["auroc"], alpha).withColumn("blocks", F.lit(n_blocks).cast("bigint"))
 
 
-def _block_replicates(placed: DataFrame, times: DataFrame, n_boot: int, n_blocks: int, **limits: int) -> DataFrame:
-    import numpy as np
-
-    shared = np.zeros((n_blocks, n_boot), dtype="int32")  # bounded by max_shared
-    drawn = times.toPandas()
-    shared[drawn["block_no"], drawn["replicate"]] = drawn["times"]
+def _block_replicates(placed: DataFrame, n_boot: int, n_blocks: int, seed: int, **limits: int) -> DataFrame:
     ranged = cut_ranges(placed, [], "score", **{**BOOT_LIMITS, **limits})
 
     def inside(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        from hashlib import md5
+
         import numpy as np
 
         ordered = pdf.sort_values("score", ascending=False)
         score = ordered["score"].to_numpy()
         tie_starts = np.flatnonzero(np.concatenate(([True], score[1:] != score[:-1])))
-        pos, neg = ordered["pos"].to_numpy(dtype=float)[:, None], ordered["neg"].to_numpy(dtype=float)[:, None]
+        pos, neg = ordered["pos"].to_numpy(dtype=float), ordered["neg"].to_numpy(dtype=float)
         block = ordered["block_no"].to_numpy()
-        pieces, chunk = [], max(1, 2_000_000 // len(ordered))
-        for lo in range(0, n_boot, chunk):
-            hi = min(n_boot, lo + chunk)
-            w = shared[block, lo:hi]
-            wp = np.add.reduceat(w * pos, tie_starts, axis=0)
-            wn = np.add.reduceat(w * neg, tie_starts, axis=0)
-            pairs = (wn * (np.cumsum(wp, axis=0) - wp / 2)).sum(axis=0)
-            pieces.append(pd.DataFrame({"_range": int(key[0]), "replicate": np.arange(lo, hi, dtype="int32"),
-                                        "p": wp.sum(axis=0), "n": wn.sum(axis=0), "pairs": pairs}))
-        return pd.concat(pieces)
+        rows = []
+        for r in range(n_boot):
+            drawn = [int(md5(f"{seed}|{r}|{d}".encode()).hexdigest()[:8], 16) % n_blocks for d in range(n_blocks)]
+            w = np.bincount(drawn, minlength=n_blocks)[block]
+            wp, wn = np.add.reduceat(w * pos, tie_starts), np.add.reduceat(w * neg, tie_starts)
+            rows.append((int(key[0]), r, wp.sum(), wn.sum(), (wn * (np.cumsum(wp) - wp / 2)).sum()))
+        return pd.DataFrame(rows, columns=["_range", "replicate", "p", "n", "pairs"])
 
     parts = ranged.table.groupBy("_range").applyInPandas(inside, "_range int, " + _PART)
     above = Window.partitionBy("replicate").orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)

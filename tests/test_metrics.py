@@ -162,10 +162,17 @@ def test_ranking_bootstrap_matches_row_resampling(spark, skewed):
             assert got == pytest.approx(want, abs=0.012)
 
 
-def test_block_bootstrap_paths_agree(spark, skewed):
+def test_ranking_bootstrap_does_not_depend_on_ranges_or_layout(spark, skewed):
+    df = spark.createDataFrame(skewed)
+    rows = [tuple(resampling.bootstrap_ranking(d, "y", "s", n_boot=60, seed=3, **o).first())
+            for d, o in ((df, {}), (df, MANY), (df.repartition(7), {"small": 1, "range_cells": 37}))]
+    assert rows[1] == pytest.approx(rows[0]) and rows[2] == pytest.approx(rows[0])
+
+
+def test_block_bootstrap_does_not_depend_on_ranges(spark, skewed):
     df = spark.createDataFrame(skewed.assign(block=np.arange(len(skewed)) % 7))
     rows = [tuple(resampling.bootstrap_blocks(df, "y", "s", "block", n_boot=40, seed=5, **o).first())
-            for o in ({}, MANY, {"max_shared": 1}, {"max_shared": 1, **MANY})]
+            for o in ({}, MANY)]
     for row in rows[1:]:
         assert row == pytest.approx(rows[0])
 
