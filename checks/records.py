@@ -59,6 +59,62 @@ def prediction_audit(spark, sf):
     return spark.read.parquet(path)
 
 
+@check("report_roundtrip", """
+SELECT 'status' AS section, o_orderstatus AS name, count(*) AS n FROM orders GROUP BY 2
+UNION ALL SELECT 'priority', CASE WHEN o_orderpriority='5-LOW' THEN NULL ELSE o_orderpriority END, count(*) FROM orders GROUP BY 2""")
+def report_roundtrip(spark, sf):
+    o = read(spark, sf, "orders")
+    priority = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
+    sections = {"status": o.groupBy(F.col("o_orderstatus").alias("name")).agg(F.count("*").alias("n")),
+                "priority": o.groupBy(priority.alias("name")).agg(F.count("*").alias("n"))}
+    folder = new_path(spark, "report")
+    reports.write_report(sections, folder)
+    parts = [spark.read.schema("name string, n bigint").json(f"{folder}/{s}").select(F.lit(s).alias("section"), "name", "n") for s in sections]
+    return parts[0].unionByName(parts[1])
+
+
+@check("order_tables", """
+SELECT 'orders' AS name, count(*) AS n, count(DISTINCT o_orderdate)::DOUBLE AS total FROM orders
+UNION ALL SELECT 'customers', count(*), sum(c_custkey%90000)::DOUBLE FROM customer
+UNION ALL SELECT 'order_items', count(*), round(sum(l_extendedprice),2) FROM lineitem
+UNION ALL SELECT 'sellers', count(*), sum(s_suppkey)::DOUBLE FROM supplier
+UNION ALL SELECT 'products', count(*), count(DISTINCT p_type)::DOUBLE FROM part
+UNION ALL SELECT 'order_payments', count(*), sum(l_linenumber)::DOUBLE FROM lineitem
+UNION ALL SELECT 'geolocation', count(*), sum(c_custkey%180-90)::DOUBLE FROM customer""")
+def order_tables(spark, sf):
+    """The seven order files, written from the test tables and read with their types."""
+    o, c, li = (read(spark, sf, t) for t in ("orders", "customer", "lineitem"))
+    none = F.lit(None).cast("string")
+    stamps = ["order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date"]
+    made = {
+        "orders": o.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderstatus").alias("order_status"),
+                           F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("order_purchase_timestamp"), *[none.alias(s) for s in stamps]),
+        "customers": c.select(F.col("c_custkey").alias("customer_id"), (F.col("c_custkey") % 90000).alias("customer_zip_code_prefix"),
+                              F.lit("SP").alias("customer_state")),
+        "order_items": li.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("order_item_id"), F.col("l_partkey").alias("product_id"),
+                                 F.col("l_suppkey").alias("seller_id"), F.col("l_extendedprice").alias("price"), F.lit(1.5).alias("freight_value")),
+        "sellers": read(spark, sf, "supplier").select(F.col("s_suppkey").alias("seller_id"), F.col("s_suppkey").alias("seller_zip_code_prefix"),
+                                                      F.lit("RJ").alias("seller_state")),
+        "products": read(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("product_category_name")),
+        "order_payments": li.select(F.col("l_orderkey").alias("order_id"), F.lit(1).alias("payment_sequential"), F.lit("card").alias("payment_type"),
+                                    F.col("l_linenumber").alias("payment_installments")),
+        "geolocation": c.select((F.col("c_custkey") % 90000).alias("geolocation_zip_code_prefix"), (F.col("c_custkey") % 180 - 90).alias("geolocation_lat"),
+                                F.lit(0.5).alias("geolocation_lng")),
+    }
+    folder = new_path(spark, "shop")
+    for name, table in made.items():
+        table.write.option("header", True).csv(f"{folder}/{name}.csv")
+    found = tables.read_order_tables(spark, folder)
+    totals = {"orders": F.count_distinct("order_purchase_timestamp"), "customers": F.sum("customer_zip_code_prefix"), "order_items": F.round(F.sum("price"), 2),
+              "sellers": F.sum("seller_zip_code_prefix"), "products": F.count_distinct("product_category_name"),
+              "order_payments": F.sum("payment_installments"), "geolocation": F.sum("geolocation_lat")}
+    parts = [found[n].agg(F.lit(n).alias("name"), F.count("*").alias("n"), t.cast("double").alias("total")) for n, t in totals.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @check("file_fingerprint")
 def file_fingerprint(spark, sf):
     return fingerprints.fingerprint_files(spark, sf, "*.parquet")
@@ -127,6 +183,7 @@ def decode_records(spark, sf):
     return columns
 
 
+# Answer forms that the parser must tell apart
 _RAW = """CASE row_id % 9 WHEN 0 THEN 'Logistics_Delay: ' || gold WHEN 1 THEN 'Logistics_Delay:' || gold
   WHEN 2 THEN '  Logistics_Delay: ' || gold || chr(10) WHEN 3 THEN 'Logistics_Delay: ' || gold || '0'
   WHEN 4 THEN 'assistant' || chr(10) || 'Logistics_Delay: ' || gold WHEN 5 THEN 'The answer is ' || gold

@@ -135,11 +135,6 @@ def rename_at(text: Column, at: Column, name: Column, new: Column) -> Column:
         F.substring(text, F.lit(1), at - F.lit(1)), new, F.substring(text, at + F.length(name), F.lit(_REST))))
 
 
-def set_line(text: Column, name: Column, value: Column) -> Column:
-    """Replace the value of the first ``name: `` line (the value is literal text)."""
-    return set_at(text, framed(text), line_start(framed(text), name), name, value)
-
-
 def rename_line(text: Column, name: Column, new: Column) -> Column:
     """Rename the first ``name: `` line; its value stays as it is."""
     return rename_at(text, line_start(framed(text), name), name, new)

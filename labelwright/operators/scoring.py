@@ -17,11 +17,6 @@ from .records import render
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def column_scorer(answer: Column, out: str = "raw") -> Scorer:
-    """A scorer from a plain Column expression over the input columns."""
-    return lambda df: df.withColumn(out, answer)
-
-
 def keyword_answer(text: Column, target: str, stems: Sequence[str]) -> Column:
     """``target: 1`` when the value part of any line holds a stem (any case), else ``target: 0``."""
     pattern = r"(?im)^[^:\n]*:[^\n]*(" + "|".join(stems) + ")"

@@ -146,9 +146,3 @@ def unsupported_claims(tokens: DataFrame, known: DataFrame, doc: str) -> DataFra
     spelled = distinct.select("token", "percent", F.explode(token_forms(F.col("token"), F.col("percent"))).alias("form"))
     backed = spelled.join(known.select("form"), "form", "left_semi").select("token", "percent").distinct()
     return counted.join(backed, ["token", "percent"], "left_anti").select(doc, "token", "percent", "places", "first_line")
-
-
-def harvest_keys(config: DataFrame, json: str, keys: Sequence[str]) -> DataFrame:
-    """Only the named top-level keys of a flat JSON config, as a JSON text column."""
-    picked = F.to_json(F.struct(*[F.get_json_object(F.col(json), f"$.{k}").try_cast("double").alias(k) for k in keys]))
-    return config.select(picked.alias(json))
