@@ -9,7 +9,7 @@ from hashlib import md5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import take, worker_state
+from .common import pin, take, worker_state
 from .frequencies import commonest, pretoken_counts
 
 #: Buckets of the literal rank map: a lookup scans about three entries.
@@ -177,7 +177,7 @@ def common_words(docs: DataFrame, encode, pattern: str, head: int) -> dict[str,
     """Ids (little-endian 32-bit) of the ``head`` commonest words of the corpus, each encoded once by the fold."""
     if not head:
         return {}
-    counts = pretoken_counts(docs, "text", lambda: _splitter(pattern))
+    counts = pin(pretoken_counts(docs, "text", lambda: _splitter(pattern)), "snappy")
     found = commonest(counts, head).select("token")
     # spread the words, so that the fold runs in all tasks
     encoded = found.repartition(docs.sparkSession.sparkContext.defaultParallelism).select("token", encode(F.encode("token", "UTF-8")).alias("ids"))
