@@ -14,8 +14,9 @@ from .linking import SHINGLE, THRESHOLD, crowded, linked_classes, verify_texts,
 #: Bands and registers per band: a pair of similarity 0.8 meets with probability 0.9998, one of 0.5 with 0.17.
 BANDS, ROWS = 48, 8
 #: Bits kept of each register, and how many of the registers may differ in a pair whose texts are worth reading: at
-#: similarity 0.8 a fifth, less chance hits, is expected to differ (72 of 384); 107 is 4.6 standard deviations more.
-BITS, DIFFERENT = 4, 107
+#: similarity 0.8 a fifth, less chance hits, is expected to differ (72 of 384, standard deviation 7.6), so 100
+#: loses about as few pairs there as the bands do: one in 8,000.
+BITS, DIFFERENT = 4, 100
 
 
 def prob_minhash(hashes, weights, docs, n_docs: int, registers: int):
