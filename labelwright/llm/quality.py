@@ -66,6 +66,9 @@ def text_features(rows: DataFrame, text_col: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
         "n_lines": F.size("_lines").cast("bigint"), "_windows": window}).drop("_words", "_lines")
     done = staged.withColumn("n_repeat_words", _covered(F.col("_windows"))).drop("_windows")
+    # one array of one struct, unpacked again: whatever reads the features then, each of them is computed once a row
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
+    done = done.select(*[c for c in done.columns if c not in own], F.inline(F.array(F.struct(*own))))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return done.withColumn("base_failed", failed)
 
