@@ -155,29 +155,11 @@ def _chunker(pattern: str):
     return chunks, inside
 
 
-def _splitter(pattern: str):
-    chunks, inside = _chunker(pattern)
-    known: dict[str, list[str]] = {}
-
-    def split(text: str) -> list[str]:
-        out: list[str] = []
-        for chunk in chunks(text):
-            found = known.get(chunk)
-            if found is None:
-                if len(known) > 200_000:
-                    known.clear()
-                found = known[chunk] = inside(chunk)
-            out += found
-        return out
-
-    return split
-
-
 def common_words(docs: DataFrame, encode, pattern: str, head: int) -> dict[str, bytes]:
     """Ids (little-endian 32-bit) of the ``head`` commonest words of the corpus, each encoded once by the fold."""
     if not head:
         return {}
-    counts = pin(pretoken_counts(docs, "text", lambda: _splitter(pattern)), "snappy")
+    counts = pin(pretoken_counts(docs, "text", lambda: _chunker(pattern)), "snappy")
     found = commonest(counts, head).select("token")
     # spread the words, so that the fold runs in all tasks
     encoded = found.repartition(docs.sparkSession.sparkContext.defaultParallelism).select("token", encode(F.encode("token", "UTF-8")).alias("ids"))

@@ -13,10 +13,11 @@ FLUSH = 400_000
 HEAD_CHARS = 64
 
 
-def pretoken_counts(rows: DataFrame, text_col: str, split: Callable[[], Callable[[str], list[str]]]) -> DataFrame:
-    """(token, freq) over all rows. ``split()`` is called once per task and gives the splitter.
+def pretoken_counts(rows: DataFrame, text_col: str, split: Callable[[], tuple[Callable, Callable | None]]) -> DataFrame:
+    """(token, freq) over all rows. ``split()`` is called once per task and gives (cut, expand).
 
-    Each task counts locally, so a token in every text is one short row per task.
+    ``cut`` takes a text into parts, which are counted; ``expand`` takes a distinct part into its tokens, or is
+    None where parts are tokens. Each task counts locally, so a token in every text is one short row per task.
     """
     flush = FLUSH
 
@@ -25,12 +26,18 @@ def pretoken_counts(rows: DataFrame, text_col: str, split: Callable[[], Callable
 
         import pyarrow as pa
 
-        cut, counts = split(), Counter()
+        (cut, expand), counts = split(), Counter()
 
         def out():
-            for at in range(0, len(keys := list(counts)), 50_000):
+            found = counts
+            if expand:
+                found = {}
+                for part, n in counts.items():
+                    for token in expand(part):
+                        found[token] = found.get(token, 0) + n
+            for at in range(0, len(keys := list(found)), 50_000):
                 part = keys[at:at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[k] for k in part], pa.int64())],
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([found[k] for k in part], pa.int64())],
                                                  names=["token", "freq"])
 
         for batch in batches:

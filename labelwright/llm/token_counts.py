@@ -72,7 +72,7 @@ def token_counts(docs: DataFrame, model_path: str, *, limit: int = 4096, head: i
     null or repeat. Texts are taken whole. An empty table gives an empty result; other columns are ignored.
     """
     rows = take(docs, id_col, text_col).toDF("doc_id", "text")
-    pieces = pin(_count_pieces(pretoken_counts(rows, "text", _splitter), model_path), "snappy")
+    pieces = pin(_count_pieces(pretoken_counts(rows, "text", lambda: (_splitter(), None)), model_path), "snappy")
     common = rows.sparkSession.sparkContext.broadcast(
         {r["token"]: r["pieces"] for r in commonest(pieces, head).select("token", "pieces").collect()})
 
