@@ -81,8 +81,9 @@ def linked_classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], th
     on two rows of a bucket with these columns under the given names, tell pairs that cannot be similar without their texts.
 
     1. In each bucket all keys are compared with the bucket's hub only.
-    2. Keys of one bucket that are not connected after that are compared with each other, if their
-       sketches are alike. So no link that could join two classes is lost, and a group of copies around an
+    2. Keys of one bucket that are not connected after that are compared with each other, but for pairs that cannot be
+       similar: their similarities to the hub are too far apart (one minus the Jaccard similarity is a metric), or
+       their sketches say so. So no link that could join two classes is lost, and a group of copies around an
        original costs one comparison per copy.
     """
     chosen = hubs(rows)
@@ -95,9 +96,11 @@ def linked_classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], th
     # buckets that are still in two parts, besides those of two keys, which are settled
     open_ = pin(placed.groupBy("bucket").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.count("*").alias("_n")).filter(
         "_x != _y AND _n > 2").select("bucket"))
-    left = placed.join(open_, "bucket").filter("key != hub").select("bucket", "key", "comp")
+    left = placed.join(open_, "bucket").filter("key != hub").withColumns({"a": F.least("key", "hub"), "b": F.greatest("key", "hub")})
+    left = left.join(first.select("a", "b", "similarity"), ["a", "b"]).select("bucket", "key", "comp", "similarity")
     left = pin(left if sketches is None else left.join(sketches, "key"))
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
+    apart = apart & (F.abs(F.col("x.similarity") - F.col("y.similarity")) <= 1 - threshold + 1e-6)
     if alike is not None:
         apart = apart & alike("x", "y")
     rest = left.alias("x").join(left.alias("y"), apart).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()

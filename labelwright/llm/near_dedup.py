@@ -13,10 +13,9 @@ from .linking import SHINGLE, THRESHOLD, crowded, linked_classes, verify_texts,
 
 #: Bands and registers per band: a pair of similarity 0.8 meets with probability 0.9998, one of 0.5 with 0.17.
 BANDS, ROWS = 48, 8
-#: Bits kept of each register, and how many of the registers may differ in a pair whose texts are worth reading: at
-#: similarity 0.8 a fifth, less chance hits, is expected to differ (72 of 384, standard deviation 7.6), so 100
-#: loses about as few pairs there as the bands do: one in 8,000.
-BITS, DIFFERENT = 4, 100
+#: Bits of the parity sketch of a shingle set. Two sets differ in at least as many shingles as their sketches in bits, so a
+#: pair that is told apart by them is never similar; the more bits, the longer the texts that can be told apart.
+PARITIES = 1024
 
 
 def prob_minhash(hashes, weights, docs, n_docs: int, registers: int):
@@ -60,8 +59,9 @@ def prob_minhash(hashes, weights, docs, n_docs: int, registers: int):
 
 
 def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, key, bands, sketch) from (doc_id, text): ``key`` is a 128-bit hash of the words, ``bands`` one
-    number per band, ``sketch`` some bits of each register, in 64-bit numbers, one bit of all registers after the other.
+    """(doc_id, key, bands, n, sketch) from (doc_id, text): ``key`` is a 128-bit hash of the words, ``bands`` one
+    number per band, ``n`` the number of distinct shingles, ``sketch`` whether the shingles that fall to each of ``PARITIES``
+    slots are odd in number, in 64-bit numbers.
 
     Elements are the shingles of ``size`` words; a shingle that occurs n times weighs 1 + ln n. Texts of fewer words are one
     shingle; texts without words have no bands.
@@ -107,18 +107,18 @@ def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: i
             filled = np.diff(ends) > 0
             sizes = np.r_[0, np.cumsum(np.where(filled, bands, 0))]
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(number[filled].reshape(-1).view(np.int64)))
-            flat = kept.reshape(part.num_rows, -1)
-            bits = np.concatenate([np.packbits((flat >> np.uint64(17 + b) & np.uint64(1)).astype(np.uint8), axis=1) for b in range(BITS)], axis=1)
-            width = bits.shape[1] // 8
-            sketch = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(bits).view(np.int64).reshape(-1)), width)
-            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, sketch.cast(pa.list_(pa.int64()))],
-                                              names=["doc_id", "key", "bands", "sketch"])
+            slot = (value ^ (value >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)
+            fell = np.bincount(doc * PARITIES + (slot % np.uint64(PARITIES)).astype(np.int64), minlength=part.num_rows * PARITIES)
+            bits = np.packbits((fell & 1).astype(np.uint8)).view(np.int64)
+            sketch = pa.FixedSizeListArray.from_arrays(pa.array(bits), PARITIES // 64).cast(pa.list_(pa.int64()))
+            n = pa.array(np.bincount(doc, minlength=part.num_rows).astype(np.int64))
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, n, sketch], names=["doc_id", "key", "bands", "n", "sketch"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 yield banded(batch.slice(at, 256))
 
-    return staged.mapInArrow(sign, f"doc_id {kind}, key binary, bands array<bigint>, sketch array<bigint>")
+    return staged.mapInArrow(sign, f"doc_id {kind}, key binary, bands array<bigint>, n bigint, sketch array<bigint>")
 
 
 def near_classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -128,23 +128,23 @@ def near_classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> tuple[Data
     whose copies are never compared. ``links``: the verified pairs (a, b, similarity) of different keys.
     """
     signed = pin(signatures(docs))
-    distinct = pin(signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    distinct = pin(signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     rows = crowded(distinct.select(F.explode("bands").alias("bucket"), "key"))
     texts = docs.select(words(text_of("text")).alias("_w")).select(F.array_join("_w", " ").alias("text"))
     texts = texts.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     # copies are dropped before they are sent; only texts that meet another are kept
     texts = pin(texts.groupBy("key").agg(F.first("text").alias("text")).join(rows.select("key").distinct(), "key", "left_semi"), "lz4")
-    part = BANDS * ROWS // 64
-    sketches = distinct.select("key", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(BITS * part)])
+    part = PARITIES // 64
+    sketches = distinct.select("key", "bands", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(part)])
 
     def alike(x: str, y: str) -> Column:
-        differ = F.lit(0)
-        for i in range(part):
-            bits = [F.col(f"{x}.s{i + b * part}").bitwiseXOR(F.col(f"{y}.s{i + b * part}")) for b in range(BITS)]
-            differ = differ + F.bit_count(reduce(Column.bitwiseOR, bits))
+        differ = F.abs(F.col(f"{x}.n") - F.col(f"{y}.n"))
+        parity = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(part)])
+        # of two sets with n shingles together and similarity t, n * (1 - t) / (1 + t) stand in one only
+        most = (F.col(f"{x}.n") + F.col(f"{y}.n")) * ((1 - threshold) / (1 + threshold)) + 1e-6
         # a pair that meets in several buckets counts in the first of them
         shared = F.filter(F.zip_with(f"{x}.bands", f"{y}.bands", lambda a, b: F.when(a == b, a)), lambda a: a.isNotNull())
-        return (differ <= DIFFERENT) & (F.get(shared, 0) == F.col(f"{x}.bucket"))
+        return (differ <= most) & (parity <= most) & (F.get(shared, 0) == F.col(f"{x}.bucket"))
 
     classes, links = linked_classes(rows, lambda pairs: verify_texts(pairs, texts, SHINGLE), threshold, sketches=sketches, alike=alike)
     members = pin(signed.groupBy("doc_id", "key").agg(F.count("*").alias("times")))

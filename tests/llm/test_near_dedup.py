@@ -4,6 +4,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from labelwright.llm import near_dedup
 from labelwright.llm.linking import components, crowded, linked_classes
 from labelwright.llm.near_dedup import drop_near_copies, near_duplicates, prob_minhash
 
@@ -81,6 +84,28 @@ def test_documents_match_brute_force(spark, sf):
     assert got_classes(near_duplicates(docs)) == brute_classes(rows)
 
 
+def test_no_similar_pair_is_told_apart_without_its_texts(spark, monkeypatch):
+    """Pairs of similarity 0.8 and more, one text of which repeats a stretch, stay candidates wherever they meet."""
+    rnd, rows, seen = random.Random(12), [], {}
+    some = lambda n: ["".join(rnd.choice("abcdefghijkl") for _ in range(6)) for _ in range(n)]
+    for k in range(25):
+        core = some(214)
+        rows += [(2 * k, " ".join(core + some(22))), (2 * k + 1, " ".join(core + core[100:144] * 4 + some(9)))]
+    assert sum(len(g) == 2 for g in brute_classes(rows)) == 25
+
+    def asked(rows, verify, threshold, **more):
+        seen.update(more, rows=rows)
+        raise InterruptedError
+
+    monkeypatch.setattr(near_dedup, "linked_classes", asked)
+    with pytest.raises(InterruptedError):
+        near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = seen["rows"].select("bucket", "key").join(seen["sketches"], "key")
+    meet = left.alias("x").join(left.alias("y"), "bucket").filter("x.key < y.key")
+    alike = left.alias("x").join(left.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & seen["alike"]("x", "y"))
+    assert alike.count() == meet.select("x.key", "y.key").distinct().count() >= 15
+
+
 def test_odd_rows(spark):
     rows = [r for r in odd_rows() if r[0] is not None and r[0] != 3]
     got = got_classes(near_duplicates(spark.createDataFrame(rows, SCHEMA)))
