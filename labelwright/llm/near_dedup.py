@@ -63,7 +63,8 @@ def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: i
     number per band, ``n`` the number of distinct shingles, ``sketch`` whether the shingles that fall to each of ``PARITIES``
     slots are odd in number, in 64-bit numbers.
 
-    Elements are the shingles of ``size`` words; a shingle that occurs n times weighs 1 + ln n. Texts of fewer words are one
+    Elements are the shingles of ``size`` words; each weighs 1 however often it occurs, as in the
+    verdict. Texts of fewer words are one
     shingle; texts without words have no bands.
     """
     staged = docs.select("doc_id", words(text_of("text")).alias("_w"))
@@ -98,9 +99,8 @@ def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: i
             order = np.lexsort((value, doc))
             value, doc = value[order], doc[order]
             new = np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])] if len(doc) else np.zeros(0, bool)
-            times = np.diff(np.r_[np.flatnonzero(new), len(doc)])
             value, doc = value[new], doc[new]
-            kept = prob_minhash(value, 1 + np.log(np.maximum(times, 1)), doc, part.num_rows, bands * rows).reshape(part.num_rows, bands, rows)
+            kept = prob_minhash(value, np.ones(len(value)), doc, part.num_rows, bands * rows).reshape(part.num_rows, bands, rows)
             number = np.arange(bands, dtype=np.uint64)[None, :] * odd + np.uint64(1)
             for k in range(rows):
                 number = (number ^ (number >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + kept[:, :, k]

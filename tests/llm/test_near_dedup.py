@@ -106,6 +106,17 @@ def test_no_similar_pair_is_told_apart_without_its_texts(spark, monkeypatch):
     assert alike.count() == meet.select("x.key", "y.key").distinct().count() >= 15
 
 
+def test_texts_that_repeat_lines_unequally_meet(spark):
+    """Nearly equal shingle sets, one text of which has many shingles a hundred times."""
+    rnd, rows = random.Random(13), []
+    for k in range(40):
+        core = ["".join(rnd.choice("abcdefghijkl") for _ in range(6)) for _ in range(254)]
+        rows += [(2 * k, " ".join(core)), (2 * k + 1, " ".join(core + core[100:204] * 99))]
+    assert all(len(g) == 2 for g in brute_classes(rows))
+    bands = {r.doc_id: set(r.bands) for r in near_dedup.signatures(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(bands[2 * k] & bands[2 * k + 1] for k in range(40))
+
+
 def test_odd_rows(spark):
     rows = [r for r in odd_rows() if r[0] is not None and r[0] != 3]
     got = got_classes(near_duplicates(spark.createDataFrame(rows, SCHEMA)))
