@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import new_path
-from . import byte_bpe, clustering, exact_dedup, near_dedup, packing, passages, personal_data, quality, sharding, token_counts, warc
+from . import byte_bpe, clustering, collocations, exact_dedup, near_dedup, packing, passages, personal_data, quality, sharding, token_counts, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +114,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), 8)
 
 
+@query("op11_phrase_collocations", collocations.collocations_sql("documents"))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 @query("op13_centroid_clusters", clustering.cluster_sql("embeddings"))
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
