@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bits import bit_filter, opened
 from .common import numbered, pin, take, text_of
 
 #: Characters that end a piece; blanks between words are space and tab.
@@ -71,29 +72,6 @@ def _ranked(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
     return pin(placed.withColumnRenamed("_at", "id").drop("_less"), "lz4"), n
 
 
-def _filter_of(keys: DataFrame, bits: int) -> list[tuple[int, bytes]]:
-    """Bit array, in segments, of the hashes in column ``_hash``: bounded by ``bits``, however many keys there are."""
-    segments = max(1, bits >> 18)
-    size = bits // segments
-    place = F.expr(f"pmod(_hash, {bits})")
-    spots = keys.select(F.floor(place / size).cast("int").alias("segment"), (place % size).cast("int").alias("at")).distinct()
-
-    def fill(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        found = {}
-        for batch in batches:
-            segment, at = (batch.column(k).to_numpy() for k in (0, 1))
-            for k in np.unique(segment).tolist():
-                found.setdefault(k, np.zeros(size, bool))[at[segment == k]] = True
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.packbits(b).tobytes() for b in found.values()], pa.binary())],
-                                             names=["segment", "bits"])
-
-    return [(r[0], bytes(r[1])) for r in spots.repartition("segment").mapInArrow(fill, "segment int, bits binary").collect()]
-
-
 def _sequences(rows: DataFrame, words: DataFrame, n_words: int, head: int) -> DataFrame:
     """(mark, ids): each text as the ids of its words, 64 bits each; -1 for a word that is too rare and between pieces.
 
@@ -260,7 +238,7 @@ def _next_sequences(sequences: DataFrame, pairs: DataFrame, n_pairs: int, head:
 
         x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (x ^ (x >> np.uint64(29))) & np.uint64((1 << 62) - 1)
+        return x ^ (x >> np.uint64(29))
 
     def joined(batches: Iterator, emit) -> Iterator:
         import numpy as np
@@ -280,27 +258,21 @@ def _next_sequences(sequences: DataFrame, pairs: DataFrame, n_pairs: int, head:
     rest, tail = pairs.filter(F.col("id") >= head), None
     if n_pairs > head:
         def hashes(batches: Iterator) -> Iterator:
+            import numpy as np
             import pyarrow as pa
 
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(mixed(batch.column(0).to_numpy(), batch.column(1).to_numpy()).astype("int64"))], names=["_hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(mixed(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.int64))], names=["h"])
 
-        segments = _filter_of(rest.select("a", "b").mapInArrow(hashes, "_hash bigint"), bits)
-        kept = spark.sparkContext.broadcast(segments)
+        kept = spark.sparkContext.broadcast(bit_filter(rest.select("a", "b").mapInArrow(hashes, "h bigint"), bits))
 
         def ask(batches: Iterator) -> Iterator:
-            import numpy as np
             import pyarrow as pa
 
-            size = bits // max(1, bits >> 18)
-            table = np.zeros(bits // 8, np.uint8)
-            for segment, packed in kept.value:
-                table[segment * size // 8:(segment + 1) * size // 8] = np.frombuffer(packed, np.uint8)
+            within = opened(kept.value, bits)
 
             def emit(part, texts, row, a, b, good, out):
-                place = mixed(a[good], b[good]) % np.uint64(bits)
-                hit = (table[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1
-                at = good[(hit == 1) & (out[good] < 0)]
+                at = good[within(mixed(a[good], b[good])) & (out[good] < 0)]
                 mark = part.column(0).to_numpy()[row[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(a[at]), pa.array(b[at])], names=["mark", "a", "b"])
 

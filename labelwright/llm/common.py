@@ -28,6 +28,18 @@ def pin(df: DataFrame, compression: str = "none") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps that are written down and done.
+
+    Its cleaner acts when the driver's JVM collects garbage, by default every 30 minutes; a job of several large
+    shuffles calls this between them, so that the disk holds one of them at a time.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def take(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, found by exact spelling.
 

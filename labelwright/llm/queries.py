@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import new_path
-from . import byte_bpe, clustering, collocations, exact_dedup, near_dedup, packing, passages, personal_data, quality, sharding, token_counts, warc
+from . import byte_bpe, clustering, collocations, exact_dedup, near_dedup, packing, passages, personal_data, quality, sharding, suffixes, token_counts, warc
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
 
+@query("op12_suffix_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op13_centroid_clusters", clustering.cluster_sql("embeddings"))
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
