@@ -82,3 +82,13 @@ def pin(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession, "pin")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its source comes in fewer partitions (one short file, say).
+
+    For tables whose rows are cheap to move and dear to work on. ``df`` should be a plain scan: a large
+    one has partitions enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
