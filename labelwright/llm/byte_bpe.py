@@ -9,15 +9,15 @@ from hashlib import md5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pin, take, worker_state
+from .common import Memory, pin, take, worker_state
 from .frequencies import commonest, pretoken_counts
 
 #: Buckets of the literal rank map: a lookup scans about three entries.
 BUCKETS = 16_384
 #: Commonest words, which the fold encodes once for the whole corpus. Changes the cost only.
 HEAD = 100_000
-#: Rarer words whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Bytes of chunks, and of rarer words, that a worker remembers with their ids.
+REMEMBERED = 32_000_000
 #: Bytes from which on a word takes the linked-list merge, whose cost does not grow with the square.
 LONG = 64
 #: Fixed value: white space of the pattern's engine.
@@ -192,40 +192,27 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, head: in
 
     def encode(batches: Iterator) -> Iterator:
         from array import array
-        from itertools import islice
 
         import pyarrow as pa
 
         (common, ranked), (chunks, inside) = shared.value, _chunker(pattern)
 
-        class Words(dict):
-            """Ids of words; the rarer ones are merged here."""
+        def merged(word: str) -> bytes:
+            raw = word.encode()
+            return array("I", (merge_short if len(raw) < LONG else merge_long)(raw, ranked)).tobytes()
 
-            def __missing__(self, word: str) -> bytes:
-                found = common.get(word)
-                if found is None:
-                    raw = word.encode()
-                    found = array("I", (merge_short if len(raw) < LONG else merge_long)(raw, ranked)).tobytes()
-                self[word] = found
-                return found
+        def of_word(word: str) -> bytes:
+            found = common.get(word)
+            return rare[word] if found is None else found
 
-        class Chunks(dict):
-            """Ids of chunks."""
-
-            def __missing__(self, chunk: str) -> bytes:
-                found = self[chunk] = b"".join(map(words.__getitem__, inside(chunk)))
-                return found
-
-        words, known = worker_state(f"byte_bpe_words_{own}", Words), worker_state(f"byte_bpe_chunks_{own}", Chunks)
+        rare = worker_state(f"byte_bpe_words_{own}", lambda: Memory(merged, REMEMBERED))
+        known = worker_state(f"byte_bpe_chunks_{own}", lambda: Memory(None, REMEMBERED))
+        known.make = lambda chunk: b"".join(map(of_word, inside(chunk)))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
-                out = [b"".join(map(known.__getitem__, chunks(t or ""))) for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
+                out = [b"".join(map(known.__getitem__, chunks(t.as_py() or ""))) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
-                for memory in (known, words):
-                    if len(memory) > REMEMBERED:
-                        for old in list(islice(memory, len(memory) - REMEMBERED // 2)):
-                            del memory[old]
 
     return rows.mapInArrow(encode, f"doc_id {kind}, ids binary")
 
@@ -241,8 +228,10 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
         piece = shared.value.__getitem__
         for batch in batches:
-            out = [b"".join(map(piece, np.frombuffer(ids, "<u4").tolist())) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
+                out = [b"".join(map(piece, np.frombuffer(ids.as_py(), "<u4").tolist())) for ids in part.column(1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, ids binary, decoded binary")
 

@@ -99,6 +99,34 @@ def texts(batches: Iterator, column: str) -> Iterator:
         yield batch, [t or "" for t in batch.column(column).to_pylist()]
 
 
+def size_of(key: str, value) -> int:
+    """Bytes that an entry of a dictionary takes, about."""
+    from sys import getsizeof
+
+    return 100 + getsizeof(key) + getsizeof(value)
+
+
+class Memory(dict):
+    """What ``make`` gives for a key, remembered for at most ``limit`` bytes of entries; long keys are made anew each time."""
+
+    def __init__(self, make, limit: int, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest, self.held = make, limit, longest, 0
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= self.longest:
+            self.held += size_of(key, value)
+            if self.held > self.limit:  # the older half goes
+                from itertools import islice
+
+                for old in list(islice(self, len(self) // 2)):
+                    self.held -= size_of(old, self[old])
+                    del self[old]
+            self[key] = value
+        return value
+
+
 def worker_state(name: str, make):
     """One object per Python worker process, kept over tasks (a bounded cache, a loaded model)."""
     import sys

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pre-tokens a task holds before it hands on their counts.
-FLUSH = 400_000
+from .common import size_of
+
+#: Bytes of counts that a task holds before it hands them on, and characters of text between two looks at them.
+HELD, LOOK = 48_000_000, 2_000_000
 #: Characters of the longest pre-token that may enter the broadcast table of the commonest.
 HEAD_CHARS = 64
 
@@ -19,34 +21,41 @@ def pretoken_counts(rows: DataFrame, text_col: str, split: Callable[[], tuple[Ca
     ``cut`` takes a text into parts, which are counted; ``expand`` takes a distinct part into its tokens, or is
     None where parts are tokens. Each task counts locally, so a token in every text is one short row per task.
     """
-    flush = FLUSH
+    limit, look = HELD, LOOK
 
     def count(batches):
         from collections import Counter
 
         import pyarrow as pa
 
-        (cut, expand), counts = split(), Counter()
+        (cut, expand), counts, seen = split(), Counter(), 0
 
         def out():
             found = counts
             if expand:
-                found = {}
-                for part, n in counts.items():
+                found = Counter()
+                while counts:  # one table grows as the other shrinks
+                    part, n = counts.popitem()
                     for token in expand(part):
-                        found[token] = found.get(token, 0) + n
-            for at in range(0, len(keys := list(found)), 50_000):
-                part = keys[at:at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([found[k] for k in part], pa.int64())],
-                                                 names=["token", "freq"])
+                        found[token] += n
+            keys, times = [], []
+            while found:
+                key, n = found.popitem()
+                keys.append(key)
+                times.append(n)
+                if len(keys) == 50_000 or not found:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(times, pa.int64())], names=["token", "freq"])
+                    keys, times = [], []
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
+            for text in batch.column(0):
+                if text := text.as_py():
                     counts.update(cut(text))
-                    if len(counts) > flush:
-                        yield from out()
-                        counts.clear()
+                    seen += len(text)
+                    if seen > look:
+                        seen = 0
+                        if sum(size_of(k, 0) for k in counts) > limit:
+                            yield from out()
         yield from out()
 
     return rows.select(text_col).mapInArrow(count, "token string, freq bigint").groupBy("token").agg(F.sum("freq").alias("freq"))

@@ -7,14 +7,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pin, take, worker_state
+from .common import Memory, pin, take, worker_state
 
 #: Longest piece that is balanced; longer rests of documents are cut into equal parts.
 GRAIN = 512
 #: Pieces balanced together.
 BLOCK = 2_048
-#: Chunks of text, and words, whose ids a worker remembers.
-REMEMBERED = 800_000
+#: Bytes of chunks, and of words, that a worker remembers with their ids.
+REMEMBERED = 64_000_000
 
 
 def difference(sizes: list[int], ways: int) -> list[list[int]]:
@@ -98,7 +98,6 @@ def _encoder(tokenizer_json: str, end_id: int):
     import re
     from array import array
     from hashlib import md5
-    from itertools import islice
 
     from tokenizers import Tokenizer
 
@@ -115,38 +114,22 @@ def _encoder(tokenizer_json: str, end_id: int):
     hidden = [b for b in range(256) if b not in set(visible)]
     letters = {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
-    class Words(dict):
-        """Ids of words in bytes' letters."""
+    def of_chunk(chunk: str) -> bytes:
+        if not latin(chunk):
+            return b"".join([words[w] for w, _ in parted(normal(chunk))])
+        if chunk.isascii():
+            return b"".join(map(words.__getitem__, pieces(chunk.lower())))
+        return b"".join([words["".join(map(letters.__getitem__, w.encode()))] for w in pieces(chunk.lower())])
 
-        def __missing__(self, word: str) -> bytes:
-            found = self[word] = array("I", [t.id for t in merge(word)]).tobytes()
-            return found
-
-    class Chunks(dict):
-        """Ids of chunks."""
-
-        def __missing__(self, chunk: str) -> bytes:
-            if not latin(chunk):
-                found = b"".join([words[w] for w, _ in parted(normal(chunk))])
-            elif chunk.isascii():
-                found = b"".join(map(words.__getitem__, pieces(chunk.lower())))
-            else:
-                found = b"".join([words["".join(map(letters.__getitem__, w.encode()))] for w in pieces(chunk.lower())])
-            self[chunk] = found
-            return found
-
-    words, known = worker_state(f"word_bpe_words_{own}", Words), worker_state(f"word_bpe_chunks_{own}", Chunks)
+    words = worker_state(f"word_bpe_words_{own}", lambda: Memory(lambda word: array("I", [t.id for t in merge(word)]).tobytes(), REMEMBERED))
+    known = worker_state(f"word_bpe_chunks_{own}", lambda: Memory(None, REMEMBERED))
+    known.make = of_chunk
     end = end_id.to_bytes(4, "little")
 
     def ids(text: str) -> bytes:
         if any(mark in text for mark in marks):
             return array("I", model.encode(text, add_special_tokens=False).ids).tobytes() + end
-        found = b"".join(map(known.__getitem__, text.replace("\n", " ").split(" "))) + end
-        for memory in (known, words):
-            if len(memory) > REMEMBERED:
-                for old in list(islice(memory, REMEMBERED // 4)):
-                    del memory[old]
-        return found
+        return b"".join(map(known.__getitem__, text.replace("\n", " ").split(" "))) + end
 
     return ids
 
@@ -171,8 +154,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, en
         encode = _encoder(tokenizer_json, end_id)
         for batch in batches:
             row, starts, sizes, sums, totals, pieces = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text or "")
+            for i, text in enumerate(batch.column(1)):
+                ids = encode(text.as_py() or "")
                 total = len(ids) // 4
                 whole = total // capacity
                 rest = total - whole * capacity
