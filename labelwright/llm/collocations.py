@@ -14,8 +14,8 @@ from .common import numbered, pin, take, text_of
 ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Words of the longest phrase, least occurrences of a candidate, phrases returned per language.
 LONGEST, LEAST, TOP = 4, 30, 2_000
-#: Ids a side of a tile spans: the counters of a dense tile are an array of SIDE x SIDE numbers (8 MB).
-SIDE = 1_024
+#: Ids a side of a tile spans: the counters of a dense tile are an array of SIDE x SIDE numbers (2 MB).
+SIDE = 512
 #: Commonest words or phrases whose ids every task holds; rarer ones are joined. It changes the cost, never the result.
 HEAD = 300_000
 #: Bytes of the longest word that the tasks hold.
@@ -23,7 +23,7 @@ HEAD_BYTES = 128
 #: Bits of the filter that keeps pairs without an id from being asked for: a false hit costs a row.
 FILTER_BITS = 1 << 26
 #: Bytes of text between two looks at the size of a task's counter, bytes it may hold, pairs a task counts at a time.
-LOOK, HELD, BLOCK = 2_000_000, 32_000_000, 4_000_000
+LOOK, HELD, BLOCK = 2_000_000, 32_000_000, 1_000_000
 
 
 def _lower_pieces():
