@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 from labelwright.operators import conditions as cond
-from labelwright.operators.models import tree_cv
+from labelwright.operators.trees import tree_cv
 from labelwright.plans.label_audit import audit_report
 
 from . import views as v
@@ -106,8 +106,49 @@ def negative(spark, sf):
     return audit_report(v.negative_table(spark, sf), "target", v.NEGATIVE_COLUMNS)
 
 
-@check("tree_cv")
+def _tree_sql(base: str, texts: list[str], numbers: list[str], depth: int = 2, k: int = 5) -> str:
+    """A tree for each fold, level by level; ``base`` is a table (id, fold, y, columns)."""
+    columns = [*numbers, *texts]
+    long = " UNION ALL ".join(
+        f"SELECT id, {i + 1} AS c, {f'{c} AS v, NULL::DOUBLE AS x' if c in texts else f'NULL::VARCHAR AS v, CAST({c} AS DOUBLE) AS x'} FROM {base}"
+        for i, c in enumerate(columns))
+    steps = [f"long AS MATERIALIZED ({long})",
+             f"node0 AS MATERIALIZED (SELECT f, id, y, fold <> f AS fit, 1 AS node FROM {base}, range({k}) t(f))"]
+    for d in range(depth):
+        steps += [f"""tot{d} AS (SELECT f, node, count(*) AS tn, sum(y)::BIGINT AS tp FROM node{d} WHERE fit GROUP BY ALL)""",
+                  f"""cell{d} AS (SELECT f, node, c, v, x, count(*) AS n, sum(y)::BIGINT AS p FROM node{d} JOIN long USING (id) WHERE fit GROUP BY ALL)""",
+                  f"""run{d} AS (SELECT f, node, c, v, x, n, p, CAST(NULL AS DOUBLE) AS nxt FROM cell{d} WHERE v IS NOT NULL UNION ALL
+  SELECT f, node, c, v, x, sum(n) OVER w, sum(p) OVER w, lead(x) OVER (PARTITION BY f, node, c ORDER BY x) FROM cell{d} WHERE x IS NOT NULL
+  WINDOW w AS (PARTITION BY f, node, c ORDER BY x ROWS UNBOUNDED PRECEDING))""",
+                  f"""best{d} AS MATERIALIZED (SELECT f, node, c, v, (x + nxt) / 2 AS x FROM
+  (SELECT *, n::DOUBLE AS a, p::DOUBLE AS b, (tn - n)::DOUBLE AS m, (tp - p)::DOUBLE AS q FROM run{d} JOIN tot{d} USING (f, node) WHERE n < tn AND tp > 0 AND tp < tn)
+  QUALIFY row_number() OVER (PARTITION BY f, node ORDER BY 2*b*(a-b)/a + 2*q*(m-q)/m, c, v NULLS FIRST, run{d}.x NULLS FIRST) = 1)"""
+                  .replace("run" + str(d) + ".x NULLS", "x NULLS"),
+                  f"""node{d + 1} AS MATERIALIZED (SELECT f, id, y, fit, CASE WHEN b.c IS NULL THEN node WHEN coalesce(l.v = b.v, l.x <= b.x) THEN 2 * node + 1
+  ELSE 2 * node END AS node FROM node{d} LEFT JOIN best{d} b USING (f, node) LEFT JOIN long l USING (id, c))"""]
+    return ", ".join(steps) + f""", leaf AS (SELECT f, node, CAST(2 * sum(y) > count(*) AS INT) AS pred FROM node{depth} WHERE fit GROUP BY ALL),
+ acc AS (SELECT f, avg(CAST(y = pred AS INT)) AS acc FROM node{depth} JOIN leaf USING (f, node) WHERE NOT fit GROUP BY 1)"""
+
+
+_TREE = "SELECT 2::BIGINT AS depth, count(*) AS folds, round(avg(acc),6) AS acc_mean, round(min(acc),6) AS acc_min FROM acc"
+_RECORD_TEXTS = [f for f in v.RECORDS.fields]
+_RECORD_BASE = f"""base AS (SELECT row_id AS id, gold AS y, (row_number() OVER (PARTITION BY gold ORDER BY md5('0.0|' || row_id)) - 1) % 5 AS fold,
+  {', '.join(f"coalesce({f}, 'nan') AS {f}" for f in _RECORD_TEXTS)} FROM records)"""
+
+
+@check("tree_cv", with_ctes(_TREE, v.RECORDS_SQL, _RECORD_BASE, _tree_sql("base", _RECORD_TEXTS, [])))
 def cross_validated_tree(spark, sf):
     return tree_cv(v.records_table(spark, sf), "gold", ["row_id"])
 
 
+_LINE_TEXTS, _LINE_NUMBERS = ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LINE_TARGET = "CAST((l_extendedprice > 30000 AND l_returnflag <> 'A') OR (l_orderkey * 7 + l_partkey) % 11 = 0 AS INT)"
+_LINE_BASE = f"""base AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5('0.0|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey
+  || '|' || l_suppkey)) - 1) % 5 AS fold FROM (SELECT row_number() OVER () AS id, *, {_LINE_TARGET} AS y FROM lineitem))"""
+
+
+@check("tree_cv_numbers", with_ctes(_TREE, _LINE_BASE, _tree_sql("base", _LINE_TEXTS, _LINE_NUMBERS)))
+def cross_validated_tree_on_numbers(spark, sf):
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = v.read(spark, sf, "lineitem").selectExpr(*keys, *_LINE_NUMBERS, *_LINE_TEXTS, f"{_LINE_TARGET} AS target")
+    return tree_cv(rows, "target", keys)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from labelwright.operators import records as rec
 from labelwright.operators import rule_tables as rt
 from labelwright.operators.edits import Step, edit_column, reorder, set_to
-from labelwright.operators.scoring import score_table
+from labelwright.operators.scoring import fit_line_weights, line_weight_scorer, score_table, score_texts
 from labelwright.session import new_path
 from labelwright.sources import chat, fingerprints, reports, tables
 from labelwright.vocab import SYSTEM_TEXT
@@ -368,3 +368,17 @@ def batch_score(spark, sf):
     return scored.select("row_id", "raw", "label", "rule", "agrees_with_rule")
 
 
+@check("scored_by_model", with_ctes(f"""
+SELECT row_id, raw, {v.LABEL_SQL.format(raw='raw')} AS label, round(margin,6) AS margin, round(1/(1+exp(-margin)),6) AS p1
+FROM (SELECT row_id, margin, 'Logistics_Delay: ' || CAST(margin > 0 AS INT) AS raw
+ FROM (SELECT row_id, any_value(ln(p+1) - ln(z+1)) + coalesce(sum(w),0) AS margin FROM said CROSS JOIN sizes LEFT JOIN weights USING (line) GROUP BY 1))""",
+                                   v.RECORDS_SQL, v.TEXTS_SQL,
+                                   "said AS (SELECT row_id, gold, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM texts)",
+                                   "sizes AS (SELECT sum(gold) AS p, count(*) - sum(gold) AS z FROM texts)",
+                                   """weights AS (SELECT line, ln(y+1) - ln(n-y+1) - (ln(p+2) - ln(z+2)) AS w
+  FROM (SELECT line, count(*) AS n, sum(gold) AS y FROM said GROUP BY 1 ORDER BY n DESC, line LIMIT 500) CROSS JOIN sizes)"""))
+def scored_by_model(spark, sf):
+    texts = v.texts_table(spark, sf)
+    prior, weights = fit_line_weights(texts, "gold", most=500)
+    scored = score_texts(texts.select("row_id", "text"), line_weight_scorer(spark, prior, weights, v.RECORDS.target), v.RECORDS.target)
+    return scored.select("row_id", "raw", "label", "margin", "p1")

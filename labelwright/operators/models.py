@@ -16,12 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checkout as co
-from ..functions.intervals import ratio
 from ..functions.joins import join_groups
 from ..session import pin
 from ..vocab import Vocabulary
 from .classification import classification_metrics
-from .conditions import column_roles
 from .ordered import grouped_median, running_totals
 from .ranking import auroc
 from .rule_tables import apply_rule
@@ -246,31 +244,8 @@ def cv_summary(predictions: DataFrame, label: str, score_column: str | None = No
     return per_fold.groupBy("model").agg(F.count("*").alias("folds"), *aggs)
 
 
-def tree_cv(df: DataFrame, target: str, keys: Sequence[str], *, depth: int = 2, k: int = 5, seed: int = 0,
-            missing: str = "nan") -> DataFrame:
-    """Cross-validated accuracy of a shallow tree on all input columns (``keys`` are not inputs)."""
-    inputs = df.drop(*keys)
-    texts, numbers = column_roles(inputs, target)
-    enc = learn_encoding(df, numbers, texts, missing=missing)
-    stages = encoder_stages(enc, numbers, texts, scale=False)
-    ready = prepare(df, enc, numbers, texts, missing).withColumn("_label", F.col(target).cast("double"))
-    encoded = Pipeline(stages=stages).fit(ready).transform(ready).select(*keys, "_label", "features")
-    folded = pin(stratified_folds(encoded, "_label", keys, k, 1, seed).select("_label", "features", "fold_0"))
-    parts = []
-    for f in range(k):
-        tree = estimator("tree", "_label", enc.rows, seed, maxDepth=depth).fit(folded.filter(F.col("fold_0") != f))
-        held = tree.transform(folded.filter(F.col("fold_0") == f))
-        parts.append(held.select("_label", "prediction", F.lit(f).alias("fold")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    per_fold = out.groupBy("fold").agg(ratio(F.count_if(F.col("_label") == F.col("prediction")), F.count("*")).alias("acc"))
-    return per_fold.agg(F.lit(depth).alias("depth"), F.count("*").alias("folds"), F.avg("acc").alias("acc_mean"),
-                        F.min("acc").alias("acc_min"))
-
-
 __all__ = [
     "Encoding", "ModelSpec", "baseline_specs", "cross_validate", "cv_summary", "estimator", "fit", "fit_and_score",
-    "fold_rows", "learn_encoding", "prepare", "score", "tree_cv", "trivial_predictions", "variant_columns",
+    "fold_rows", "learn_encoding", "prepare", "score", "trivial_predictions", "variant_columns",
     "with_time_parts",
 ]

@@ -33,7 +33,7 @@ def audit(df: DataFrame, target: str, columns: Sequence[str] | None = None, min_
         "rule": greedy_or_rule(df, target, found, names, missing),
     }
     if tree:
-        from ..operators.models import tree_cv
+        from ..operators.trees import tree_cv
 
         sections["tree"] = tree_cv(df.select(*names, target, *[k for k in keys if k not in names]), target, keys)
     return sections

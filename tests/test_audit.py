@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelwright.operators import conditions as cond
-from labelwright.operators.models import ModelSpec, fit_and_score, tree_cv
+from labelwright.operators.models import ModelSpec, fit_and_score
+from labelwright.operators.trees import tree_cv
 from labelwright.plans.label_audit import audit
 
 

@@ -8,7 +8,7 @@ from tools.compare import compare, oracle_connection
 
 QUERIES, ORACLES = all_checks()
 ROWS_ONLY = {"clopper_pearson", "file_fingerprint", "bootstrap_rank_ci",
-             "baseline_models", "cv_models", "model_margins", "tree_cv", "study_models"}
+             "baseline_models", "cv_models", "model_margins", "study_models"}
 
 
 @pytest.fixture(scope="module")
