@@ -28,6 +28,15 @@ def pin(df: DataFrame, compression: str = "none") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by ``pin`` that no later step reads, since what was made from them is written down."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of steps that are written down and done.
 
