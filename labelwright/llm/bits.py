@@ -1,4 +1,4 @@
-"""A filter of bounded size over any number of keys: it never misses one, a false hit costs a row."""
+"""Filters of bounded size over any number of keys: they never miss one, a false hit costs a row."""
 
 from __future__ import annotations
 
@@ -47,3 +47,85 @@ def opened(segments: list[tuple[int, bytes]], bits: int):
         return (table[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
     return within
+
+
+#: Pieces that the bits of a filter of repeated numbers are filled in.
+PIECES = 256
+#: Input partitions whose numbers one task may hold at a time.
+TOGETHER = 64
+
+
+def repeated_filter(df: DataFrame, numbers, bits: int) -> list[tuple[int, bytes]]:
+    """Bit array, in segments as in ``bit_filter``, of the 64-bit numbers that two rows of ``df`` or more have.
+
+    ``numbers`` maps an Arrow batch of ``df`` to (row, number) arrays without repetitions inside a row. A task sends each
+    number twice at most, sorted and packed by place, so a number that every row has is 16 bytes per task, and no row is made per number.
+    """
+    import math
+
+    # more slices of each piece as the input grows, so that a task's share stays the same
+    slices = max(1, math.ceil(df.rdd.getNumPartitions() / TOGETHER))
+    share = bits // PIECES
+
+    def pack(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        held, size = [], 0
+
+        def out():
+            found = np.sort(np.concatenate(held))
+            held.clear()
+            thrice = np.concatenate(([False, False], found[2:] == found[:-2])) if len(found) > 2 else np.zeros(len(found), bool)
+            found = found[~thrice]
+            part = ((found & np.uint64(bits - 1)) // np.uint64(share)).astype(np.int64) * slices
+            part += ((found >> np.uint64(40)) % np.uint64(slices)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            found, part = found[order], part[order]
+            at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            ends = np.append(at[1:], len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array([found[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())],
+                                             names=["part", "packed"])
+
+        for batch in batches:
+            for found in numbers(batch):
+                if len(found):
+                    held.append(found)
+                    size += len(found)
+                    if size > 4_000_000:
+                        yield from out()
+                        size = 0
+        if size:
+            yield from out()
+
+    def fill(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        held, now = [], None
+
+        def out():
+            found = np.sort(np.concatenate([np.frombuffer(h, np.uint64) for h in held]))
+            twice = found[1:][found[1:] == found[:-1]] & np.uint64(bits - 1)
+            piece = now // slices
+            table = np.zeros(share, bool)
+            table[twice.astype(np.int64) - piece * share] = True
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.packbits(table).tobytes()], pa.binary())], names=["piece", "bits"])
+
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if now is not None and part != now:
+                    yield from out()
+                    held = []
+                now = part
+                held.append(packed)
+        if held:
+            yield from out()
+
+    packed = df.mapInArrow(pack, "part int, packed binary")
+    filled = packed.repartition(PIECES * min(slices, 16) // 4, "part").sortWithinPartitions("part").mapInArrow(fill, "piece int, bits binary")
+    tables: dict[int, int] = {}
+    for piece, table in filled.toLocalIterator():
+        tables[piece] = tables.get(piece, 0) | int.from_bytes(table, "little")
+    whole = b"".join(tables.get(k, 0).to_bytes(share // 8, "little") for k in range(PIECES))
+    return [(k, whole[k << 15:(k + 1) << 15]) for k in range(bits >> 18)]

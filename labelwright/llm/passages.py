@@ -7,25 +7,28 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pin, take, text_of
+from .bits import bit_filter, opened, repeated_filter
+from .common import forget, pin, release, take, text_of
 from .linking import SHINGLE, THRESHOLD, crowded, linked_classes, verify_texts
 
 #: An anchor is the least place of a window of REACH + 1 places. Of 51 equal words (50 places) the first anchor is then at
 #: place REACH or before, the last at 49 - REACH or later, and paragraphs reach to SHORTEST - 1 words before that or
 #: further: 20 words at least, which is LEAST_WORDS.
 REACH = 12
-#: Bands, and MinHash values per band. An equal paragraph always meets; one of similarity 0.9 with probability 0.93, one
-#: of 0.8 with 0.76, and a passage has several paragraphs. More values per band keep paragraphs apart that share a
-#: common line only, such as a licence.
-BANDS, ROWS = 2, 3
+#: Bands, and MinHash values per band: a paragraph of similarity 0.8 is met with probability 1 - (1 - 0.8^2)^5 = 0.994, an equal one always.
+BANDS, ROWS = 5, 2
 #: Words of a run of shared paragraphs from which on it is a shared passage.
 LEAST_WORDS = 20
+#: Words between two runs shared with the same document that are bridged: an altered word spoils the paragraphs that hold it.
+GAP = 24
 #: Fixed value: the shortest paragraph compared, one more than a shingle.
 SHORTEST = SHINGLE + 1
+#: Bits of the filters of buckets, and of keys, that are met twice; code points that are cut at a time.
+FILTER_BITS, BLOCK = 1 << 27, 1 << 19
 
 
-def cutter(reach: int, bands: int):
-    """A function from a text to its paragraphs: (keys, minima, words, characters), arrays with one row each.
+def paragraph_cutter(reach: int, bands: int):
+    """A function from a list of texts to their paragraphs: (text, keys, minima, words, characters), arrays with one row each.
 
     A passage may stand inside a line, so lines do not show where it begins. Paragraphs are therefore cut at
     anchors that depend on the words around them alone: a place whose hash of two words is the least of some
@@ -33,14 +36,12 @@ def cutter(reach: int, bands: int):
     ends at the first one ``SHORTEST`` words or more behind it, so paragraphs overlap, none is too short, and where one
     ends does not depend on where others begin. Two documents that share a passage have the same paragraphs from the first
     to the last anchor of the windows that lie inside it.
-    ``keys`` are two 64-bit hashes of the words, ``minima`` a number per band from the MinHash values of the shingles, ``words`` and
-    ``characters`` the first and one past the last of each paragraph.
+    ``text`` is the place of the text in the list, ``keys`` are two 64-bit hashes of the words, ``minima`` a number per band from the MinHash values
+    of the shingles, ``words`` and ``characters`` the first and one past the last of each paragraph in its text.
     """
     import numpy as np
 
     odd = np.uint64(0x9E3779B97F4A7C15)
-    blank = np.zeros(0x21, bool)
-    blank[[9, 10, 11, 12, 13, 32]] = True
     powers = {"n": 0, "up": None, "down": None}
     inverse = np.uint64(pow(int(odd), -1, 2**64))
 
@@ -66,29 +67,49 @@ def cutter(reach: int, bands: int):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[:len(values)], dtype=np.uint64)))
         return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
-    def cut(text: str):
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        gap = np.concatenate(([True], blank[np.minimum(code, 0x20)] & (code <= 0x20), [True]))
+    none = np.zeros(0, np.int64)
+    nothing = none, (none.astype(np.uint64),) * 2, [none.astype(np.uint64)] * bands, (none, none), (none, none)
+
+    def cut(texts: list[str]):
+        code = np.frombuffer((" ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+        stops = np.cumsum([len(t) + 1 for t in texts])  # one past the blank behind each text
+        gap = np.concatenate(([True], (code == 32) | ((code >= 9) & (code <= 13))))
         starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
         n = len(starts)
         if n < SHORTEST:
-            return None
+            return nothing
+        owner = np.searchsorted(stops, starts, side="right")  # text of each word
+        head = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))  # first word of each text that has one
+        tail = np.append(head[1:], n)
         word = sums(code.astype(np.uint64) + np.uint64(1), starts, ends)
         pair = mix(word[:-1] * odd + word[1:])
-        width = min(reach + 1, len(pair))
-        least = pair  # of each window
-        for k in range(1, width):
-            least = np.minimum(least[:-1], pair[k:])
-        most = np.zeros(len(pair), np.uint64)  # the largest of the windows' least values around each place
-        for k in range(width):
-            np.maximum(most[k:k + len(least)], least, out=most[k:k + len(least)])
-        anchor = np.flatnonzero(pair == most) + 1  # of equal words every place is an anchor
-        first, last = np.concatenate(([0], anchor)), np.concatenate((anchor, [n]))
-        ends_at = np.searchsorted(last, first + SHORTEST)
-        enough = ends_at < len(last)
-        first, last = first[enough], last[ends_at[enough]]
+        width = reach + 1
+        anchor = np.zeros(len(pair), bool)
+        if len(pair) >= width:
+            least = pair  # of each window
+            for k in range(1, width):
+                least = np.minimum(least[:-1], pair[k:])
+            least = np.where(owner[:len(least)] == owner[width:width + len(least)], least, np.uint64(0))  # windows inside one text
+            most = np.zeros(len(pair), np.uint64)  # the largest of the windows' least values around each place
+            for k in range(width):
+                np.maximum(most[k:k + len(least)], least, out=most[k:k + len(least)])
+            anchor = (pair == most) & (most > 0)
+        few = (tail - head <= width) & (tail - head >= SHORTEST)  # too short for a window: all its places are one
+        if few.any():
+            a, z = head[few], tail[few] - 1
+            low = np.minimum.reduceat(np.append(pair, np.uint64(0)), np.stack((a, z), 1).reshape(-1))[::2]
+            size = z - a
+            at = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+            anchor[at[pair[at] == np.repeat(low, size)]] = True
+        place = np.flatnonzero(anchor) + 1  # of equal words every place is an anchor
+        first, last = np.sort(np.concatenate((head, place))), np.sort(np.concatenate((place, tail)))
+        end_of = tail[np.searchsorted(head, first, side="right") - 1]
+        at = np.searchsorted(last, first + SHORTEST)
+        last = np.append(last, n + 1)[at]
+        enough = last <= end_of
+        first, last = first[enough], last[enough]
         if not len(first):
-            return None
+            return nothing
         shingle = word[:n - SHINGLE + 1].copy()
         for k in range(1, SHINGLE):
             shingle = mix(shingle * odd + word[k:n - SHINGLE + 1 + k])
@@ -101,106 +122,135 @@ def cutter(reach: int, bands: int):
                 value = mix(value * odd + np.minimum.reduceat(mix(shingle ^ seed), edges)[::2])
             minima.append(value)
         keys = sums(word, first, last), sums(mix(word), first, last)
-        return keys, minima, (first, last), (starts[first], ends[last - 1])
+        text = owner[first]
+        begin = np.concatenate(([0], stops))[text]
+        base = head[np.searchsorted(head, first, side="right") - 1]
+        return text, keys, minima, (first - base, last - base), (starts[first] - begin, ends[last - 1] - begin)
+
+    return cut
+
+
+def cutter(reach: int, bands: int):
+    """``paragraph_cutter`` for one text: (keys, minima, words, characters), or None where it has no paragraph."""
+    many = paragraph_cutter(reach, bands)
+
+    def cut(text: str):
+        found = many([text])
+        return found[1:] if len(found[0]) else None
 
     return cut
 
 
-def _cells(rows: DataFrame, reach: int, bands: int) -> DataFrame:
-    """A row per paragraph and band: bucket, key, and its place in a document.
+def _blocks(batch):
+    """(first row, texts) of consecutive rows of a batch, about ``BLOCK`` code points at a time; no text is cut."""
+    at, held, size, block = 0, [], 0, BLOCK
+    for k, text in enumerate(batch.column("text")):
+        text = text.as_py() or ""
+        if held and size + len(text) > block:
+            yield at, held
+            at, held, size = k, [], 0
+        held.append(text)
+        size += len(text) + 1
+    if held:
+        yield at, held
+
+
+def _met_buckets(rows: DataFrame, reach: int, bands: int, bits: int) -> list:
+    """A filter of the buckets that paragraphs of two rows or more fall into."""
+    def numbers(batch):
+        import numpy as np
+
+        cut = paragraph_cutter(reach, bands)
+        for _, texts in _blocks(batch):
+            text, _, minima, _, _ = cut(texts)
+            row, number = np.tile(text, bands), np.concatenate(minima)
+            order = np.lexsort((row, number))
+            row, number = row[order], number[order]
+            new = np.ones(len(number), bool)
+            new[1:] = (number[1:] != number[:-1]) | (row[1:] != row[:-1])  # once a row
+            yield number[new]
+
+    return repeated_filter(rows.select("text"), numbers, bits)
+
 
-    Equal paragraphs of one batch are one row with a list of further places, so a paragraph that stands
-    in every document is a few rows per task.
+def _places(rows: DataFrame, met: list, reach: int, bands: int, bits: int) -> DataFrame:
+    """(key, buckets, doc_id, mark, w, c): the paragraphs that share a bucket with a paragraph of another row, once each.
+
+    ``w`` and ``c`` are first and one past the last word and code point, 32 bits each.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
-    place = f"doc_id {kind}, mark bigint, w bigint, c bigint"
-    schema = f"bucket bigint, key binary, {place}, more array<struct<{place.replace(' ', ':').replace(',:', ',')}>>"
+    kept = rows.sparkSession.sparkContext.broadcast(met)
 
     def find(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        cut = cutter(reach, bands)
-        high = np.uint64(32)
-
-        def packed(pair):
-            return (pair[0].astype(np.uint64) << high | pair[1].astype(np.uint64)).view(np.int64)
-
-        def rows_of(part):
-            found = [(i, f) for i, t in enumerate(part.column(1).to_pylist()) if t and (f := cut(t)) is not None]
-            if not found:
-                return
-            row = np.concatenate([np.full(len(f[0][0]), i) for i, f in found])
-            one, two = (np.concatenate([f[0][k] for _, f in found]) for k in (0, 1))
-            minima = [np.concatenate([f[1][b] for _, f in found]) for b in range(bands)]
-            w, c = (np.concatenate([packed(f[k]) for _, f in found]) for k in (2, 3))
-            order = np.lexsort((two, one))
-            one, two, row, w, c = one[order], two[order], row[order], w[order], c[order]
-            new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-            at, size = np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(one)))
-            key = np.stack((one[at], two[at]), 1).tobytes()
-            keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(key)]).cast(pa.binary())
-            names = ["doc_id", "mark", "w", "c"]
-
-            def places(where):
-                index = pa.array(row[where])
-                return [part.column(0).take(index), part.column(2).take(index), pa.array(w[where]), pa.array(c[where])]
-
-            extra = np.flatnonzero(~new)
-            ends = np.concatenate(([0], np.cumsum(size - 1))).astype(np.int32)
-            none = pa.array(size == 1)
-            more = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(places(extra), names=names), mask=none)
-            for b in range(bands):
-                bucket = pa.array(minima[b][order][at].view(np.int64))
-                yield pa.RecordBatch.from_arrays([bucket, keys, *places(at), more], names=["bucket", "key", *names, "more"])
+        cut, within, high = paragraph_cutter(reach, bands), opened(kept.value, bits), np.uint64(32)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                yield from rows_of(batch.slice(at, 2_000))
-
-    return rows.select("doc_id", "text", "mark").mapInArrow(find, schema)
+        def packed(pair, good):
+            return pa.array((pair[0][good].astype(np.uint64) << high | pair[1][good].astype(np.uint64)).view(np.int64))
 
+        for batch in batches:
+            for at, texts in _blocks(batch):
+                text, keys, minima, words, chars = cut(texts)
+                good = np.zeros(len(text), bool)
+                for one in minima:
+                    good |= within(one)
+                if not good.any():
+                    continue
+                key = np.stack([k[good] for k in keys], 1).tobytes()
+                n = int(good.sum())
+                key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(key)]).cast(pa.binary())
+                buckets = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)),
+                                                   pa.array(np.stack([m[good] for m in minima], 1).reshape(-1).view(np.int64)))
+                index = pa.array(at + text[good])
+                yield pa.RecordBatch.from_arrays([key, buckets, batch.column(0).take(index), batch.column(2).take(index), packed(words, good), packed(chars, good)],
+                                                 names=["key", "buckets", "doc_id", "mark", "w", "c"])
+
+    return rows.select("doc_id", "text", "mark").mapInArrow(find, f"key binary, buckets array<bigint>, doc_id {kind}, mark bigint, w bigint, c bigint")
+
+
+def _texts_of(rows: DataFrame, keys: DataFrame, reach: int, bits: int) -> DataFrame:
+    """(key, text) of each of ``keys``, cut out of the documents again; a task sends a key once per block."""
+    def halves(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-def _meeting(cells: DataFrame) -> DataFrame:
-    """The cells of buckets with more than one place.
+        for batch in batches:
+            pair = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[::2])], names=["h"])
 
-    Rows are sorted by bucket and read as a stream that remembers one row, so no bucket is ever held. One shuffle in
-    place of a count and a join; the cells, summed up per batch, spread a hot bucket thinly.
-    """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields)
+    kept = rows.sparkSession.sparkContext.broadcast(bit_filter(keys.select("key").mapInArrow(halves, "h bigint"), bits))
 
-    def keep(batches: Iterator) -> Iterator:
+    def find(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        held, before = None, None  # the last row so far, not yet told whether it is alone; bucket in front of it
+        cut, within = paragraph_cutter(reach, 0), opened(kept.value, bits)
         for batch in batches:
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            bucket = batch.column(0).to_numpy()
-            same = bucket[1:] == bucket[:-1]
-            several = batch.column(6).is_valid().to_numpy(zero_copy_only=False)
-            behind = np.append(same, False)
-            ahead = np.insert(same, 0, before is not None and before == bucket[0])
-            good = (behind | ahead | several)[:-1]
-            if good.any():
-                yield batch.slice(0, batch.num_rows - 1).filter(pa.array(good))
-            before = bucket[-2] if len(bucket) > 1 else before
-            held = batch.slice(batch.num_rows - 1)
-        if held is not None and (held.column(6).is_valid()[0].as_py() or before == held.column(0)[0].as_py()):
-            yield held
-
-    return cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(keep, schema)
+            for _, texts in _blocks(batch):
+                text, (one, two), _, _, (start, stop) = cut(texts)
+                at = np.flatnonzero(within(one))
+                _, once = np.unique(one[at], return_index=True)
+                at = at[np.sort(once)] if len({*zip(one[at].tolist(), two[at].tolist(), strict=True)}) == len(once) else at
+                key = [np.array([one[k], two[k]], np.uint64).tobytes() for k in at]
+                said = [texts[text[k]][start[k]:stop[k]] for k in at]
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(said, pa.string())], names=["key", "text"])
+
+    found = rows.select("text").mapInArrow(find, "key binary, text string")
+    return found.join(keys.select("key"), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
 
 
 def shared_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, bands: int = BANDS,
-                    least_words: int = LEAST_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+                    least_words: int = LEAST_WORDS, threshold: float = THRESHOLD,
+                    gap: int = GAP, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shared, n_removed, shared, removed, first_ids.
 
     Paragraphs (see ``cutter``) that are equal, or whose five-word shingles have a Jaccard similarity
     of at least ``threshold``, are of one class; classes are components of verified pairs. A paragraph is
     shared if its class stands in two documents or more, and counts if the run of neighbouring shared
-    paragraphs has ``least_words`` words or more. All but the first place of a class (smallest id, null last; then place) are to
+    paragraphs has ``least_words`` words or more; up to ``gap`` words between two runs first seen in the same document are bridged,
+    since an altered word spoils all paragraphs that hold it. All but the first place of a class (smallest id, null last; then place) are to
     be removed; paragraphs overlap, and those over the first place stay with it. ``shared`` and ``removed`` are lists of start:end in code points, joined by commas; ``n_`` count
     paragraphs; ``first_ids`` are the documents that keep what is removed here.
 
@@ -209,26 +259,34 @@ def shared_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     rows = take(docs, id_col, text_col).toDF("doc_id", "text")
     rows = rows.select("doc_id", text_of("text").alias("text"), F.xxhash64(text_of("text")).alias("mark"))
-    cells = pin(_meeting(_cells(rows, reach, bands)), "lz4")
-    own = F.array(F.struct("doc_id", "mark", "w", "c"))
-    # the places of a key stand in each of its bands: once is enough
-    spots = cells.select("key", F.explode(F.concat(own, F.coalesce("more", F.array().cast(cells.schema["more"].dataType)))).alias("p"))
-    places = pin(spots.select("key", "p.*").distinct(), "lz4")
-    meeting = crowded(cells.select("bucket", "key").distinct())
-    texts = pin(_texts_of(rows, places.join(meeting.select("key").distinct(), "key", "left_semi")), "lz4")
+    met = _met_buckets(rows, reach, bands, filter_bits)
+    release(rows.sparkSession)
+    places = pin(_places(rows, met, reach, bands, filter_bits), "zstd")
+    # a key is a row from here on, in however many documents it stands
+    keys = pin(places.groupBy("key").agg(F.min("buckets").alias("buckets")), "none")
+    meeting = crowded(keys.select("key", F.explode("buckets").alias("bucket")).select("bucket", "key").distinct())
+    forget(keys)
+    release(rows.sparkSession)
+    texts = pin(_texts_of(rows, pin(meeting.select("key").distinct()), reach, filter_bits), "zstd")
     classes, _ = linked_classes(meeting, lambda pairs: verify_texts(pairs, texts, SHINGLE), threshold)
-    named = places.join(classes, "key", "left").select(F.coalesce("comp", "key").alias("class"), "doc_id", "mark", "w", "c")
+    forget(texts, meeting)
+    release(rows.sparkSession)
+    named = pin(places.join(classes, "key", "left").select(F.coalesce("comp", "key").alias("class"), "doc_id", "mark", "w", "c"), "zstd")
+    forget(places, classes)
+    release(rows.sparkSession)
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"), F.col("w")))
     known = F.struct("doc_id", "mark")
     groups = pin(named.groupBy("class").agg(first.alias("first"), F.min(known).alias("_a"), F.max(known).alias("_b")).filter(
         "_a != _b").select("class", "first"))
-    shared = pin(named).join(groups, "class")
+    shared = named.join(groups, "class")
     # paragraphs overlap: one that lies over the first place is no repetition of it
     is_first = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("mark") == F.col("first.mark")) & (
         F.shiftrightunsigned("w", 32) < F.col("first.w").bitwiseAND(0xFFFFFFFF))
     spans = shared.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct(
         "w", "c", is_first.alias("first"), F.col("first.doc_id").alias("id")))).alias("spans"))  # at most a document's own paragraphs
-    told = pin(_runs(spans, least_words))
+    told = pin(_runs(spans, least_words, gap))
+    forget(groups, named)
+    release(rows.sparkSession)
     there = rows.select("doc_id", "mark")
     joined = there.join(told.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "good"),
                         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
@@ -243,30 +301,22 @@ def shared_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                          F.array_sort(F.array_distinct(F.transform(gone, lambda s: s["id"]))).alias("first_ids"))
 
 
-def _runs(spans: DataFrame, least_words: int) -> DataFrame:
+def _runs(spans: DataFrame, least_words: int, gap: int) -> DataFrame:
     """``good``: those of a document's shared paragraphs that stand in runs of enough words."""
     start, stop = (lambda s: F.shiftrightunsigned(s["w"], 32)), (lambda s: s["w"].bitwiseAND(0xFFFFFFFF))
 
     def add(state, s):
-        touches = state["stop"] >= start(s)
+        same = state["id"].eqNullSafe(s["id"]) & (state["stop"] + gap >= start(s))
+        touches = (state["stop"] >= start(s)) | same
         done = F.when(touches | (state["stop"] - state["start"] < least_words), state["done"]).otherwise(F.concat(state["done"], state["run"]))
         return F.struct(done.alias("done"), F.when(touches, F.concat(state["run"], F.array(s))).otherwise(F.array(s)).alias("run"),
                         F.when(touches, state["start"]).otherwise(start(s)).alias("start"),
-                        F.when(touches, F.greatest(state["stop"], stop(s))).otherwise(stop(s)).alias("stop"))
+                        F.when(touches, F.greatest(state["stop"], stop(s))).otherwise(stop(s)).alias("stop"), s["id"].alias("id"))
 
     kind = spans.schema["spans"].dataType
     none = F.array().cast(kind)
-    zero = F.struct(none.alias("done"), none.alias("run"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("stop"))
+    far = F.lit(-2**31).cast("bigint")
+    zero = F.struct(none.alias("done"), none.alias("run"), far.alias("start"), far.alias("stop"),
+                    F.lit(None).cast(kind.elementType["id"].dataType).alias("id"))
     end = F.aggregate("spans", zero, add, lambda s: F.when(s["stop"] - s["start"] >= least_words, F.concat(s["done"], s["run"])).otherwise(s["done"]))
     return spans.select("doc_id", "mark", end.alias("good"))
-
-
-def _texts_of(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """(key, text): the paragraph of each key, cut out of one of its documents."""
-    one = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"), F.col("c"))).alias("p")
-    picked = places.groupBy("key").agg(one).select("key", F.col("p.doc_id").alias("_id"), F.col("p.mark").alias("_mark"), F.col("p.c").alias("c"))
-    wanted = pin(picked.groupBy("_id", "_mark").agg(F.collect_list(F.struct("key", "c")).alias("cuts")), "lz4")  # of one document
-    joined = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("text", "cuts")
-    each = joined.select("text", F.explode("cuts").alias("cut"))
-    start, stop = F.shiftrightunsigned(F.col("cut.c"), 32).cast("int"), F.col("cut.c").bitwiseAND(0xFFFFFFFF).cast("int")
-    return each.select(F.col("cut.key").alias("key"), F.substring("text", start + 1, stop - start).alias("text")).dropDuplicates(["key"])

@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from labelwright.llm.passages import LEAST_WORDS, REACH, cutter, shared_passages
+from labelwright.llm.passages import LEAST_WORDS, REACH, cutter, paragraph_cutter, shared_passages
 
 from .fixtures import SCHEMA, no_documents, odd_documents, odd_rows
 
@@ -100,3 +100,101 @@ def test_every_run_of_51_words_gives_20_shared_words():
             start, stop = (start, max(stop, b)) if a <= stop else (a, b)
             longest = max(longest, stop - start)
         assert longest >= LEAST_WORDS, seed
+
+
+def plain_passages(rows, least=LEAST_WORDS, gap=24):
+    """``shared``, ``removed`` and ``first_ids`` of documents with ids of their own, from all pairs of paragraphs."""
+    import re
+
+    cut = cutter(REACH, 1)
+    places = []
+    for i, text in rows:
+        if (found := cut(text)) is not None:
+            _, _, (a, b), (x, y) = found
+            places += [(i, int(p), int(q), int(s), int(t), tuple(re.findall(r"[^ \t-\r]+", text[s:t]))) for p, q, s, t in zip(a, b, x, y, strict=True)]
+    keys = sorted({p[5] for p in places})
+    sets = [{k[n:n + 5] for n in range(len(k) - 4)} for k in keys]
+    head = list(range(len(keys)))
+
+    def root(n):
+        while head[n] != n:
+            n = head[n]
+        return n
+
+    for m in range(len(keys)):
+        for n in range(m):
+            if len(sets[m] & sets[n]) >= 0.8 * len(sets[m] | sets[n]):
+                head[root(m)] = root(n)
+    groups = {}
+    for p in places:
+        groups.setdefault(root(keys.index(p[5])), []).append(p[:5])
+    own = {i: [] for i, _ in rows}
+    for members in groups.values():
+        if len({m[0] for m in members}) > 1:
+            first = min(members)
+            for i, a, b, s, t in members:
+                own[i].append((a, b, s, t, i == first[0] and a < first[2], first[0]))
+    out = {}
+    for i, spans in own.items():
+        good, run, before = [], [], None
+        for s in sorted(spans):
+            if run and (s[0] <= max(r[1] for r in run) or (s[5] == before and s[0] <= max(r[1] for r in run) + gap)):
+                run.append(s)
+            else:
+                good += run if run and max(r[1] for r in run) - run[0][0] >= least else []
+                run = [s]
+            before = s[5]
+        good += run if run and max(r[1] for r in run) - run[0][0] >= least else []
+        gone = [s for s in good if not s[4]]
+        said = [",".join(f"{s[2]}:{s[3]}" for s in x) for x in (good, gone)]
+        out[i] = (len(good), len(gone), *said, sorted({s[5] for s in gone}))
+    return out
+
+
+def test_shared_removed_and_first_ids_equal_a_plain_recomputation(spark):
+    rnd = random.Random(21)
+    passages = [rnd_words(rnd, rnd.randint(10, 90)) for _ in range(14)]
+    rows = []
+    for i in range(70):
+        words = []
+        for _ in range(rnd.randint(0, 4)):
+            part = list(rnd.choice(passages))
+            if rnd.random() < 0.5:
+                part[rnd.randrange(len(part))] = "altered"
+            words += rnd_words(rnd, rnd.randint(0, 40)) + part[rnd.randint(0, 8):]
+        rows.append((i, rnd.choice([" ", "\n", " \t"]).join(words)))
+    rows += [(100 + i, rows[i][1]) for i in range(5)] + [(200, ""), (201, "a b c d e f g"), (202, "same same " * 40), (203, "same same " * 30)]
+    want = plain_passages(rows)
+    assert sum(w[1] for w in want.values()) > 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shared, r.n_removed, r.shared, r.removed, r.first_ids) for r in shared_passages(docs).collect()}
+    assert got == want
+
+
+def test_altered_passages_are_seldom_missed(spark):
+    rnd, rows, planted = random.Random(22), [], {}
+    kinds = [(60, 1), (60, 2), (90, 3), (100, 4), (120, 6)]
+    for kind in kinds:
+        for _ in range(60):
+            passage, i = rnd_words(rnd, kind[0]), len(rows)
+            for k in range(2):
+                for at in rnd.sample(range(kind[0]), kind[1]) if k else ():
+                    passage[at] = "altered"
+                rows.append((i + k, " ".join(rnd_words(rnd, rnd.randint(5, 50)) + passage + rnd_words(rnd, rnd.randint(5, 50)))))
+            planted[i + 1] = kind
+    got = {r.doc_id: r.first_ids for r in shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    missed = Counter(kind for i, kind in planted.items() if got[i] != [i - 1])
+    assert all(missed[kind] <= 0.1 * 60 for kind in kinds), missed
+
+
+def test_many_texts_are_cut_like_one():
+    rnd, many, one = random.Random(23), paragraph_cutter(REACH, 2), cutter(REACH, 2)
+    texts = [" ".join(rnd_words(rnd, rnd.choice([0, 3, 6, 7, 12, 13, 14, 15, 40, 300]))) + rnd.choice(["", " ", "\n\n"]) for _ in range(80)]
+    texts += ["", " ", "x", "a a a a a a a a", "\U0001f642 " * 30]
+    text, keys, minima, words, chars = many(texts)
+    for k, t in enumerate(texts):
+        mine, alone = text == k, one(t)
+        assert (alone is None) == (not mine.any())
+        if alone is not None:
+            for a, b in zip((*keys, *minima, *words, *chars), (*alone[0], *alone[1], *alone[2], *alone[3]), strict=True):
+                assert a[mine].tolist() == b.tolist()
