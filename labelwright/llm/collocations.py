@@ -24,6 +24,8 @@ HEAD_BYTES = 128
 FILTER_BITS = 1 << 26
 #: Bytes of text between two looks at the size of a task's counter, bytes it may hold, pairs a task counts at a time.
 LOOK, HELD, BLOCK = 2_000_000, 32_000_000, 1_000_000
+#: Counted pairs that a task holds before it hands them on, and least number of parts they are dealt out to.
+TOGETHER, PARTS = 2_000_000, 64
 
 
 def _lower_pieces():
@@ -158,46 +160,117 @@ def tile_counts(a, b, side: int = SIDE):
         rest &= ~here
     a, b, tile = a[rest], b[rest], tile[rest]
     if len(a):
-        order = np.lexsort((b, a)) if max(int(a.max()), int(b.max())) >= 1 << 31 else np.argsort(a << 32 | b)
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        found.append((a[first], b[first], np.diff(np.append(first, len(a)))))
+        found.append(summed_pairs(a, b, np.ones(len(a), np.int64)))
     return tuple(np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(3))
 
 
-def _pair_counts(sequences: DataFrame) -> DataFrame:
-    """(a, b, f) of neighbouring ids. Tasks count a block of pairs at a time, tile by tile; Spark adds up."""
-    block = BLOCK
+def pack_pairs(a, b, n) -> bytes:
+    """Sorted coordinates with counts, packed: small steps of ``a`` and the byte planes of all three, compressed."""
+    import numpy as np
+    import pyarrow as pa
+
+    numbers = np.concatenate((np.diff(a, prepend=0), b, n)).astype("<i8")
+    planes = numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(a).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack_pairs(packed: bytes):
+    import numpy as np
+    import pyarrow as pa
+
+    size = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], decompressed_size=24 * size, codec="zstd", asbytes=True), np.uint8)
+    a, b, n = planes.reshape(8, -1).T.copy().view("<i8").reshape(3, -1)
+    return np.cumsum(a), b, n
+
+
+def summed_pairs(a, b, n):
+    """Distinct (a, b) in order, with the sums of n."""
+    import numpy as np
+
+    order = np.lexsort((b, a)) if len(a) and max(int(a.max()), int(b.max())) >= 1 << 31 else np.argsort(a << 32 | b)
+    a, b, n = a[order], b[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+    return a[first], b[first], np.add.reduceat(n, first) if len(a) else n
+
+
+def _pair_counts(sequences: DataFrame, least: int) -> DataFrame:
+    """(a, b, f) of the neighbouring ids that occur ``least`` times or more.
+
+    Tasks count a block of pairs at a time, tile by tile, add blocks up while they are few, and send the sorted coordinates in
+    packed parts, dealt out by a hash of the pair: a pair that stands everywhere is one entry per task. The number of parts follows the
+    number of input partitions, so that what a task adds up keeps its size as the input grows; only frequent pairs become rows.
+    """
+    block, together = BLOCK, TOGETHER
+    parts = max(PARTS, 2 * sequences.rdd.getNumPartitions())
 
     def count(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        left, right, held = [], [], 0
+        left, right, held, counted = [], [], 0, []
+
+        def add():
+            counted.append(tile_counts(np.concatenate(left), np.concatenate(right)))
+            left.clear()
+            right.clear()
 
         def out():
-            a, b, n = tile_counts(np.concatenate(left), np.concatenate(right))
-            for at in range(0, len(a), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 200_000]) for x in (a, b, n)], names=["a", "b", "f"])
+            a, b, n = (np.concatenate([c[k] for c in counted]) for k in range(3))
+            counted.clear()
+            a, b, n = summed_pairs(a, b, n)
+            part = ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % parts
+            order = np.argsort(part, kind="stable")
+            edges = np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))
+            a, b, n = a[order], b[order], n[order]
+            full = [k for k in range(parts) if edges[k] < edges[k + 1]]
+            for at in range(0, len(full), 1_000):
+                some = full[at:at + 1_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(
+                    [pack_pairs(*(x[edges[k]:edges[k + 1]] for x in (a, b, n))) for k in some], pa.binary())], names=["part", "packed"])
 
         for batch in batches:
             for ids in batch.column(0):
                 ids = np.frombuffer(ids.as_buffer(), np.int64)
                 for at in range(0, len(ids) - 1, block):  # a very long text in several steps
-                    part = ids[at:at + block + 1]
-                    good = (part[:-1] >= 0) & (part[1:] >= 0)
-                    left.append(part[:-1][good])
-                    right.append(part[1:][good])
+                    some = ids[at:at + block + 1]
+                    good = (some[:-1] >= 0) & (some[1:] >= 0)
+                    left.append(some[:-1][good])
+                    right.append(some[1:][good])
                     held += len(left[-1])
                     if held >= block:
-                        yield from out()
-                        left.clear()
-                        right.clear()
+                        add()
                         held = 0
+                        if sum(len(c[0]) for c in counted) > together:
+                            yield from out()
+        if held:
+            add()
+        if counted:
+            yield from out()
+
+    def total(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        held, now = [], None
+
+        def out():
+            a, b, n = summed_pairs(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+            good = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (a, b, n)], names=["a", "b", "f"])
+
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if now is not None and part != now:
+                    yield from out()
+                    held = []
+                now = part
+                held.append(unpack_pairs(packed.as_py()))
         if held:
             yield from out()
 
-    return sequences.select("ids").mapInArrow(count, "a bigint, b bigint, f bigint").groupBy("a", "b").agg(F.sum("f").alias("f"))
+    packed = sequences.select("ids").mapInArrow(count, "part int, packed binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(total, "a bigint, b bigint, f bigint")
 
 
 def _next_sequences(sequences: DataFrame, pairs: DataFrame, n_pairs: int, head: int, bits: int) -> DataFrame:
@@ -340,7 +413,7 @@ def collocations(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST,
                            F.array("f").alias("before"), F.array("f").alias("behind"))
     found, longer = [], []
     for size in range(2, longest + 1):
-        pairs, n = _ranked(_pair_counts(sequences).filter(F.col("f") >= least), "a", "b")
+        pairs, n = _ranked(_pair_counts(sequences, least), "a", "b")
         left = phrases.select(F.col("id").alias("a"), "lang", "phrase", "before")
         right = phrases.select(F.col("id").alias("b"), "last", "behind")
         named = pairs.join(left, "a").join(right, "b").select(

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from labelwright.llm.collocations import collocations, tile_counts
+from labelwright.llm.collocations import collocations, pack_pairs, summed_pairs, tile_counts, unpack_pairs
 
 from .fixtures import SCHEMA, no_documents, odd_documents, odd_rows
 
@@ -79,3 +79,16 @@ def test_tiles_count_like_a_dictionary():
         a, b = (np.minimum((rnd.pareto(0.8, n) * 3).astype(np.int64), 1 << 40) for _ in range(2))
         x, y, f = tile_counts(a, b, side)
         assert Counter(dict(zip(zip(x.tolist(), y.tolist(), strict=True), f.tolist(), strict=True))) == Counter(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_packed_pairs_come_back():
+    rnd = np.random.default_rng(2)
+    for n, top in ((0, 9), (1, 9), (4_000, 50), (4_000, 1 << 45)):
+        a, b, f = (rnd.integers(0, top, n) for _ in range(3))
+        x, y, z = summed_pairs(a, b, f)
+        want = Counter()
+        for p, q, r in zip(a.tolist(), b.tolist(), f.tolist(), strict=True):
+            want[p, q] += r
+        assert [*zip(x.tolist(), y.tolist(), z.tolist(), strict=True)] == [(*k, want[k]) for k in sorted(want)]
+        for one, other in zip(unpack_pairs(pack_pairs(x, y, z)), (x, y, z), strict=True):
+            assert one.tolist() == other.tolist()
