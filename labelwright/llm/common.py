@@ -41,12 +41,16 @@ def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of steps that are written down and done.
 
     Its cleaner acts when the driver's JVM collects garbage, by default every 30 minutes; a job of several large
-    shuffles calls this between them, so that the disk holds one of them at a time.
+    shuffles calls this between them, so that the disk holds one of them at a time. The cleaner works in the background, so it
+    gets a moment; plans that hold each other take a second collection.
     """
     import gc
+    from time import sleep
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        sleep(0.7)
 
 
 def take(df: DataFrame, *names: str) -> DataFrame:
