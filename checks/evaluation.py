@@ -219,6 +219,26 @@ def block_bootstrap_ci(spark, sf):
     return resampling.bootstrap_blocks(v.scores_table(spark, sf), "y", "score", "block", n_boot=300, seed=11)
 
 
+@check("block_bootstrap_by_group", with_ctes("""
+SELECT event_type, count(*) AS replicates, round(quantile_cont(auroc,0.025),6) AS auroc_lo, round(quantile_cont(auroc,0.975),6) AS auroc_hi,
+  any_value(b) AS blocks FROM (SELECT event_type, r, any_value(b) AS b,
+  sum(CAST(neg AS DOUBLE)*(cum_pos-pos/2.0))/(CAST(sum(pos) AS DOUBLE)*sum(neg)) AS auroc
+  FROM (SELECT *, sum(pos) OVER (PARTITION BY event_type, r ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_pos FROM weighed) GROUP BY event_type, r
+  HAVING sum(pos)>0 AND sum(neg)>0) GROUP BY 1""", v.SCORES, """
+ even AS (SELECT *, CAST(row_id%3=0 AS INT) AS odd FROM scores WHERE NOT (event_type='error' AND row_id%7>2)),
+ numbered AS (SELECT event_type, block, row_number() OVER (PARTITION BY event_type ORDER BY block)-1 AS block_no,
+  count(*) OVER (PARTITION BY event_type) AS b FROM (SELECT DISTINCT event_type, block FROM even)),
+ draws AS (SELECT b, r, CAST('0x' || substr(md5('5|' || r || '|' || d),1,8) AS BIGINT) % b AS block_no
+  FROM range(200) t(r), (SELECT DISTINCT b FROM numbered), LATERAL (SELECT unnest(range(b)) AS d)),
+ times AS (SELECT b, r, block_no, count(*) AS w FROM draws GROUP BY ALL),
+ weighed AS (SELECT event_type, r, score, b, sum(w*CAST(odd=1 AS INT))::BIGINT AS pos, sum(w*CAST(odd=0 AS INT))::BIGINT AS neg
+  FROM even JOIN numbered USING (event_type, block) JOIN times USING (b, block_no) GROUP BY ALL)"""))
+def block_bootstrap_by_group(spark, sf):
+    few = (F.col("event_type") == "error") & (F.col("row_id") % 7 > 2)
+    rows = v.scores_table(spark, sf).filter(~few).withColumn("odd", (F.col("row_id") % 3 == 0).cast("int"))
+    return resampling.bootstrap_blocks(rows, "odd", "score", "block", n_boot=200, seed=5, by=["event_type"])
+
+
 # ------------------------------------------------------------------------------- splits
 @check("seeded_split", """SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY md5('5|' || o_orderkey)) <= floor(n*0.8)
   THEN 'train' ELSE 'test' END AS split FROM orders, (SELECT count(*) AS n FROM orders)""")

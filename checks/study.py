@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelwright.functions import checkout as co
-from labelwright.operators import models as md
 from labelwright.operators import ranking
 from labelwright.plans import order_study as st
-from labelwright.session import pin
+from labelwright.plans import study_run
 
 from . import views as v
 from .evaluation import ranking_sql
@@ -221,13 +220,13 @@ def sensitivity_metrics(spark, sf):
     return nudged(bundle, "mean_predicted", "brier")
 
 
+def study_sections(spark, sf, **options):
+    """The whole study over the test tables; ``options`` go to ``study_run.run``."""
+    return study_run.run(v.study_tables(spark, sf), train_end=v.TRAIN_END, delivered="F", in_flight=IN_FLIGHT, not_delivery=NOT_A_DELIVERY,
+                         item_order=v.ITEM_ORDER, pay_order=v.PAY_ORDER, **options)
+
+
 @check("study_models")
 def study_models(spark, sf):
-    table = pin(_features(spark, sf))
-    train, test = table.filter("split = 'train'"), table.filter("split = 'test'")
-    no_month = tuple(c for c in st.CATEGORICAL if c != "purchase_month")
-    specs = [md.ModelSpec("logistic_regression", "logistic", st.NUMERIC, st.CATEGORICAL),
-             md.ModelSpec("gradient_boosting", "boosting", st.NUMERIC, st.CATEGORICAL, {"maxIter": 20, "stepSize": 0.05}),
-             md.ModelSpec("logistic_regression_without_purchase_month", "logistic", st.NUMERIC, no_month)]
-    preds = md.fit_and_score(train, test, specs, "late", ["late"], min_count=20, missing="unknown")
-    return ranking.metric_bundle(preds, "late", "p1", ["model"])
+    """Metrics with row and month intervals of the three models at their defaults, and the sensitivity model."""
+    return study_sections(spark, sf)["models"]

@@ -26,6 +26,10 @@ from .rule_tables import apply_rule
 from .scoring import model_scores
 from .splits import stratified_folds
 
+#: Models fitted at a time.
+FITS = 4
+
+
 @dataclass(frozen=True)
 class ModelSpec:
     """One model: which estimator, on which columns."""
@@ -129,6 +133,16 @@ def estimator(kind: str, label: str, rows: int, seed: int = 0, **params):
     raise ValueError(f"unknown model kind {kind!r}")
 
 
+def at_once(calls: Sequence, parallel: int = FITS) -> list:
+    """The results of ``calls``, at most ``parallel`` of them at a time: the many short jobs of one fit leave cores idle."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(call)) for call in calls]]
+
+
 def fit(prepared: DataFrame, enc: Encoding, spec: ModelSpec, label: str, seed: int = 0) -> PipelineModel:
     """Fit one model on rows made by :func:`prepare`."""
     stages = encoder_stages(enc, spec.numeric, spec.categorical, scale=True)
@@ -145,11 +159,11 @@ def score(model: PipelineModel, spec: ModelSpec, prepared: DataFrame, keep: Sequ
 
 
 def fit_and_score(train: DataFrame, test: DataFrame, specs: Sequence[ModelSpec], label: str, keep: Sequence[str], *,
-                  missing: str = "None", min_count: int = 1, impute: bool = True, seed: int = 0) -> DataFrame:
+                  missing: str = "None", min_count: int = 1, impute: bool = True, seed: int = 0, parallel: int = FITS) -> DataFrame:
     """The long prediction table of several models on the same test rows.
 
     Medians and categories are learnt once, from the training rows, for all models; the
-    prepared training rows are written down once, since every fit reads them many times.
+    prepared training rows are written down once, since every fit reads them many times. ``parallel`` fits run at a time.
     """
     numeric = list(dict.fromkeys(c for s in specs for c in s.numeric))
     categorical = list(dict.fromkeys(c for s in specs for c in s.categorical))
@@ -157,7 +171,8 @@ def fit_and_score(train: DataFrame, test: DataFrame, specs: Sequence[ModelSpec],
     enc = learn_encoding(rows, numeric, categorical, missing=missing, min_count=min_count, impute=impute)
     ready = pin(prepare(rows, enc, numeric, categorical, missing).drop(*numeric, *categorical))
     held = prepare(test, enc, numeric, categorical, missing)
-    parts = [score(fit(ready, enc, spec, label, seed), spec, held, keep) for spec in specs]
+    fitted = at_once([lambda spec=spec: fit(ready, enc, spec, label, seed) for spec in specs], parallel)
+    parts = [score(model, spec, held, keep) for model, spec in zip(fitted, specs, strict=True)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

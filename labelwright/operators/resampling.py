@@ -127,10 +127,11 @@ def _weigher(n_boot: int, seed: int):
             return out
 
         odd = np.uint64(0x9E3779B97F4A7C15)
+        by_class = [np.uint64(c * int(odd) % 2**64) for c in (1, 2)]
         own = np.uint64(int(hashlib.md5(f"{seed}|{group}".encode()).hexdigest()[:16], 16))
         scores = (pdf["score"].to_numpy(dtype=float) + 0.0).view(np.uint64)
         means = [pdf[c].to_numpy(dtype=float) for c in ("pos", "neg")]
-        bases = [mix(mix(scores ^ own) + np.uint64(c) * odd) for c in (1, 2)]
+        bases = [mix(mix(scores ^ own) + c) for c in by_class]
         chunk = max(1, 1_000_000 // max(1, len(pdf)))
         for start in range(0, n_boot, chunk):
             rows = slice(start, min(n_boot, start + chunk))
@@ -206,55 +207,86 @@ def bootstrap_ranking(df: DataFrame, y: str, score: str, by: Sequence[str] = (),
 
 
 def bootstrap_blocks(df: DataFrame, y: str, score: str, block: str, n_boot: int = 300, seed: int = 0,
-                     alpha: float = 0.05, **limits: int) -> DataFrame:
-    """AUROC interval when whole blocks (say, months) are resampled.
+                     alpha: float = 0.05, by: Sequence[str] = (), **limits: int) -> DataFrame:
+    """AUROC intervals when whole blocks (say, months) are resampled, per group.
 
-    Each replicate draws as many blocks as there are, with replacement. A draw is a hash of seed, replicate and
-    number, so every task counts the draws of its own blocks by itself: no draw table is collected,
-    sent or joined.
+    Each replicate draws as many blocks as the group has, with replacement. A draw is a hash of seed, replicate and
+    number, so groups with the same blocks draw the same ones. How often each replicate has a block is worked out once, in a table of
+    (blocks, block) rows, whatever the number of cells; each range of scores meets the rows of its own blocks only. Rows without label or
+    block do not count; a replicate of one class gives no value.
     """
     yy = F.col(y).cast("int")
-    slim = df.select(F.col(score).cast("double").alias("score"), F.col(block).alias("block"), yy.alias("_y"))
-    cells = reduce_cells(slim.filter(F.col("_y").isNotNull() & F.col("block").isNotNull()), ["block"], "score", {
+    slim = df.select(*by, F.col(score).cast("double").alias("score"), F.col(block).alias("block"), yy.alias("_y"))
+    cells = reduce_cells(slim.filter(F.col("_y").isNotNull() & F.col("block").isNotNull()), [*by, "block"], "score", {
         "pos": (F.col("_y") == 1).cast("bigint"), "neg": (F.col("_y") == 0).cast("bigint")})
-    numbered = _number_blocks(cells.select("block").distinct())
-    n_blocks = numbered.count()
-    placed = cells.join(numbered, "block").select("score", "block_no", "pos", "neg")
-    reps = _block_replicates(placed, n_boot, n_blocks, seed, **limits)
-    return _percentile_bounds(reps, [], ["auroc"], alpha).withColumn("blocks", F.lit(n_blocks).cast("bigint"))
+    numbered = pin(_number_blocks(cells.select(*by, "block").distinct(), by))
+    placed = join_groups(cells, numbered, [*by, "block"]).select(*by, "score", "block_no", "blocks", "pos", "neg")
+    reps = _block_replicates(placed, by, block_draws(numbered.select("blocks").distinct(), n_boot, seed), n_boot, **limits)
+    bounds = _percentile_bounds(reps, by, ["auroc"], alpha)
+    sizes = numbered.select(*by, F.col("blocks").cast("bigint").alias("blocks")).distinct()
+    if by:
+        return join_groups(bounds, sizes, by)
+    return bounds.withColumn("blocks", sizes.scalar())
+
+
+def block_draws(sizes: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """(blocks, block_no, times): how often each block is drawn in each of ``n_boot`` replicates, for every number of ``blocks`` given.
 
+    ``times`` holds a 16-bit number per replicate. The draws are made by Spark, a row per replicate and draw, and summed up per block.
+    """
+    drawn = sizes.select("blocks", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("d")).repartition("d").select(
+        "blocks", "d", F.explode(_replicates(n_boot)).alias("replicate"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("d").cast("string")))
+    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.col("blocks")
+    counts = drawn.groupBy("blocks", number.alias("block_no"), "replicate").agg(F.count("*").cast("int").alias("w"))
+    return pin(counts.groupBy("blocks", "block_no").agg(F.collect_list(F.struct("replicate", "w")).alias("times")))  # n_boot at most
 
-def _block_replicates(placed: DataFrame, n_boot: int, n_blocks: int, seed: int, **limits: int) -> DataFrame:
-    ranged = cut_ranges(placed, [], "score", **{**BOOT_LIMITS, **limits})
 
-    def inside(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        from hashlib import md5
+def _block_replicates(placed: DataFrame, by: Sequence[str], draws: DataFrame, n_boot: int, **limits: int) -> DataFrame:
+    ranged = cut_ranges(placed, by, "score", **{**BOOT_LIMITS, **limits})
+    keys = [*by, "_range"]
+    types = {f.name: f.dataType.simpleString() for f in ranged.table.schema}
+    n_by = len(by)
+    own = ranged.table.select(*keys, "blocks", "block_no").distinct().join(draws, ["blocks", "block_no"])
+    own = own.select(*[F.col(k).alias(k) for k in keys], F.col("block_no").alias("block_no"), "times")  # columns of their own, for the cogroup
 
+    def inside(key, cells: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        ordered = pdf.sort_values("score", ascending=False)
+        ordered = cells.sort_values("score", ascending=False)
         score = ordered["score"].to_numpy()
         tie_starts = np.flatnonzero(np.concatenate(([True], score[1:] != score[:-1])))
-        pos, neg = ordered["pos"].to_numpy(dtype=float), ordered["neg"].to_numpy(dtype=float)
-        block = ordered["block_no"].to_numpy()
-        rows = []
-        for r in range(n_boot):
-            drawn = [int(md5(f"{seed}|{r}|{d}".encode()).hexdigest()[:8], 16) % n_blocks for d in range(n_blocks)]
-            w = np.bincount(drawn, minlength=n_blocks)[block]
+        pos, neg = ordered["pos"].to_numpy(dtype=float)[:, None], ordered["neg"].to_numpy(dtype=float)[:, None]
+        # a block that is never drawn has no row
+        known = {b: i + 1 for i, b in enumerate(mine["block_no"])}
+        row = np.array([known.get(b, 0) for b in ordered["block_no"]])
+        times = np.zeros((len(mine) + 1, n_boot), dtype="int32")
+        for i, found in enumerate(mine["times"]):
+            for t in found:
+                times[i + 1, t["replicate"]] = t["w"]
+        parts, chunk = [], max(1, 4_000_000 // max(1, len(ordered)))
+        for start in range(0, n_boot, chunk):
+            w = times[:, start:start + chunk][row]
             wp, wn = np.add.reduceat(w * pos, tie_starts), np.add.reduceat(w * neg, tie_starts)
-            rows.append((int(key[0]), r, wp.sum(), wn.sum(), (wn * (np.cumsum(wp) - wp / 2)).sum()))
-        return pd.DataFrame(rows, columns=["_range", "replicate", "p", "n", "pairs"])
+            parts.append(pd.DataFrame({"_range": int(key[-1]), "replicate": np.arange(start, start + w.shape[1], dtype="int32"), "p": wp.sum(0), "n": wn.sum(0),
+                                       "pairs": (wn * (np.cumsum(wp, 0) - wp / 2)).sum(0)}))
+        out = pd.concat(parts)
+        for i in range(n_by):
+            out.insert(i, keys[i], key[i])
+        return out
 
-    parts = ranged.table.groupBy("_range").applyInPandas(inside, "_range int, " + _PART)
-    above = Window.partitionBy("replicate").orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    head = "".join(f"`{k}` {types[k]}, " for k in by)
+    parts = ranged.table.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(inside, f"{head}_range int, " + _PART)
+    above = Window.partitionBy(*by, "replicate").orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.withColumn("_above", F.coalesce(F.sum("p").over(above), F.lit(0.0)))
-    sums = carried.groupBy("replicate").agg(
+    sums = carried.groupBy(*by, "replicate").agg(
         F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("pairs") + F.col("n") * F.col("_above")).alias("u"))
     return sums.filter((F.col("p") > 0) & (F.col("n") > 0)).select(
-        "replicate", (F.col("u") / (F.col("p") * F.col("n"))).alias("auroc"))
+        *by, "replicate", (F.col("u") / (F.col("p") * F.col("n"))).alias("auroc"))
 
 
-def _number_blocks(names: DataFrame) -> DataFrame:
-    """Blocks numbered from 0 in ascending order (via running counts, not one big window)."""
-    cells = reduce_cells(names, [], "block", {"_one": F.lit(1).cast("bigint")})
-    return running_totals(cells, [], "block", ["_one"]).select("block", (F.col("cum__one") - 1).alias("block_no"))
+def _number_blocks(names: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Each group's blocks numbered from 0 in ascending order, and their number (via running counts, not one big window)."""
+    cells = reduce_cells(names, by, "block", {"_one": F.lit(1).cast("bigint")})
+    return running_totals(cells, by, "block", ["_one"]).select(
+        *by, "block", (F.col("cum__one") - 1).alias("block_no"), F.col("all__one").alias("blocks"))
