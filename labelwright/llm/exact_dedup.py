@@ -47,7 +47,11 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay (see ``exact_groups``), with all their columns."""
+    """The rows of ``docs`` that stay (see ``exact_groups``), with all their columns.
+
+    Null texts are equal to empty ones; a null id gives way to any other. Of rows that repeat id and text one stays, whichever
+    it is where other columns differ. An empty table stays empty; columns that differ in case only, or repeat a name, come back as they were.
+    """
     rows = with_row(docs, id_col, text_col).toDF("doc_id", "_text", "_row")
     rows = rows.select("doc_id", "_row", F.char_length(text_of("_text")).alias("_size"),
                        without_blanks(text_of("_text")).alias("_norm"))

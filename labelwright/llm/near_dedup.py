@@ -180,7 +180,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns.
+
+    Texts without words, null ones too, are equal to each other; a null id gives way to any other. Of rows that repeat id and words one
+    stays, whichever it is where other columns differ. An empty table stays empty; columns that differ in case only come back as they were.
+    """
     rows = take(docs, id_col, text_col).toDF("doc_id", "text")
     stay = _kept(near_classes(rows, threshold=threshold)[0]).filter("first").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
     whole = with_row(docs, id_col, text_col).toDF("_doc", "_text", "_row")

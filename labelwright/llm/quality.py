@@ -160,7 +160,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
                  risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
+
+    A null text has no words and goes; a null id has no label, a null stratum is a stratum of its own. Rows that repeat are judged alike and
+    all stay or go. An empty table stays empty; columns that differ in case only come back as they were.
+    """
     rows = take(docs, id_col, text_col, stratum_col).toDF("doc_id", "text", "stratum")
     labelled = take(labels, "doc_id").distinct()
     fitted = rows.join(labelled, "doc_id", "left_semi")

@@ -60,7 +60,11 @@ def document_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, **columns: str) -> DataFrame:
-    """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null: not the key law), source."""
+    """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null: not the key law), source.
+
+    A null text has no bytes; a null source is a source of its own, null and repeated ids are ids like others. Rows that repeat in all that
+    is returned are interchangeable. Fewer rows than shards leave shards empty, an empty table gives an empty result; other columns are ignored.
+    """
     placed = stratified_shards(document_rows(docs, **columns), n_shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "source")
