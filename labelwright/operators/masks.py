@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,53 +17,46 @@ def response_labels(tokens: Column, prefix: Sequence[int], suffix: Sequence[int]
     next ``suffix`` (to the end when no suffix token follows). A prefix whose next suffix
     start is not a full suffix opens no response. The last token is always kept, unless the
     sequence ends right after a prefix.
+
+    Built-in functions only. The starts of prefixes, and the places of suffix tokens with what stands there, are two short
+    arrays; one fold over the prefixes carries where the next one may start and gives the kept ranges, which the last step reads beside the tokens.
     """
     head, tail = list(prefix), list(suffix)
-
-    @F.pandas_udf("array<int>")
-    def label(batch: pd.Series) -> pd.Series:
-        import numpy as np
-
-        def starts(ids, pattern):
-            """Positions where the whole pattern occurs."""
-            span = len(ids) - len(pattern) + 1
-            if span <= 0:
-                return np.empty(0, dtype=int)
-            hit = np.ones(span, dtype=bool)
-            for i, token in enumerate(pattern):
-                hit &= ids[i:i + span] == token
-            return np.flatnonzero(hit)
-
-        def one(values):
-            if values is None:
-                return None
-            ids = np.asarray(values)
-            keep = np.zeros(len(ids), dtype=bool)
-            keep[-1:] = True
-            opens, ends = starts(ids, head), np.flatnonzero(ids == tail[0])
-            closes = set(starts(ids, tail).tolist())
-            free = 0  # first position where the next prefix may start
-            for at in opens:
-                if at < free:
-                    continue
-                body = at + len(head)
-                nxt = np.searchsorted(ends, body)
-                if nxt == len(ends):
-                    keep[body:] = True
-                    if body == len(ids):
-                        keep[-1] = False
-                    break
-                end = int(ends[nxt])
-                if end in closes:
-                    keep[body:end + 1] = True
-                    free = end + len(tail)
-                else:
-                    free = end + 1
-            return np.where(keep, ids, IGNORED).astype("int32")
-
-        return batch.map(one)
-
-    return label(tokens)
+    size = F.size(tokens)
+    places = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
+
+    def stands(pattern: list[int], at: Column) -> Column:
+        """The whole pattern stands at a place (from 1)."""
+        hit = at + (len(pattern) - 1) <= size
+        for i, token in enumerate(pattern):
+            hit = hit & (F.get(tokens, at - 1 + i) == token)
+        return F.coalesce(hit, F.lit(False))
+
+    opens = F.filter(places, lambda at: stands(head, at))
+    ends = F.filter(places, lambda at: F.coalesce(F.get(tokens, at - 1) == tail[0], F.lit(False)))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    zero = F.struct(F.lit(1).alias("free"), none.alias("kept"), F.lit(False).alias("bare"), ends.alias("ends"))
+
+    def step(state: Column, at: Column) -> Column:
+        body = at + len(head)
+        # places of suffix tokens ascend, and prefixes do too: what lies before this body is not needed any more
+        left = F.filter(state["ends"], lambda e: e >= body)
+        end = F.get(left, 0)
+        open_ = F.struct(F.lit(2**31 - 1).alias("free"), F.concat(state["kept"], F.array(F.struct(body.alias("a"), size.alias("b")))).alias("kept"),
+                         (body > size).alias("bare"), left.alias("ends"))
+        closed = F.struct((end + len(tail)).alias("free"), F.concat(state["kept"], F.array(F.struct(body.alias("a"), end.alias("b")))).alias("kept"),
+                          state["bare"].alias("bare"), left.alias("ends"))
+        broken = F.struct((end + 1).alias("free"), state["kept"].alias("kept"), state["bare"].alias("bare"), left.alias("ends"))
+        return F.when(at < state["free"], state).otherwise(F.when(end.isNull(), open_).otherwise(F.when(stands(tail, end), closed).otherwise(broken)))
+
+    found = F.aggregate(opens, zero, step, lambda s: F.struct(s["kept"].alias("kept"), s["bare"].alias("bare")))
+
+    def labelled(state: Column) -> Column:
+        # ranges ascend and do not meet, so the last one that begins before a token decides
+        return F.transform(tokens, lambda t, i: F.when(
+            F.exists(state["kept"], lambda r: (r["a"] <= i + 1) & (i + 1 <= r["b"])) | ((i + 1 == size) & ~state["bare"]), t).otherwise(IGNORED).cast("int"))
+
+    return F.when(tokens.isNotNull(), F.get(F.transform(F.array(found), labelled), 0))
 
 
 def mask_profile(df: DataFrame, tokens: str, prefix: Sequence[int], suffix: Sequence[int], by: Sequence[str] = ()) -> DataFrame:

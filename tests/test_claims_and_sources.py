@@ -113,6 +113,26 @@ def test_fingerprints_match_hashlib_and_manifests(spark, tmp_path):
     assert status == {"a.bin": "same", "b.bin": "new", "d.bin": "missing"}
 
 
+def test_files_are_hashed_in_chunks_wherever_they_are_cut(spark, tmp_path):
+    data = {"cut.bin": b"abc\r\ndef\r\r\n\r", "empty.bin": b"", "one.bin": b"\r\n" * 50, "deep/x.bin": b"\n\r", "other.txt": b"no"}
+    (tmp_path / "deep").mkdir()
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    listed = fingerprints.list_files(spark, str(tmp_path), "*.bin")
+    for chunk in (1, 2, 4, 5, 1 << 20):
+        rows = {r.file: r for r in fingerprints.hash_files(listed, chunk=chunk).collect()}
+        assert set(rows) == {"cut.bin", "empty.bin", "one.bin", "x.bin"}
+        for name, content in data.items():
+            if row := rows.get(name.split("/")[-1]):
+                assert (row.n_bytes, row.sha256) == (len(content), hashlib.sha256(content).hexdigest())
+                assert row.sha256_lf == hashlib.sha256(content.replace(b"\r\n", b"\n")).hexdigest(), (name, chunk)
+    found = fingerprints.fingerprint_files(spark, str(tmp_path))
+    recorded = spark.createDataFrame([("empty.bin", hashlib.sha256(b"").hexdigest()), ("gone.bin", "0")], "file string, sha256_lf string")
+    status = {r.file: r.status for r in fingerprints.compare_manifest(found, recorded).collect()}
+    assert status["empty.bin"] == "same" and status["gone.bin"] == "missing" and status["other.txt"] == "new"
+    assert fingerprints.fingerprint_files(spark, str(tmp_path), "*.none").collect() == []
+
+
 def test_reports_and_blank_labels(spark, tmp_path):
     scored = spark.createDataFrame([(1, 1, 1, "Logistics_Delay: 1", 1, 0.5), (2, 0, 1, "n/a", None, None)],
                                    "id int, gold int, rule int, raw string, label int, p1 double")
