@@ -42,7 +42,21 @@ def wilson_ci(spark, sf):
     return cl.with_wilson(counts, "k", "n", "acc")
 
 
-@check("clopper_pearson")
+#: Binomial tails by logarithms, and 60 halvings of [0, 1] for both ends of each interval.
+_EXACT = """ends AS (SELECT Segment, tn+tp AS k, tn+fp+fn+tp AS n, side FROM cells, (VALUES ('lo'), ('hi')) s(side)),
+ halved AS (SELECT Segment, k, n, side, 0 AS step, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b FROM ends UNION ALL
+  SELECT Segment, k, n, side, step+1, CASE WHEN low THEN m ELSE a END, CASE WHEN low THEN b ELSE m END FROM (SELECT *,
+   CASE side WHEN 'lo' THEN tail < 0.025 ELSE tail > 0.025 END AS low FROM (SELECT *, (a+b)/2 AS m, list_sum(list_transform(
+    CASE side WHEN 'lo' THEN range(k, n+1) ELSE range(0, k+1) END,
+    lambda j: exp(lgamma(n+1)-lgamma(j+1)-lgamma(n-j+1)+j*ln((a+b)/2)+(n-j)*ln(1-(a+b)/2)))) AS tail FROM halved WHERE step < 60))),
+ bounds AS (SELECT Segment, max(CASE WHEN side='lo' THEN CASE WHEN k=0 THEN 0 ELSE (a+b)/2 END END) AS acc_lo,
+  max(CASE WHEN side='hi' THEN CASE WHEN k=n THEN 1 ELSE (a+b)/2 END END) AS acc_hi FROM halved WHERE step=60 GROUP BY 1)"""
+
+
+@check("clopper_pearson", "WITH RECURSIVE " + with_ctes(f"""SELECT Segment, tn, fp, fn, tp, {METRICS}, round(acc_lo,6) AS acc_exact_lo, round(acc_hi,6) AS acc_exact_hi,
+  round(greatest(0, centre-half),6) AS acc_wilson_lo, round(least(1, centre+half),6) AS acc_wilson_hi
+  FROM (SELECT *, (r+{Z}*{Z}/(2*m))/(1+{Z}*{Z}/m) AS centre, {Z}*sqrt(r*(1-r)/m+{Z}*{Z}/(4*m*m))/(1+{Z}*{Z}/m) AS half
+   FROM (SELECT *, CAST(tn+fp+fn+tp AS DOUBLE) AS m, (tn+tp)/(tn+fp+fn+tp) AS r FROM cells)) JOIN bounds USING (Segment)""", *v.RECORD_CTES, CONFUSION, _EXACT).removeprefix("WITH "))
 def clopper_pearson(spark, sf):
     metrics = cl.classification_metrics(v.scored_records(spark, sf), "gold", "label", ["Segment"])
     return cl.with_accuracy_intervals(metrics)

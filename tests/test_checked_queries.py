@@ -7,7 +7,7 @@ from checks import all_checks
 from tools.compare import compare, oracle_connection
 
 QUERIES, ORACLES = all_checks()
-ROWS_ONLY = {"clopper_pearson", "file_fingerprint", "bootstrap_rank_ci",
+ROWS_ONLY = {"file_fingerprint", "bootstrap_rank_ci",
              "baseline_models", "cv_models", "model_margins", "study_models"}
 
 
@@ -27,7 +27,7 @@ def test_query_matches_sql(spark, con, sf, name):
     assert outcome.startswith("ok"), outcome
 
 
-@pytest.mark.parametrize("name", ["clopper_pearson", "file_fingerprint", "bootstrap_rank_ci"])
+@pytest.mark.parametrize("name", ["file_fingerprint", "bootstrap_rank_ci"])
 def test_rows_only_queries_give_rows(spark, con, sf, name):
     assert compare(spark, con, name, QUERIES[name], None, sf).startswith("rows-only")
 
