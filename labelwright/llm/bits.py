@@ -34,21 +34,33 @@ def bit_filter(hashes: DataFrame, bits: int) -> list[tuple[int, bytes]]:
     return [(r[0], bytes(r[1])) for r in spots.repartition(min(segments, 64), "segment").mapInArrow(fill, "segment int, bits binary").collect()]
 
 
-def opened(segments: list[tuple[int, bytes]], bits: int):
-    """A function from an array of 64-bit numbers to the truth of being in the filter."""
+def opened(segments: list[tuple[int, bytes]], bits: int, *, twofold: bool = False):
+    """A function from an array of 64-bit numbers to the truth of being in the filter; ``twofold`` for those of ``repeated_filter``."""
     import numpy as np
 
     table = np.zeros(bits // 8, np.uint8)
     for k, packed in segments:
         table[k << 15:(k << 15) + len(packed)] = np.frombuffer(packed, np.uint8)
 
-    def within(hashes):
-        place = hashes.astype(np.uint64) & np.uint64(bits - 1)
+    def stands(place):
         return (table[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
+    def within(hashes):
+        hashes = hashes.astype(np.uint64)
+        first = stands(hashes & np.uint64(bits - 1))
+        return first & stands(_second(hashes, bits)) if twofold else first
+
     return within
 
 
+def _second(hashes, bits: int):
+    """Another place of a number, in the same piece of the filter, from the bits behind those of the first."""
+    import numpy as np
+
+    share = np.uint64(bits // PIECES)
+    return (hashes & np.uint64(bits - 1)) // share * share + ((hashes >> np.uint64(bits.bit_length() - 1)) & (share - np.uint64(1)))
+
+
 #: Pieces that the bits of a filter of repeated numbers are filled in.
 PIECES = 256
 #: Input partitions whose numbers one task may hold at a time.
@@ -56,10 +68,11 @@ TOGETHER = 64
 
 
 def repeated_filter(df: DataFrame, numbers, bits: int) -> list[tuple[int, bytes]]:
-    """Bit array, in segments as in ``bit_filter``, of the 64-bit numbers that two rows of ``df`` or more have.
+    """Bit array, in segments as in ``bit_filter``, of the 64-bit numbers that two rows of ``df`` or more have; each sets two bits.
 
-    ``numbers`` maps an Arrow batch of ``df`` to (row, number) arrays without repetitions inside a row. A task sends each
-    number twice at most, sorted and packed by place, so a number that every row has is 16 bytes per task, and no row is made per number.
+    ``numbers`` maps an Arrow batch of ``df`` to arrays of numbers without repetitions inside a row. A task sends each
+    number twice at most, sorted and packed by place, so a number that every row has is a few bytes per task, and no row is made per number. Six
+    bytes of each are sent: numbers that differ in the others only pass for one, which is a false hit like others.
     """
     import math
 
@@ -79,12 +92,12 @@ def repeated_filter(df: DataFrame, numbers, bits: int) -> list[tuple[int, bytes]
             thrice = np.concatenate(([False, False], found[2:] == found[:-2])) if len(found) > 2 else np.zeros(len(found), bool)
             found = found[~thrice]
             part = ((found & np.uint64(bits - 1)) // np.uint64(share)).astype(np.int64) * slices
-            part += ((found >> np.uint64(40)) % np.uint64(slices)).astype(np.int64)
+            part += ((found >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             found, part = found[order], part[order]
             at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             ends = np.append(at[1:], len(part))
-            yield pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array([found[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())],
+            yield pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array([found[a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())],
                                              names=["part", "packed"])
 
         for batch in batches:
@@ -105,11 +118,15 @@ def repeated_filter(df: DataFrame, numbers, bits: int) -> list[tuple[int, bytes]
         held, now = [], None
 
         def out():
-            found = np.sort(np.concatenate([np.frombuffer(h, np.uint64) for h in held]))
-            twice = found[1:][found[1:] == found[:-1]] & np.uint64(bits - 1)
+            sent = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 6)
+            found = np.zeros((len(sent), 8), np.uint8)
+            found[:, :6] = sent
+            found = np.sort(found.view("<u8").reshape(-1))
+            twice = found[1:][found[1:] == found[:-1]]
             piece = now // slices
             table = np.zeros(share, bool)
-            table[twice.astype(np.int64) - piece * share] = True
+            for place in (twice & np.uint64(bits - 1), _second(twice, bits)):
+                table[place.astype(np.int64) - piece * share] = True
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.packbits(table).tobytes()], pa.binary())], names=["piece", "bits"])
 
         for batch in batches:
