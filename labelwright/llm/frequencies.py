@@ -54,7 +54,7 @@ def pretoken_counts(rows: DataFrame, text_col: str, split: Callable[[], tuple[Ca
                     seen += len(text)
                     if seen > look:
                         seen = 0
-                        if sum(size_of(k, 0) for k in counts) > limit:
+                        if sum(map(size_of, counts)) > limit:
                             yield from out()
         yield from out()
 

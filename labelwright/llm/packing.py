@@ -14,7 +14,7 @@ GRAIN = 512
 #: Pieces balanced together.
 BLOCK = 2_048
 #: Bytes of chunks, and of words, that a worker remembers with their ids.
-REMEMBERED = 64_000_000
+REMEMBERED = 160_000_000
 
 
 def difference(sizes: list[int], ways: int) -> list[list[int]]:
