@@ -20,8 +20,6 @@ _WORD = r"\p{L}\p{N}_"
 NUMBER = (
     rf"(?<![{_WORD}.\-/])-?\p{{Nd}}[\p{{Nd}},]*(?:\.\p{{Nd}}+)?(?:[eE]-?\p{{Nd}}+)?(?![{_WORD}/])"
 )
-JSON_VALUE_TEXT = r'"value"\s*:\s*"((?:[^"\\]|\\.)*)"'
-JSON_NUMBER = r'"(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?'
 # --- end of fixed values ------------------------------------------------------------------
 
 
@@ -71,21 +69,23 @@ def printed(value: Column) -> Column:
 
 
 def value_forms(value: Column, micro: bool = True) -> Column:
-    """Every spelling a document may use for a stored number.
+    """The spellings in a text that a stored number backs.
 
-    Rounding stops at three decimals, and a value in (0, 1) is never offered with fewer. Tiny
-    values (below 1e-3) come in exponent form and, when ``micro`` and that is at least 1, in
-    millionths.
+    The fewer digits a spelling has, the more stored numbers it would fit, so what is offered goes by size: the number as stored always;
+    from a thousandth on three and four decimals, from one on also one and two, and none for whole numbers; nearer to zero, where
+    decimals tell numbers apart no longer, exponents with one and two digits, and with ``micro`` millionths where there is one at least.
     """
-    p, size = printed(value), F.abs(value)
-    none = F.array().cast("array<string>")
-    tiny = F.array(p["r"], p["e1"], p["e2"])
-    if micro:
-        tiny = F.concat(tiny, F.when(F.abs(value * F.lit(1e6)) >= 1, F.array(p["u2"], p["u3"])).otherwise(none))
-    large = F.when(size >= 1, F.array(p["f1"], p["f2"])).otherwise(none)
-    whole = F.when((value % 1 == 0) & (size < float("inf")), F.array(p["f0"])).otherwise(none)
-    usual = F.concat(F.array(p["r"], p["f3"], p["f4"]), large, whole)
-    return F.array_distinct(F.when((size > 0) & (size < 1e-3), tiny).otherwise(usual))
+    p, size, none = printed(value), F.abs(value), F.array().cast("array<string>")
+    near_zero = (size > 0) & (size < 1e-3)
+    offered = [
+        (F.lit(True), ("r",)),
+        (near_zero, ("e1", "e2")),
+        (near_zero & F.lit(micro) & (size * F.lit(1e6) >= 1), ("u2", "u3")),
+        (~near_zero, ("f3", "f4")),
+        (~near_zero & (size >= 1), ("f1", "f2")),
+        ((value % 1 == 0) & (size < float("inf")), ("f0",)),
+    ]
+    return F.array_distinct(F.concat(*[F.when(holds, F.array(*[p[k] for k in styles])).otherwise(none) for holds, styles in offered]))
 
 
 def token_forms(token: Column, percent: Column | None = None, micro: bool = True) -> Column:
@@ -107,6 +107,31 @@ def token_forms(token: Column, percent: Column | None = None, micro: bool = True
     return F.array_distinct(forms)
 
 
+def json_leaves(reports: DataFrame, json: str) -> DataFrame:
+    """Distinct leaves (key, kind, text) of a JSON text column: containers are opened level by level until none is left.
+
+    ``key`` is that of the entry that holds the leaf, null in arrays; ``kind`` the type the parser gave it. Malformed texts
+    have no leaves (see :func:`malformed`). The deepest document decides the number of passes.
+    """
+    level = reports.select(F.lit(None).cast("string").alias("key"), F.try_parse_json(json).alias("value")).filter("value IS NOT NULL")
+    leaves = None
+    while True:
+        kind = F.schema_of_variant("value")
+        container = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+        found = level.filter(~container).select("key", kind.alias("kind"), F.col("value").cast("string").alias("text")).distinct()
+        leaves = found if leaves is None else leaves.unionByName(found)
+        inner = level.filter(container).select("value").alias("outer")
+        opened = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("outer.value").outer()).alias("inner"))
+        level = pin(opened.select(F.col("inner.key").alias("key"), F.col("inner.value").alias("value")))
+        if level.isEmpty():
+            return leaves.distinct()
+
+
+def malformed(reports: DataFrame, json: str) -> DataFrame:
+    """The rows whose text is not JSON: a report that cannot be read backs nothing, and should be looked at."""
+    return reports.filter(F.col(json).isNotNull() & F.try_parse_json(json).isNull())
+
+
 def known_numbers(reports: DataFrame, json: str) -> DataFrame:
     """Distinct spellings (``form``) backed by the numeric leaves of a JSON text column.
 
@@ -114,16 +139,16 @@ def known_numbers(reports: DataFrame, json: str) -> DataFrame:
     ``"value"`` entry counts. Integers back only their own spelling, fractions all of
     :func:`value_forms`.
     """
-    parts = F.regexp_extract_all(F.col(json), F.lit(f"(?:{JSON_VALUE_TEXT}|{JSON_NUMBER})"), F.lit(0))
-    leaf = reports.select(F.explode(parts).alias("leaf")).distinct()
-    text = F.col("leaf")
-    number = leaf.filter(~text.startswith('"'))
-    whole = F.regexp_like(text, F.lit(r"^-?\d+$"))
-    plain = number.filter(whole).select(text.alias("form"))
-    fraction = number.filter(~whole).select(F.explode(value_forms(text.try_cast("double"))).alias("form"))
-    quoted = leaf.select(F.regexp_extract(text, f"^{JSON_VALUE_TEXT}$", 1).alias("v")).filter("v != ''")
-    edited = quoted.select(F.explode(token_forms(F.col("v"))).alias("form"))
-    return plain.union(fraction).union(edited).distinct()
+    leaf = pin(json_leaves(reports, json))
+    kind, text = F.col("kind"), F.col("text")
+    # whole numbers beyond 64 bits are decimals of more digits than a fraction's text keeps
+    digits = F.regexp_extract(kind, r"^DECIMAL\((\d+),0\)$", 1).try_cast("int")
+    whole = (kind == "BIGINT") | F.coalesce(digits > 18, F.lit(False))
+    fraction = ~whole & (F.startswith(kind, F.lit("DECIMAL")) | kind.isin("DOUBLE", "FLOAT"))
+    plain = leaf.filter(whole).select(text.alias("form"))
+    spelled = leaf.filter(fraction).select(F.explode(value_forms(text.try_cast("double"))).alias("form"))
+    edited = leaf.filter((kind == "STRING") & (F.col("key") == "value") & (text != "")).select(F.explode(token_forms(text)).alias("form"))
+    return plain.union(spelled).union(edited).distinct()
 
 
 def allowlist_numbers(lines: DataFrame, line: str) -> DataFrame:

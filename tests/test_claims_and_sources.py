@@ -113,6 +113,16 @@ def test_fingerprints_match_hashlib_and_manifests(spark, tmp_path):
     assert status == {"a.bin": "same", "b.bin": "new", "d.bin": "missing"}
 
 
+def test_leaves_are_read_by_structure(spark):
+    texts = ['[[1, [2, {"deep": [[3.50]]}]], {"a\\"value": "12", "b": {"value": "1,234"}}]', '{"note": "has 77 and \\"value\\": \\"88\\"", "value": true}',
+             '{"value": ["9"], "value": {"value": "0.07"}}', "{bad 55", None, "", "41", '{"big": 123456789012345678901234567890, "e": 2e-5, "n": null}', "[]"]
+    reports_ = spark.createDataFrame([(t,) for t in texts], "j string")
+    forms = {r.form for r in cc.known_numbers(reports_, "j").collect()}
+    assert {"1", "2", "3.500", "3.50", "3.5", "1234", "41", "123456789012345678901234567890", "2e-05", "2.0e-05", "20.00"} <= forms
+    assert not forms & {"12", "77", "88", "9", "55", "true", "null", "3"}
+    assert {r.j for r in cc.malformed(reports_, "j").collect()} >= {"{bad 55"}
+
+
 def test_files_are_hashed_in_chunks_wherever_they_are_cut(spark, tmp_path):
     data = {"cut.bin": b"abc\r\ndef\r\r\n\r", "empty.bin": b"", "one.bin": b"\r\n" * 50, "deep/x.bin": b"\n\r", "other.txt": b"no"}
     (tmp_path / "deep").mkdir()
