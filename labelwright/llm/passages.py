@@ -269,7 +269,13 @@ def shared_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     forget(keys)
     release(rows.sparkSession)
     texts = pin(_texts_of(rows, pin(meeting.select("key").distinct()), reach, filter_bits), "zstd")
-    classes, _ = linked_classes(meeting, lambda pairs: verify_texts(pairs, texts, SHINGLE), threshold)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        found = pin(verify_texts(pairs, texts, SHINGLE))
+        release(rows.sparkSession)  # of the shuffled texts
+        return found
+
+    classes, _ = linked_classes(meeting, verify, threshold)
     forget(texts, meeting)
     release(rows.sparkSession)
     named = pin(places.join(classes, "key", "left").select(F.coalesce("comp", "key").alias("class"), "doc_id", "mark", "w", "c"), "zstd")
