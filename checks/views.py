@@ -94,7 +94,8 @@ TEXTS_SQL = f"texts AS (SELECT *, {_RENDERED} AS text FROM records)"
 
 
 def texts_table(spark: SparkSession, sf: str) -> DataFrame:
-    return render(records_table(spark, sf), RECORDS.fields)
+    # every text becomes many probes, whatever the join with the customers made of the partitions
+    return render(spread(records_table(spark, sf), read(spark, sf, "orders").count()), RECORDS.fields)
 
 
 def answer_of(text: str = "text", row_id: str = "row_id"):
