@@ -90,3 +90,64 @@ def test_duplicate_keys_and_unknown_cohorts_are_refused(records):
         apply_plan(records, [e, e], {"all": F.lit(True)})
     with pytest.raises(ValueError, match="undefined"):
         apply_plan(records, [e], {})
+
+
+def test_first_steps_equal_single_edits(spark):
+    from labelwright.operators import edits as ed
+
+    texts = ["a: 1\nb: 2\nc: 3", "b: x\nb: y\na: \nc:", "c: 1\na: b: 2\nb: é z", "a: 1\nb: 2\nc: 3\nc: 4"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id int, text string")
+    plan = [ed.Edit("set_a", "g", "all", (ed.set_to("a", "9"),)), ed.Edit("set_b", "g", "all", (ed.set_to("b", " 8 "),)),
+            ed.Edit("both", "g", "all", (ed.set_to("b", "7"), ed.set_to("a", "6"))), ed.Edit("none", "g", "all", ()),
+            ed.Edit("drop", "g", "all", (*ed.drop("b"), ed.Step("append", "", "end"))), ed.Edit("named", "g", "all", (ed.Step("rename", "b", "d"),)),
+            ed.Edit("order", "g", "all", (ed.reorder("cab"),)), ed.Edit("other", "g", "all", (ed.reorder("bca"), ed.set_to("c", "5"))),
+            ed.Edit("two", "g", "all", (ed.reorder("ab"),)), ed.Edit("absent", "g", "all", (ed.set_to("z", "1"),))]
+    got = {(r.probe_key, r.row_id): r.text for r in ed.apply_plan(df, plan, {"all": F.lit(True)}, on_error="null").collect()}
+    assert len(got) == len(plan) * len(texts)
+    for e in plan:
+        for r in ed.edit_column(df, "text", e.steps, "after", on_error="null").collect():
+            assert got[e.key, r.row_id] == r.after, e.key
+    # the lookups in a text stand before the explosion: once per record, not once per probe
+    assert ed._prepared(plan) == (["a", "b", "z"], [("a", "b", "c"), ("a", "b")])
+
+
+def test_tails_are_cut_out_as_the_pattern_matches_them(spark):
+    from labelwright.functions import text as tx
+
+    texts = ["N: 1", "a\nN:", "N: 1\nN: 2", "N: 1\n N : 3\nb", "b: N: 2", "N: see N:", "xN: 1", "N", "", None, "N:1\n\tN", "N: é\r\nN : \n", "a: N\nN:4\nc"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("after", tx.after_line(F.col("t"), "N"))
+    for r in df.select("t", tx.last_line_tail(F.col("t"), "N").alias("a"), tx.last_line_tail(F.col("t"), "N", F.col("after")).alias("b")).collect():
+        assert r.a == r.b, r.t
+
+
+def test_only_rows_near_the_first_are_ordered(spark):
+    from labelwright.operators import splits
+
+    df = spark.range(20_000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 20_011).alias("o"), F.col("id").cast("string").alias("v"))
+    odd = spark.createDataFrame([(7, 5, "a"), (7, 5, "a"), (8, None, "n"), (None, 1, "x")], "g bigint, o bigint, v string")
+    both = df.unionByName(odd)
+    assert splits._near_first(both, ["g"], "o", 4).filter("g < 3").count() < 300
+    few = {r.g: r.examples for r in splits.examples(both, ["g"], "o", "v", 4, few_groups=True).collect()}
+    assert few == {r.g: r.examples for r in splits.examples(both, ["g"], "o", "v", 4).collect()} and len(few) == 6
+
+
+def test_tasks_of_probes_do_not_grow_with_the_table(spark, monkeypatch):
+    from checks import views
+    from labelwright import session
+
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").count()
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    plan = ps.line_shuffles(views.RECORDS)
+    assert ps.build_probes(views.texts_table(spark, sf), views.RECORDS, plan).rdd.getNumPartitions() >= orders / 50
+
+
+def test_answers_by_place_equal_the_pattern(spark):
+    import re
+
+    texts = ["a: x", "Delay_b: 1", "Delay_b: heavy", "a: DELAYed", "delay\na: 1", "delay: delay", "x: a\n:heav", "heav\nb: 1\nDelay: c", "", None,
+             "delay delay\nq: 1", "é: dElAy", "delay\n\nheav: heav", "a\r: delay"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", keyword_answer(F.col("t"), "T", ("delay", "Heav")).alias("a"), keyword_answer(F.col("t"), "T", ("kilo", "delay|heav")).alias("b")).collect():
+        plain = r.t is not None and any(re.search("delay|heav", ln.partition(":")[2], re.I) for ln in r.t.split("\n"))
+        assert r.a == r.b == f"T: {int(plain)}", r.t
