@@ -132,3 +132,31 @@ def test_time_parts_and_variants(spark):
     assert cats["default"] == LOGISTICS.categorical
     assert cats["without_rule_fields_and_reason"] == ("Asset_ID",)
     assert cats["without_rule_fields_plus_time"][-3:] == md.TIME_PARTS
+
+
+def test_equal_training_rows_are_fitted_once_with_a_weight(spark, monkeypatch):
+    """A table of copies gives the models of one of its copies, from as many training rows, in tasks of bounded size."""
+    from labelwright.operators import models as md
+
+    one = spark.range(600).selectExpr("id", "cast(id % 7 as double) AS x", "if(id % 11 = 0, NULL, cast(id % 5 as double)) AS z",
+                                      "cast(id % 3 AS string) AS c", "cast(id % 7 + id % 3 > 4 OR id % 13 = 0 AS int) AS y")
+    many = one.crossJoin(spark.range(20).selectExpr("id AS copy"))
+    specs = [md.ModelSpec("l", "logistic", ("x", "z"), ("c",)), md.ModelSpec("t", "tree", ("x", "z"), ("c",))]
+    seen, fit = [], md.fit
+
+    def counted(prepared, *args):
+        seen.append((prepared.count(), prepared.rdd.getNumPartitions()))
+        return fit(prepared, *args)
+
+    monkeypatch.setattr(md, "fit", counted)
+    monkeypatch.setattr(md, "FIT_ROWS", 10)
+    got = md.fit_and_score(many, one, specs, "y", ["id"]).toPandas().sort_values(["model", "id"])
+    cells = one.select("x", "z", "c", "y").distinct().count()
+    assert cells < 600 and all(n <= cells and parts >= n / 10 for n, parts in seen)
+    # the same rows, each for itself and scaled by Spark's own scaler
+    enc = md.learn_encoding(many, ["x", "z"], ["c"])
+    assert enc.rows == 12_000 and enc == md.replace(md.learn_encoding(md.distinct_rows(many, ["x", "z", "c"]), ["x", "z"], ["c"], weight=md.COPIES), levels=enc.levels)
+    plain = [md.score(fit(md.prepare(many, enc, ["x", "z"], ["c"]), enc, s, "y"), s, md.prepare(one, enc, ["x", "z"], ["c"]), ["id"]) for s in specs]
+    want = plain[0].unionByName(plain[1]).toPandas().sort_values(["model", "id"])
+    assert (got["pred"].to_numpy() == want["pred"].to_numpy()).all()
+    assert abs(got["p1"].to_numpy() - want["p1"].to_numpy()).max() < 1e-4
