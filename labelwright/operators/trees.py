@@ -47,26 +47,29 @@ def _best_splits(cells: DataFrame, **limits: int) -> DataFrame:
     return best.join(after, ["f", "node"], "left").select("f", "node", F.col("s").withField("x", middle).cast(_SPLIT).alias("s"))
 
 
-def fit_trees(rows: DataFrame, texts: Sequence[str], numbers: Sequence[str], k: int, depth: int, **limits: int) -> dict[tuple[int, int], dict]:
+def fit_trees(rows: DataFrame, texts: Sequence[str], numbers: Sequence[str], k: int, depth: int, *, weight: str | None = None,
+              **limits: int) -> dict[tuple[int, int], dict]:
     """The splits of ``k`` trees, tree f fitted on the rows of all folds but f: {(f, node): split}. Nodes are 1, then 2i and 2i + 1.
 
-    ``rows`` (fold, y, ``texts``, ``numbers``; no nulls) are read once per level: the rows of a value count once for all trees, by
-    their fold and the node that each tree puts them in, and only these counts are dealt out to the trees.
+    ``rows`` (fold, y, ``texts``, ``numbers``; no nulls), each standing for ``weight`` rows, are read once per level: the rows of a value count
+    once for all trees, by their fold and the node that each tree puts them in, and only these counts are dealt out to the trees.
     """
     columns = [*numbers, *texts]
     trees: dict[tuple[int, int], dict] = {}
+    copies = F.col(weight) if weight else F.lit(1).cast("bigint")
     for level in range(depth):
         at = F.array(*[node_of(f, trees, columns, level) for f in range(k)])
-        placed = rows.select("fold", "y", at.alias("at"), *columns)
+        placed = rows.select("fold", "y", copies.alias("_n"), at.alias("at"), *columns)
         parts = []
         for names, kind in ((texts, "v"), (numbers, "x")):
             if names:
-                long = placed.select("fold", "y", "at", *names).unpivot(["fold", "y", "at"], list(names), "c", "value")
-                parts.append(long.select("fold", "y", "at", "c", (F.col("value") if kind == "v" else F.lit(None)).cast("string").alias("v"),
+                long = placed.select("fold", "y", "_n", "at", *names).unpivot(["fold", "y", "_n", "at"], list(names), "c", "value")
+                parts.append(long.select("fold", "y", "_n", "at", "c", (F.col("value") if kind == "v" else F.lit(None)).cast("string").alias("v"),
                                          (F.col("value") if kind == "x" else F.lit(None)).cast("double").alias("x")))
         long = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("c")).cast("int")
-        counts = pin(long.groupBy("fold", "at", "c", "v", "x").agg(F.count("*").alias("n"), F.sum("y").alias("p")).withColumn("c", place))
+        counts = pin(long.groupBy("fold", "at", "c", "v", "x").agg(
+            F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("y")).alias("p")).withColumn("c", place))
         dealt = counts.select("fold", F.posexplode("at").alias("f", "node"), "c", "v", "x", "n", "p").filter("f != fold")
         cells = pin(dealt.groupBy("f", "node", "c", "v", "x").agg(F.sum("n").alias("n"), F.sum("p").alias("p")))
         found = {(r["f"], r["node"]): r["s"].asDict() for r in _best_splits(cells, **limits).collect()}  # k times 2^level at most
@@ -101,9 +104,10 @@ def _answer(f: int, trees: dict, columns: Sequence[str], default: int, node: int
         _answer(f, trees, columns, miss, 2 * node))
 
 
-def filled_columns(df: DataFrame, texts: Sequence[str], numbers: Sequence[str], missing: str) -> list[Column]:
-    """Text and number columns without nulls: missing numbers (null and NaN) are the median of the table, 0 where there is none."""
-    middle = grouped_median(df.select(*numbers), [], list(numbers)).first() if numbers else None
+def filled_columns(df: DataFrame, texts: Sequence[str], numbers: Sequence[str], missing: str, weight: str | None = None) -> list[Column]:
+    """Text and number columns without nulls: missing numbers (null and NaN) are the median of the table, whose rows count ``weight``
+    times, 0 where there is none."""
+    middle = grouped_median(df, [], list(numbers), weight=weight).first() if numbers else None
     out = [F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias(c) for c in texts]
     for c in numbers:
         value = F.col(c).cast("double")
@@ -117,16 +121,21 @@ def tree_cv(df: DataFrame, target: str, keys: Sequence[str], *, depth: int = 2,
     """Cross-validated accuracy of a shallow tree on all input columns (``keys`` are not inputs): depth, folds, acc_mean, acc_min.
 
     The tree is exact: every value of a text column and every gap between two numbers is tried, by Gini impurity, level
-    by level. Folds are stratified and seeded. An empty table has no folds.
+    by level. Folds are stratified and seeded. An empty table has no folds. Rows that are equal in fold, target and inputs are
+    one row with a count from here on.
     """
     texts, numbers = column_roles(df.drop(*keys), target)
     folded = stratified_folds(df, target, keys, k, 1, seed)
-    rows = pin(folded.select(F.col("fold_0").alias("fold"), F.col(target).cast("bigint").alias("y"), *filled_columns(df, texts, numbers, missing)))
     columns = [*numbers, *texts]
-    trees = fit_trees(rows, texts, numbers, k, depth, **limits)
-    sizes = {r["fold"]: (r["n"], r["p"]) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("p")).collect()}
+    cells = pin(folded.groupBy(F.col("fold_0").alias("_fold"), F.col(target).cast("bigint").alias("_y"), *columns).agg(F.count("*").alias("_n")))
+    rows = pin(cells.select(F.col("_fold").alias("fold"), F.col("_y").alias("y"), "_n",
+                            *filled_columns(cells, texts, numbers, missing, "_n")))
+    trees = fit_trees(rows, texts, numbers, k, depth, weight="_n", **limits)
+    sizes = {r["fold"]: (r["n"], r["p"]) for r in rows.groupBy("fold").agg(
+        F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("y")).alias("p")).collect()}
     n, p = (sum(s[i] for s in sizes.values()) for i in (0, 1))
     answers = [_answer(f, trees, columns, int(2 * (p - sizes.get(f, (0, 0))[1]) > n - sizes.get(f, (0, 0))[0])) for f in range(k)]
-    told = rows.select("fold", "y", F.get(F.array(*answers), "fold").alias("pred"))
-    per_fold = told.groupBy("fold").agg(ratio(F.count_if(F.col("y") == F.col("pred")), F.count("*")).alias("acc"))
+    told = rows.select("fold", "y", "_n", F.get(F.array(*answers), "fold").alias("pred"))
+    right = F.coalesce(F.sum(F.when(F.col("y") == F.col("pred"), F.col("_n"))), F.lit(0))
+    per_fold = told.groupBy("fold").agg(ratio(right, F.sum("_n")).alias("acc"))
     return per_fold.agg(F.lit(depth).alias("depth"), F.count("*").alias("folds"), F.avg("acc").alias("acc_mean"), F.min("acc").alias("acc_min"))

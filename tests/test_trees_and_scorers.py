@@ -134,3 +134,23 @@ def test_line_weights_equal_plain_arithmetic(spark):
     m = prior + weights["a: 0"] + weights["b: 2"]
     got = scored["a: 0\nb: 2"]
     assert got.margin == pytest.approx(m) and got.p1 == pytest.approx(1 / (1 + exp(-m))) and got.label == int(m > 0)
+
+
+def test_trees_read_equal_rows_once(spark, monkeypatch):
+    from labelwright.operators import trees
+
+    df = spark.range(6_000).selectExpr("id", "cast(id % 3 AS string) AS s", "if(id % 9 = 4, NULL, cast(id % 5 AS double)) AS x",
+                                       "cast(id % 5 > 2 OR id % 17 = 0 AS int) AS y")
+    seen, fit = [], trees.fit_trees
+
+    def counted(rows, *args, **options):
+        seen.append(rows.count())
+        plain = rows.select("fold", "y", "s", "x", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i")).drop("_i")
+        assert plain.count() == 6_000
+        found = fit(rows, *args, **options)
+        assert found == fit(plain, *args)
+        return found
+
+    monkeypatch.setattr(trees, "fit_trees", counted)
+    row = trees.tree_cv(df, "y", ["id"]).first()
+    assert row.folds == 5 and 0.9 < row.acc_mean < 1 and seen[0] <= 5 * 2 * 3 * 6
