@@ -20,6 +20,11 @@ HEAD = 100_000
 REMEMBERED = 32_000_000
 #: Bytes from which on a word takes the linked-list merge, whose cost does not grow with the square.
 LONG = 64
+#: Bytes of texts that are encoded at a time; no text is cut.
+BLOCK = 1_500_000
+#: Fixed value: the pattern in which an ASCII chunk of letters, and a mark behind them, need no search.
+PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MARKS = frozenset(".,;:!?")
 #: Fixed value: white space of the pattern's engine.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -140,6 +145,79 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[at:stop[at]]] for at in range(end) if stop[at]]
 
 
+def pair_table(ranks: dict[bytes, int]):
+    """(keys, ranks, bytes, two): every two pieces that make a piece, as first rank << 32 | second rank, in order, and what they make;
+    the rank of every byte, and of every two bytes (2^31 - 1: none)."""
+    import numpy as np
+
+    pairs = sorted((first << 32 | second, rank) for piece, rank in ranks.items() for k in range(1, len(piece))
+                   if (first := ranks.get(piece[:k])) is not None and (second := ranks.get(piece[k:])) is not None)
+    two = np.full(1 << 16, 2**31 - 1, np.int64)
+    for piece, rank in ranks.items():
+        if len(piece) == 2:
+            two[piece[0] << 8 | piece[1]] = rank
+    return np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64), np.array([ranks[bytes([b])] for b in range(256)], np.int64), two
+
+
+def merge_many(words: list[bytes], table) -> list[bytes]:
+    """The same merges for many words that are no pieces, none empty, all together: ids of each, little-endian 32-bit.
+
+    A row of arrays is a word, a step merges the first pair of least rank of every word that has one. ``table`` is
+    ``pair_table``. Words of like length go together, since a row is as wide as the longest.
+    """
+    import numpy as np
+
+    if not words:
+        return []
+    keys, made, single, two = table
+    none, nothing = 2**31 - 1, np.int64(2**31 - 2)
+
+    def pair_rank(first, second):
+        key = first << 32 | second
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, made[at], none) if len(keys) else np.full(len(key), none)
+
+    size = np.array([len(w) for w in words])
+    order = np.argsort(size, kind="stable")
+    out: list = [b""] * len(words)
+    for start in range(0, len(order), 4096):
+        group = order[start:start + 4096]
+        length, wide = size[group], int(size[group[-1]])
+        inside = np.arange(wide) < length[:, None]
+        # the column behind the last is what a first piece has before it, and a last one behind it: it makes no pair
+        raw = np.zeros((len(group), wide), np.int64)
+        raw[inside] = np.frombuffer(b"".join([words[k] for k in group.tolist()]), np.uint8)
+        piece = np.full((len(group), wide + 1), nothing)
+        piece[:, :wide][inside] = single[raw[inside]]
+        place = np.arange(wide)
+        after = np.where(place + 1 < length[:, None], place + 1, wide)
+        before = np.broadcast_to(np.where(place > 0, place - 1, wide), after.shape).copy()
+        after, before = (np.pad(x, ((0, 0), (0, 1)), constant_values=wide) for x in (after, before))
+        alive = inside.copy()
+        rank = np.full((len(group), wide + 1), none)
+        rank[:, :wide - 1][inside[:, 1:]] = two[raw[:, :-1] << 8 | raw[:, 1:]][inside[:, 1:]]
+        row = np.arange(len(group))
+        while len(row):
+            least = rank[row, :wide]
+            at = least.argmin(1)
+            least = least[np.arange(len(row)), at]
+            more = least < none
+            row, at, least = row[more], at[more], least[more]
+            gone = after[row, at]
+            behind, ahead = after[row, gone], before[row, at]
+            piece[row, at] = least
+            alive[row, gone] = False
+            after[row, at], before[row, behind] = behind, at
+            rank[row, gone] = none
+            rank[row, at] = pair_rank(least, piece[row, behind])
+            rank[row, ahead] = pair_rank(piece[row, ahead], least)
+        ids = piece[:, :wide][alive].astype("<u4").tobytes()
+        ends = np.cumsum(alive.sum(1)) * 4
+        for k, a, z in zip(group.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            out[k] = ids[a:z]
+    return out
+
+
 def _chunker(pattern: str):
     """(chunks, words): chunks of a text that the pattern never crosses, and the pattern's matches in a chunk.
 
@@ -151,15 +229,107 @@ def _chunker(pattern: str):
     import regex
 
     chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-    inside = regex.compile(pattern).findall
-    return chunks, inside
+    search = regex.compile(pattern).findall
+
+    def inside(chunk: str) -> list[str]:
+        if chunk.isascii():
+            body = chunk[1:] if chunk[:1] == " " else chunk
+            if body.isalpha():
+                return [chunk]
+            if body[-1:] in MARKS and body[:-1].isalpha():
+                return [chunk[:-1], body[-1]]
+        return search(chunk)
+
+    return chunks, inside if pattern == PLAIN else search
+
+
+def _blocks(texts):
+    """Slices of a column of texts (null: empty), about ``BLOCK`` bytes each."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64).tolist()
+    at, held = 0, 0
+    for k, end in enumerate(ends):
+        if end - held >= BLOCK or k == len(ends) - 1:
+            yield texts.slice(at, k + 1 - at).cast(pa.large_string())
+            at, held = k + 1, end
+
+
+def cut_block(texts, chunks):
+    """(distinct chunks, place among them of each chunk of the texts in a row, first chunk of each text and the end), each chunk
+    one that the pattern never crosses.
+
+    Texts are cut before every blank (U+0020). Where white space stands before a blank, matches may begin there: such texts are
+    cut by ``chunks``.
+    """
+    import re
+
+    import numpy as np
+    import pyarrow.compute as pc
+
+    parts = pc.split_pattern(texts, " ")
+    coded = parts.flatten().dictionary_encode()
+    known, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+    edges = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    head, tail = edges[:-1], edges[1:] - 1
+    white = re.compile(f"[{WHITE}]").match
+    white = {c: white(c) is not None for c in {p[-1:] for p in known} if c} | {"": True}
+    blank = np.array([white[p[-1:]] for p in known], bool)[index]
+    # an empty part at the start or the end is no white space before a blank
+    blank[head] &= np.array([bool(p) for p in known], bool)[index[head]]
+    blank[tail] = False
+    starts, place = np.unique(index[head], return_inverse=True)
+    index[head] = len(known) + place
+    found = [" " + p for p in known] + [known[k] for k in starts.tolist()]
+    odd = np.flatnonzero(np.logical_or.reduceat(blank, head))
+    if len(odd):
+        cut = [chunks(texts[k].as_py()) for k in odd.tolist()]
+        where: dict = {}
+        own = [np.array([where.setdefault(c, len(found) + len(where)) for c in one], np.int64) for one in cut]
+        found += where
+        pieces, last = [], 0
+        sizes = np.diff(edges)
+        for k, one in zip(odd.tolist(), own, strict=True):
+            pieces += [index[last:edges[k]], one]
+            last, sizes[k] = edges[k + 1], len(one)
+        index = np.concatenate([*pieces, index[last:]])
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+    return found, index, edges
+
+
+def joined(values, index, edges) -> list[bytes]:
+    """The bytes of ``values`` (an Arrow array) at ``index``, joined from one of ``edges`` to the next."""
+    import numpy as np
+    import pyarrow as pa
+
+    taken = values.take(pa.array(index))
+    _, offsets, data = taken.buffers()
+    stops = np.frombuffer(offsets, np.int64)[taken.offset + np.asarray(edges)].tolist()
+    data = memoryview(data) if data is not None else memoryview(b"")
+    return [data[a:z].tobytes() for a, z in zip(stops, stops[1:], strict=False)]
 
 
 def common_words(docs: DataFrame, encode, pattern: str, head: int) -> dict[str, bytes]:
     """Ids (little-endian 32-bit) of the ``head`` commonest words of the corpus, each encoded once by the fold."""
     if not head:
         return {}
-    counts = pin(pretoken_counts(docs, "text", lambda: _chunker(pattern)), "snappy")
+
+    def split():
+        import numpy as np
+
+        chunks, inside = _chunker(pattern)
+
+        def cut(texts):
+            for block in _blocks(texts):
+                found, index, _ = cut_block(block, chunks)
+                yield found, np.bincount(index, minlength=len(found)).tolist()
+
+        return cut, inside
+
+    counts = pin(pretoken_counts(docs, "text", split, whole_batches=True), "snappy")
     found = commonest(counts, head).select("token")
     # spread the words, so that the fold runs in all tasks
     encoded = found.repartition(docs.sparkSession.sparkContext.defaultParallelism).select("token", encode(F.encode("token", "UTF-8")).alias("ids"))
@@ -181,38 +351,46 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, head: in
     Each match of ``pattern`` is encoded by itself, without special tokens. The commonest words are encoded
     once for all documents by the fold over ranked merges, a table of bounded size that every task holds. Rarer words
     take the same merges in the task that meets them, which remembers a bounded number of them; from ``LONG`` bytes on by a
-    linked list. So no text is sent anywhere. Null text is empty: no ids. Repeated rows and ids are rows like
+    linked list, shorter ones many at a time. So no text is sent anywhere. Null text is empty: no ids. Repeated rows and ids are rows like
     others; an empty table gives an empty result; other columns are ignored.
     """
     rows = take(docs, id_col, text_col).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     ranks = read_ranks(ranks_path)
     own = md5(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast((common_words(rows, fold_merges(ranks), pattern, head), ranks))
+    shared = docs.sparkSession.sparkContext.broadcast((common_words(rows, fold_merges(ranks), pattern, head), ranks, pair_table(ranks)))
 
     def encode(batches: Iterator) -> Iterator:
         from array import array
 
         import pyarrow as pa
 
-        (common, ranked), (chunks, inside) = shared.value, _chunker(pattern)
-
-        def merged(word: str) -> bytes:
-            raw = word.encode()
-            return array("I", (merge_short if len(raw) < LONG else merge_long)(raw, ranked)).tobytes()
+        (common, ranked, table), (chunks, inside) = shared.value, _chunker(pattern)
+        rare = worker_state(f"byte_bpe_words_{own}", lambda: Memory(None, REMEMBERED))
+        known = worker_state(f"byte_bpe_chunks_{own}", lambda: Memory(None, REMEMBERED))
 
-        def of_word(word: str) -> bytes:
-            found = common.get(word)
-            return rare[word] if found is None else found
+        def ids_of(found: list[str]) -> list[bytes]:
+            """Ids of each chunk; rarer words that none remembers are merged together."""
+            new = {c: inside(c) for c in found if c not in known}
+            words = {w: rare.get(w) for ws in new.values() for w in ws if w not in common}
+            merge = {w: w.encode() for w, ids in words.items() if ids is None}
+            short = [w for w, raw in merge.items() if len(raw) < LONG and raw not in ranked]
+            words |= zip(short, merge_many([merge[w] for w in short], table), strict=True)
+            words |= {w: array("I", merge_long(merge[w], ranked)).tobytes() for w in merge if words[w] is None}
+            made = {c: b"".join([common[w] if w in common else words[w] for w in ws]) for c, ws in new.items()}
+            out = [made[c] if c in made else known[c] for c in found]
+            for memory, fresh in ((rare, {w: words[w] for w in merge}), (known, made)):
+                for key, ids in fresh.items():
+                    memory.keep(key, ids)
+            return out
 
-        rare = worker_state(f"byte_bpe_words_{own}", lambda: Memory(merged, REMEMBERED))
-        known = worker_state(f"byte_bpe_chunks_{own}", lambda: Memory(None, REMEMBERED))
-        known.make = lambda chunk: b"".join(map(of_word, inside(chunk)))
         for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
-                out = [b"".join(map(known.__getitem__, chunks(t.as_py() or ""))) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+            at = 0
+            for texts in _blocks(batch.column(1)):
+                found, index, edges = cut_block(texts, chunks)
+                out = joined(pa.array(ids_of(found), pa.large_binary()), index, edges)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(out)), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+                at += len(out)
 
     return rows.mapInArrow(encode, f"doc_id {kind}, ids binary")
 
@@ -220,17 +398,23 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, head: in
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``encoded`` (doc_id, ids) plus ``decoded``, the concatenated pieces of the ids."""
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    shared = encoded.sparkSession.sparkContext.broadcast({r: p for p, r in read_ranks(ranks_path).items()})
+    ranks = read_ranks(ranks_path)
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    shared = encoded.sparkSession.sparkContext.broadcast(pieces)
 
     def decode(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        piece = shared.value.__getitem__
+        values = pa.array(shared.value, pa.large_binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
-                out = [b"".join(map(piece, np.frombuffer(ids.as_py(), "<u4").tolist())) for ids in part.column(1)]
+                ids = part.column(1).to_pylist()
+                edges = np.cumsum([0, *[len(i) // 4 for i in ids]])
+                out = joined(values, np.frombuffer(b"".join(ids), "<u4"), edges)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, ids binary, decoded binary")

@@ -15,10 +15,11 @@ HELD, LOOK = 48_000_000, 2_000_000
 HEAD_CHARS = 64
 
 
-def pretoken_counts(rows: DataFrame, text_col: str, split: Callable[[], tuple[Callable, Callable | None]]) -> DataFrame:
+def pretoken_counts(rows: DataFrame, text_col: str, split: Callable[[], tuple[Callable, Callable | None]], *, whole_batches: bool = False) -> DataFrame:
     """(token, freq) over all rows. ``split()`` is called once per task and gives (cut, expand).
 
-    ``cut`` takes a text into parts, which are counted; ``expand`` takes a distinct part into its tokens, or is
+    ``cut`` takes a text into parts, which are counted; with ``whole_batches`` it takes a column of texts into (distinct parts,
+    times of each) of blocks of them. ``expand`` takes a distinct part into its tokens, or is
     None where parts are tokens. Each task counts locally, so a token in every text is one short row per task.
     """
     limit, look = HELD, LOOK
@@ -48,6 +49,20 @@ def pretoken_counts(rows: DataFrame, text_col: str, split: Callable[[], tuple[Ca
                     keys, times = [], []
 
         for batch in batches:
+            if whole_batches:
+                for parts, times in cut(batch.column(0)):
+                    for part, n in zip(parts, times, strict=True):
+                        if n:
+                            old = counts.get(part)
+                            if old is None:
+                                seen += size_of(part)
+                                counts[part] = n
+                            else:
+                                counts[part] = old + n
+                    if seen > limit:
+                        seen = 0
+                        yield from out()
+                continue
             for text in batch.column(0):
                 if text := text.as_py():
                     counts.update(cut(text))
