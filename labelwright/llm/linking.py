@@ -5,17 +5,19 @@ Sets are known by a key; ``kind`` of key is free. Used with different signatures
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pin
+from .common import forget, pin
 
 #: Blanks between words, and words of a shingle.
 BLANK = r"[\x20\x09-\x0D]+"
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Counters of how common shingles are; shingles that share one only look commoner than they are.
+COUNTERS = 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -45,7 +47,9 @@ def crowded(cells: DataFrame) -> DataFrame:
     counts = cells.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     rows = pin(cells.join(counts, "bucket"))
     popular = pin(rows.groupBy("key").agg(F.sum("n").alias("popularity")))
-    return pin(rows.select("bucket", "key").join(popular, "key"))
+    told = pin(rows.select("bucket", "key").join(popular, "key"))
+    forget(rows, popular)
+    return told
 
 
 def hubs(rows: DataFrame) -> DataFrame:
@@ -72,19 +76,54 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def rare_shingles(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, token): of ``sets`` (key, tokens), distinct tokens written down, the rarest of each, as many as two similar sets need to share one.
+
+    Similar sets have at least ``threshold`` of the larger one in common, so of n tokens in any order that all sets keep to, the first
+    n - ceil(threshold * n) + 1 hold the first common one. Here the order is by a counter of how often tokens occur, then by the token.
+    """
+    import numpy as np
+
+    spot = F.col("t").bitwiseAND(COUNTERS - 1)
+    counts = sets.select(F.explode("tokens").alias("t")).groupBy(spot.alias("c")).agg(F.count("*").alias("n")).toArrow()  # a row per counter
+    table = np.zeros(COUNTERS, np.int64)
+    table[counts.column("c").to_numpy()] = counts.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(table)
+
+    def pick(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            token = batch.column(1).flatten().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((token, shared.value[token & (COUNTERS - 1)], row))
+            within = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            kept = within < (size - np.ceil(threshold * size - 1e-6).astype(np.int64) + 1)[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[kept])), pa.array(token[order][kept])], names=["key", "token"])
+
+    kind = sets.schema["key"].dataType.simpleString()
+    return sets.select("key", "tokens").mapInArrow(pick, f"key {kind}, token bigint")
+
+
 def linked_classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, *,
-                   sketches: DataFrame | None = None, alike: Callable[[str, str], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+                   sketches: DataFrame | None = None, alike: Callable[[str, str], Column] | None = None,
+                   finer: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(classes, links) from the rows of ``crowded``.
 
     ``verify`` turns distinct (a, b) pairs into (a, b, similarity). ``links`` has the verified pairs;
     ``classes`` has (key, comp) for every key with a link. ``sketches`` (key, ...) and ``alike``, a condition
     on two rows of a bucket with these columns under the given names, tell pairs that cannot be similar without their texts.
+    ``finer`` turns a table of keys into (key, token), such that similar keys have a token in common (``rare_shingles``).
 
     1. In each bucket all keys are compared with the bucket's hub only.
     2. Keys of one bucket that are not connected after that are compared with each other, but for pairs that cannot be
        similar: their similarities to the hub are too far apart (one minus the Jaccard similarity is a metric), or
        their sketches say so. So no link that could join two classes is lost, and a group of copies around an
-       original costs one comparison per copy.
+       original costs one comparison per copy. With ``finer``, these keys are dealt to a bucket per old bucket and token instead, where both
+       steps begin anew: a bucket of many keys around a common line is not compared pair by pair.
     """
     chosen = hubs(rows)
     with_hub = rows.select("bucket", "key").join(chosen, "bucket")
@@ -96,7 +135,20 @@ def linked_classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], th
     # buckets that are still in two parts, besides those of two keys, which are settled
     open_ = pin(placed.groupBy("bucket").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.count("*").alias("_n")).filter(
         "_x != _y AND _n > 2").select("bucket"))
-    left = placed.join(open_, "bucket").filter("key != hub").withColumns({"a": F.least("key", "hub"), "b": F.greatest("key", "hub")})
+    left = placed.join(open_, "bucket").filter("key != hub")
+    if finer is not None:
+        forget(chosen)
+        left = pin(left.select("bucket", "key", "comp"))
+        forget(placed, open_)
+        tokens = finer(left.select("key").distinct())
+        cells = pin(left.join(tokens, "key").select(F.xxhash64("bucket", "token").alias("bucket"), "key", "comp"))
+        forget(left)
+        several = cells.groupBy("bucket").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).filter("_x != _y").select("bucket")
+        some = crowded(cells.join(several, "bucket").select("bucket", "key").distinct())
+        forget(cells)
+        links = pin(near.select("a", "b", "similarity").union(linked_classes(some, verify, threshold)[1]).distinct())
+        return components(links), links
+    left = left.withColumns({"a": F.least("key", "hub"), "b": F.greatest("key", "hub")})
     left = left.join(first.select("a", "b", "similarity"), ["a", "b"]).select("bucket", "key", "comp", "similarity")
     left = pin(left if sketches is None else left.join(sketches, "key"))
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))

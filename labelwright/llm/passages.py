@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .bits import bit_filter, opened, repeated_filter
 from .common import forget, pin, release, take, text_of
-from .linking import SHINGLE, THRESHOLD, crowded, linked_classes, verify_texts
+from .linking import SHINGLE, THRESHOLD, crowded, linked_classes, rare_shingles, shingles, verify_texts, words
 
 #: An anchor is the least place of a window of REACH + 1 places. Of 51 equal words (50 places) the first anchor is then at
 #: place REACH or before, the last at 49 - REACH or later, and paragraphs reach to SHORTEST - 1 words before that or
@@ -275,7 +275,14 @@ def shared_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         release(rows.sparkSession)  # of the shuffled texts
         return found
 
-    classes, _ = linked_classes(meeting, verify, threshold)
+    def rarest(some: DataFrame) -> DataFrame:
+        sets = pin(texts.join(some, "key").select("key", words(F.col("text")).alias("_w")).select("key", shingles(F.col("_w")).alias("tokens")))
+        found = pin(rare_shingles(sets, threshold))
+        forget(sets)
+        release(rows.sparkSession)
+        return found
+
+    classes, _ = linked_classes(meeting, verify, threshold, finer=rarest)
     forget(texts, meeting)
     release(rows.sparkSession)
     named = pin(places.join(classes, "key", "left").select(F.coalesce("comp", "key").alias("class"), "doc_id", "mark", "w", "c"), "zstd")

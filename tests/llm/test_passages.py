@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+from labelwright.llm.linking import crowded, linked_classes, rare_shingles
 from labelwright.llm.passages import LEAST_WORDS, REACH, cutter, paragraph_cutter, shared_passages
 
 from .fixtures import SCHEMA, no_documents, odd_documents, odd_rows
@@ -198,3 +199,41 @@ def test_many_texts_are_cut_like_one():
         if alone is not None:
             for a, b in zip((*keys, *minima, *words, *chars), (*alone[0], *alone[1], *alone[2], *alone[3]), strict=True):
                 assert a[mine].tolist() == b.tolist()
+
+
+def test_a_bucket_around_a_common_line_is_not_compared_pair_by_pair(spark):
+    """Keys of one bucket that share a frequent half were all compared with each other: 300 keys, 44,850 pairs less the hub's."""
+    rnd = random.Random(12)
+    common = list(range(1, 7))
+    sets = {f"k{i:03d}": sorted(common + rnd.sample(range(1_000, 60_000), 6)) for i in range(300)}
+    for i in range(0, 40, 2):  # pairs of similarity 0.85 that the hub is not similar to
+        sets[f"k{i:03d}"] = sorted(sets[f"k{i:03d}"] + [100_000 + i])
+        sets[f"k{i + 1:03d}"] = sets[f"k{i:03d}"][:-1]
+    table = spark.createDataFrame(list(sets.items()), "key string, tokens array<bigint>")
+    asked = []
+
+    def verify(pairs):
+        rows = [tuple(r) for r in pairs.select("a", "b").collect()]
+        asked.extend(rows)
+        return spark.createDataFrame([(a, b, len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]})) for a, b in rows],
+                                     "a string, b string, similarity double")
+
+    cells = crowded(spark.createDataFrame([(b, k) for k in sets for b in (1, 2)], "bucket bigint, key string"))
+    classes, _ = linked_classes(cells, verify, finer=lambda keys: rare_shingles(table.join(keys, "key")))
+    got = {r.key: r.comp for r in classes.collect()}
+    assert {k: v for k, v in got.items() if int(k[1:]) >= 40} == {}
+    assert all(got.get(f"k{i:03d}") == got.get(f"k{i + 1:03d}") == f"k{i:03d}" for i in range(0, 40, 2))
+    assert len(asked) < 2_000
+
+
+def test_similar_sets_share_a_rare_shingle(spark):
+    rnd = random.Random(13)
+    sets = [rnd.sample(range(-20, 20), rnd.randint(1, 15)) for _ in range(60)]
+    sets += [[*s[:-1], 99] if rnd.random() < 0.5 else [*s, 98] for s in sets]
+    rows = rare_shingles(spark.createDataFrame(list(enumerate(sets)), "key int, tokens array<bigint>")).collect()
+    rare = {}
+    for r in rows:
+        rare.setdefault(r.key, set()).add(r.token)
+    similar = [(i, j) for i in range(120) for j in range(i) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})]
+    assert len(similar) > 20 and all(rare[i] & rare[j] for i, j in similar)
+    assert all(rare[i] <= {*sets[i]} and len(rare[i]) <= 1 + 0.2 * len(sets[i]) + 1e-6 for i in range(120))
