@@ -229,4 +229,4 @@ def study_sections(spark, sf, **options):
 @check("study_models")
 def study_models(spark, sf):
     """Metrics with row and month intervals of the three models at their defaults, and the sensitivity model."""
-    return study_sections(spark, sf)["models"]
+    return study_sections(spark, sf, wanted=["models"])["models"]

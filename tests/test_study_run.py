@@ -68,3 +68,15 @@ def test_the_study_runs_whole(spark, sf):
     assert parts["lead_days_only"].first().n == plain.n and parts["audit_tree"].first().folds == 5
     assert parts["cutoff"].count() == 1 and parts["notes"].count() > 0 and parts["audit_rule"].count() == 1
     assert parts["reliability"].filter("model = 'logistic_regression'").groupBy().sum("n").first()[0] == plain.n
+
+
+def test_a_section_that_is_not_wanted_costs_nothing(spark, sf, monkeypatch):
+    """The audit of all test rows, trees included, was run whenever the models were asked for."""
+    def no(*_, **__):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setattr(study_run, "audit", no)
+    monkeypatch.setattr(study_run, "scored_cohorts", lambda table, specs, seed: table.filter("cohort = 'test'").selectExpr(
+        "'m' AS model", "order_id", "date_format(purchased, 'yyyy-MM') AS month", "late", "order_id % 7 / 7.0D AS p1"))
+    parts = study.study_sections(spark, sf, n_boot=5, wanted=["models"])
+    assert list(parts) == ["models"] and parts["models"].count() == 1
