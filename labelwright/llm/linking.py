@@ -60,20 +60,35 @@ def hubs(rows: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(key, comp) of every key in ``links`` (a, b): ``comp`` is the smallest key connected with it.
 
-    Each round takes the smallest label among the neighbours and then that label's own label,
-    so long chains shrink by half and stars end in two rounds. Every round is written down.
+    Each round hangs a key under its smallest neighbour, if that is smaller, and follows these to the top, each step twice as far as
+    the one before. Then the tops alone go on, with the links between different ones: half of the keys at most, and none where a
+    component is done. Every step is written down, and those before it are dropped.
     """
-    both = pin(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = pin(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "key"))
+    edges, whole = pin(links.select("a", "b").distinct()), None
     while True:
-        near = both.join(labels.select(F.col("key").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        step = pin(labels.join(near.withColumnRenamed("a", "key"), "key").select(
-            "key", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")))
-        jumped = pin(step.join(step.select(F.col("key").alias("comp"), F.col("comp").alias("next")), "comp").select(
-            "key", "old", F.least("comp", "next").alias("comp")))
-        labels = jumped.select("key", "comp")
-        if jumped.filter("comp != old").isEmpty():
-            return labels
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        labels = pin(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "key"))
+        while True:
+            step = pin(labels.join(labels.select(F.col("key").alias("comp"), F.col("comp").alias("next")), "comp").select(
+                "key", F.col("comp").alias("old"), F.col("next").alias("comp")))
+            forget(labels)
+            labels = step.select("key", "comp")
+            if step.filter("comp != old").isEmpty():
+                break
+        tops = [labels.select(F.col("key").alias(k), F.col("comp").alias(f"_{k}")) for k in "ab"]
+        rest = pin(edges.join(tops[0], "a").join(tops[1], "b").filter("_a != _b").select(
+            F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+        forget(edges)
+        if whole is None:
+            whole = labels
+        else:
+            further = labels.select(F.col("key").alias("comp"), F.col("comp").alias("top"))
+            told = pin(whole.join(further, "comp", "left").select("key", F.coalesce("top", "comp").alias("comp")))
+            forget(whole, labels)
+            whole = told
+        if rest.isEmpty():
+            return whole
+        edges = rest
 
 
 def rare_shingles(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

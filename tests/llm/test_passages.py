@@ -1,8 +1,11 @@
 import random
 from collections import Counter
 
-from labelwright.llm.linking import crowded, linked_classes, rare_shingles
-from labelwright.llm.passages import LEAST_WORDS, REACH, cutter, paragraph_cutter, shared_passages
+import numpy as np
+import pytest
+
+from labelwright.llm.linking import components, crowded, linked_classes, rare_shingles
+from labelwright.llm.passages import FILL, LEAST_WORDS, REACH, bands_of, cutter, paragraph_cutter, shared_passages, signatures, similar_sets
 
 from .fixtures import SCHEMA, no_documents, odd_documents, odd_rows
 
@@ -237,3 +240,87 @@ def test_similar_sets_share_a_rare_shingle(spark):
     similar = [(i, j) for i in range(120) for j in range(i) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})]
     assert len(similar) > 20 and all(rare[i] & rare[j] for i, j in similar)
     assert all(rare[i] <= {*sets[i]} and len(rare[i]) <= 1 + 0.2 * len(sets[i]) + 1e-6 for i in range(120))
+
+
+def heads_of(links):
+    """The smallest member of each one's component."""
+    head = {}
+
+    def root(n):
+        while head.setdefault(n, n) != n:
+            n = head[n]
+        return n
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        head[b] = a
+    return {n: root(n) for n in [*head]}
+
+
+def similar_pairs(sets, threshold=0.8):
+    return [(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= threshold * len({*sets[a]} | {*sets[b]})]
+
+
+def families(rnd, n):
+    """Sets of up to 14 numbers, many of them similar: members of a family lack or add a few."""
+    sets = {}
+    while len(sets) < n:
+        core = rnd.sample(range(2**62), rnd.randint(1, 14))
+        for _ in range(rnd.randint(1, 8)):
+            own = core[:]
+            for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+                own.pop(rnd.randrange(len(own))) if rnd.random() < 0.6 and len(own) > 1 else own.append(rnd.randrange(2**62)) if len(own) < 14 else None
+            sets[f"k{len(sets):04d}".encode()] = sorted(own, key=lambda t: t % 2**64)
+    return sets
+
+
+def matrix(sets):
+    out = np.full((len(sets), 15), FILL, np.uint64)
+    for k, own in enumerate(sets.values()):
+        out[k, :len(own)] = [t % 2**64 for t in own]
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
+def test_similar_sets_always_meet_in_a_band_and_in_a_signature(threshold):
+    sets = families(random.Random(31), 300)
+    pairs, at = similar_pairs(sets, threshold), {k: n for n, k in enumerate(sets)}
+    assert len(pairs) > 20
+    for row, number in (bands_of(matrix(sets), threshold), signatures(matrix(sets), threshold)[:2]):
+        own = [{*()} for _ in sets]
+        for r, n in zip(row.tolist(), number.tolist(), strict=True):
+            own[r].add(n)
+        assert all(own[at[a]] & own[at[b]] for a, b in pairs)
+
+
+def test_links_of_similar_sets_grow_with_the_sets_and_connect_what_all_pairs_do(spark):
+    """Sets in one bucket that the hub was not similar to were compared pair by pair: 12 times the rows at five times the input."""
+    rnd = random.Random(32)
+    sets = families(rnd, 400)
+    line = sorted(rnd.sample(range(2**62), 12))  # a common line, each time with another word behind it
+    sets |= {f"x{k:04d}".encode(): sorted([*line, 2**62 + k]) for k in range(300)}
+    table = spark.createDataFrame(list(sets.items()), "key binary, tokens array<bigint>")
+    links = [(bytes(r.a), bytes(r.b)) for r in similar_sets(table.repartition(3), 0.8, 1 << 20).collect()]
+    pairs = similar_pairs(sets)
+    assert {*links} <= {*pairs} and len(pairs) > 44_850
+    assert heads_of(links) == heads_of(pairs)
+    assert len(links) < 3 * len(sets)
+
+
+def test_components_of_chains_stars_and_random_links(spark):
+    rnd = random.Random(33)
+    links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(90)]
+    chain = rnd.sample(range(500, 540), 40)
+    links = [(min(p), max(p)) for p in links + list(zip(chain, chain[1:])) if p[0] != p[1]]
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()
+    assert {r.key: r.comp for r in got} == heads_of(links) and len(got) == len(heads_of(links))
+
+
+def test_repeated_rows_count_once_and_long_paragraphs_are_linked_too(spark):
+    rnd = random.Random(34)
+    passage = " ".join(rnd_words(rnd, 80))
+    texts = [(1, passage), (1, passage), (2, passage + " " + " ".join(rnd_words(rnd, 30)))]
+    got = [(r.doc_id, r.n_shared, r.shared) for r in shared_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
+    once = [(r.doc_id, r.n_shared, r.shared) for r in shared_passages(spark.createDataFrame(texts[1:], "doc_id long, text string"), reach=60).collect()]
+    assert sorted(got)[0] == sorted(got)[1] and sorted(got)[0][1] == len(sorted(got)[0][2].split(",")) == len({*sorted(got)[0][2].split(",")})
+    assert all(n for _, n, _ in once)
