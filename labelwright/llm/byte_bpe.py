@@ -22,6 +22,8 @@ REMEMBERED = 32_000_000
 LONG = 64
 #: Bytes of texts that are encoded at a time; no text is cut.
 BLOCK = 1_500_000
+#: Rows of an Arrow batch at most: a batch stands in the JVM and in the worker, on its way to the encoder and to the decoder.
+ROWS = 1_000
 #: Fixed value: the pattern in which an ASCII chunk of letters, and a mark behind them, need no search.
 PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MARKS = frozenset(".,;:!?")
@@ -345,6 +347,13 @@ def common_words(docs: DataFrame, encode, pattern: str, head: int) -> dict[str,
     return {r["token"]: bytes(r["ids"]) for r in encoded.mapInArrow(packed, "token string, ids binary").collect()}
 
 
+def _small_batches(spark) -> None:
+    """Let Arrow batches of the session have ``ROWS`` rows at most; Spark reads this when a query runs, so it stays set."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS:
+        spark.conf.set(name, str(ROWS))
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit) of every row of ``docs``.
 
@@ -352,8 +361,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, head: in
     once for all documents by the fold over ranked merges, a table of bounded size that every task holds. Rarer words
     take the same merges in the task that meets them, which remembers a bounded number of them; from ``LONG`` bytes on by a
     linked list, shorter ones many at a time. So no text is sent anywhere. Null text is empty: no ids. Repeated rows and ids are rows like
-    others; an empty table gives an empty result; other columns are ignored.
+    others; an empty table gives an empty result; other columns are ignored. The session's Arrow batches are made
+    smaller (``ROWS``), which changes the memory only.
     """
+    _small_batches(docs.sparkSession)
     rows = take(docs, id_col, text_col).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     ranks = read_ranks(ranks_path)
@@ -391,12 +402,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, head: in
                 out = joined(pa.array(ids_of(found), pa.large_binary()), index, edges)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(out)), pa.array(out, pa.binary())], names=["doc_id", "ids"])
                 at += len(out)
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(encode, f"doc_id {kind}, ids binary")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``encoded`` (doc_id, ids) plus ``decoded``, the concatenated pieces of the ids."""
+    _small_batches(encoded.sparkSession)
     kind = encoded.schema["doc_id"].dataType.simpleString()
     ranks = read_ranks(ranks_path)
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -416,6 +429,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 edges = np.cumsum([0, *[len(i) // 4 for i in ids]])
                 out = joined(values, np.frombuffer(b"".join(ids), "<u4"), edges)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+            pa.default_memory_pool().release_unused()
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, ids binary, decoded binary")
 

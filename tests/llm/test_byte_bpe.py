@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from labelwright.llm.byte_bpe import (_blocks, _chunker, cut_block, decode_documents, encode_documents, encoding_digest, fold_merges, merge_long,
+from labelwright.llm.byte_bpe import (ROWS, _blocks, _chunker, cut_block, decode_documents, encode_documents, encoding_digest, fold_merges, merge_long,
                                       merge_many, merge_short, pair_table, read_ranks)
 
 from .fixtures import no_documents, odd_documents, odd_rows
@@ -113,3 +113,17 @@ def test_encoding_and_decoding_many_rare_words_take_little_time(spark):
     middle = process_time()
     assert many == [array("I", merge_short(w, ranks)).tobytes() for w in words]
     assert middle - start < process_time() - middle
+
+
+def test_texts_reach_the_workers_in_small_batches(spark, library):
+    """All of a task's texts, 10,000 rows at most, were one batch, which the JVM and two workers held at a time."""
+    rows = [(i, f"row {i} of many") for i in range(2 * ROWS + 5)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert digest(docs, head=0) == expected(rows, library)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    assert max(r.n for r in docs.mapInArrow(sizes, "n bigint").collect()) <= ROWS
