@@ -361,7 +361,7 @@ def _record_split(spark, sf):
 @check("baseline_models")
 def baseline_models(spark, sf):
     train, test = _record_split(spark, sf)
-    preds = md.fit_and_score(train, test, md.baseline_specs(v.RECORDS, {"maxIter": 10}), "gold", ["gold"])
+    preds = md.fit_and_score(train, test, md.baseline_specs(v.RECORDS), "gold", ["gold"])
     from labelwright.session import pin
 
     preds = pin(preds)

@@ -160,3 +160,31 @@ def test_equal_training_rows_are_fitted_once_with_a_weight(spark, monkeypatch):
     want = plain[0].unionByName(plain[1]).toPandas().sort_values(["model", "id"])
     assert (got["pred"].to_numpy() == want["pred"].to_numpy()).all()
     assert abs(got["p1"].to_numpy() - want["p1"].to_numpy()).max() < 1e-4
+
+
+def test_baseline_models_are_fitted_at_their_defaults(spark, sf, monkeypatch):
+    """The query asks for all rounds of boosting, on every variant of the inputs."""
+    from checks import evaluation
+
+    asked = {}
+    monkeypatch.setattr(md, "fit_and_score", lambda train, test, specs, *args, **options: asked.update(specs=specs, options=options) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        evaluation.baseline_models(spark, sf)
+    rounds = [md.estimator(s.kind, "y", 10, **s.params).getMaxIter() for s in asked["specs"] if s.kind == "boosting"]
+    assert rounds == [100] * len(md.VARIANTS) and len(asked["specs"]) == 6 and not asked["options"]
+
+
+def test_each_model_is_fitted_on_the_distinct_rows_of_its_own_inputs(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id", "cast(id % 5 as double) AS x", "cast(id as double) AS z", "cast(id % 3 AS string) AS c", "cast(id % 5 > 2 AS int) AS y")
+    seen, fit = {}, md.fit
+
+    def counted(prepared, enc, spec, *args):
+        rows = prepared.agg(F.count("*"), F.sum(md.COPIES)).first()
+        seen[spec.name] = (*rows, prepared.rdd.getNumPartitions())
+        return fit(prepared, enc, spec, *args)
+
+    monkeypatch.setattr(md, "fit", counted)
+    monkeypatch.setattr(md, "FIT_ROWS", 100)
+    got = md.fit_and_score(df, df, [md.ModelSpec("few", "tree", ("x",), ("c",)), md.ModelSpec("all", "tree", ("x", "z"), ("c",))], "y", ["id", "y"])
+    assert seen == {"few": (15, 400, 1), "all": (400, 400, 4)}
+    assert got.count() == 800 and got.filter("pred <> y").count() == 0
