@@ -188,3 +188,19 @@ def test_each_model_is_fitted_on_the_distinct_rows_of_its_own_inputs(spark, monk
     got = md.fit_and_score(df, df, [md.ModelSpec("few", "tree", ("x",), ("c",)), md.ModelSpec("all", "tree", ("x", "z"), ("c",))], "y", ["id", "y"])
     assert seen == {"few": (15, 400, 1), "all": (400, 400, 4)}
     assert got.count() == 800 and got.filter("pred <> y").count() == 0
+
+
+def test_cross_validated_models_cover_all_models_and_repeats(spark, sf, monkeypatch):
+    """The query leaves no model, fold or repeat of the defaults out, and has the columns of every variant."""
+    import inspect
+
+    from checks import evaluation
+
+    asked, plain = {}, inspect.signature(md.cross_validate)
+    monkeypatch.setattr(md, "cross_validate", lambda *args, **options: asked.update(plain.bind(*args, **options).arguments) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        evaluation.cv_models(spark, sf)
+    assert [s.name for s in asked["specs"]] == [s.name for s in md.baseline_specs(evaluation.v.RECORDS)]
+    assert not any(s.params for s in asked["specs"])
+    assert asked.get("k", plain.parameters["k"].default) == 5 and asked.get("repeats", plain.parameters["repeats"].default) == 3
+    assert {c for s in asked["specs"] for c in (*s.numeric, *s.categorical)} <= set(asked["df"].columns)
